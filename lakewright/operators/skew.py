@@ -16,7 +16,7 @@ BROADCAST_ROWS = 200_000
 def split_scan(
     df: DataFrame,
     group: Sequence[str],
-    order: Sequence[str],
+    order: Sequence[str | Column],
     value: Column | None = None,
     how: str = "sum",
     out: str = "start",
