@@ -6,7 +6,7 @@ from lakewright.sources.derived import LOGS_SQL, PLANS_SQL, TRIALS_SQL
 
 
 def with_(*ctes: str, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 def fixed(expr: str, digits: int = 4) -> str:
