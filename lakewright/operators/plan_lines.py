@@ -24,25 +24,38 @@ def corpus(files: DataFrame, benchmark: str | None = None) -> DataFrame:
     return kept
 
 
+_BLANK = " \n\t\r"
+
+
 def optimized_section(text: Column) -> Column:
     """Text between the optimized and physical headings; the ``===`` dialect first."""
-    found = None
-    for mark in ("===", "=="):
-        pattern = rf"(?s){mark} Optimized Logical Plan {mark}\n(.*?)\n{mark} Physical Plan {mark}"
-        part = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
-        found = part if found is None else F.coalesce(found, part)
-    return F.regexp_replace(found, r"^\s+|\s+$", "")
+
+    def between(mark: str) -> Column:
+        head, tail = f"{mark} Optimized Logical Plan {mark}\n", f"\n{mark} Physical Plan {mark}"
+        after = F.substring(text, F.instr(text, head) + len(head), F.length(text))
+        both = F.contains(text, F.lit(head)) & F.contains(after, F.lit(tail))
+        return F.when(both, F.substring_index(after, tail, 1))
+
+    return F.btrim(F.coalesce(between("==="), between("==")), F.lit(_BLANK))
 
 
 def physical_section(text: Column) -> Column:
-    pattern = r"(?s)== Physical Plan ==\n(.*)"
-    part = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
-    return F.regexp_replace(part, r"^\s+|\s+$", "")
+    head = "== Physical Plan ==\n"
+    after = F.substring(text, F.instr(text, head) + len(head), F.length(text))
+    return F.when(F.contains(text, F.lit(head)), F.btrim(after, F.lit(_BLANK)))
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Parsing is bound by CPU, so input of fewer splits than cores is spread over the cores."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if files.rdd.getNumPartitions() >= cores:
+        return files
+    return files.repartition(cores, "file_name")
 
 
 def plan_lines(files: DataFrame) -> DataFrame:
     """(plan_key, benchmark, lines): depth, operator word and text of every plan line."""
-    rows = files.withColumn("section", optimized_section(F.col("text"))).where("section IS NOT NULL")
+    rows = spread(files).withColumn("section", optimized_section(F.col("text"))).where("section IS NOT NULL")
 
     def parsed(line: Column, i: Column) -> Column:
         marked = line.rlike(_MARKER)
