@@ -16,14 +16,14 @@ KINDS = ["scan", "join", "project", "agg", "sort"]
 
 def operator_ids(plans: DataFrame) -> DataFrame:
     """(operator, op_id): ids by first appearance in plan and node order; Dummy comes last."""
-    seen = plans.select("plan_key", F.posexplode(F.transform("nodes", lambda n: n["operator"])).alias("node_id", "operator"))
+    seen = plans.select("plan_key", F.posexplode_outer(F.transform("nodes", lambda n: n["operator"])).alias("node_id", "operator"))
     first = seen.groupBy("operator").agg(F.min(F.struct("plan_key", "node_id")).alias("f"))
     ranked = split_scan(first.select("operator", "f.plan_key", "f.node_id"), [], ["plan_key", "node_id"], out="op_id")
     return ranked.select("operator", "op_id")
 
 
 def scan_tables(plans: DataFrame) -> DataFrame:
-    return plans.select(F.explode(F.transform("nodes", lambda n: n["table"])).alias("table_name")).where("table_name <> ''").distinct()
+    return plans.select(F.explode_outer(F.transform("nodes", lambda n: n["table"])).alias("table_name")).where("table_name <> ''").distinct()
 
 
 def known_columns(relations: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def one_hot_nodes(plans: DataFrame, operators: DataFrame, tables: DataFrame) ->
     numbered = split_scan(tables, [], ["table_name"], out="t")
     table_no = _as_map(numbered, F.col("table_name"), F.col("t") + 1)
     n_ops = operators.agg(F.count("*").cast("int")).scalar()
-    rows = plans.select("plan_key", F.posexplode("nodes").alias("node_id", "n"))
+    rows = plans.select("plan_key", F.posexplode_outer("nodes").alias("node_id", "n"))
     staged = rows.withColumn("_ids", ids).withColumn("_t", table_no).withColumn("_k", n_ops)
     hot = S.one_hot(F.try_element_at("_ids", F.col("n.operator")).cast("int"), F.col("_k"))
     table_slot = F.coalesce(F.try_element_at("_t", F.col("n.table")), F.lit(0)).cast("double")

@@ -43,7 +43,7 @@ def candidate_keys(query_id: Column) -> Column:
 def map_queries(queries: DataFrame, plan_keys: DataFrame) -> DataFrame:
     """(benchmark, query_id, plan_key): first candidate that exists, null when none does."""
     keys = plan_keys.where(~F.contains("plan_key", F.lit("_aug"))).select("plan_key").distinct()
-    candidates = queries.select(*QUERY, F.posexplode(candidate_keys(F.col("query_id"))).alias("choice", "plan_key"))
+    candidates = queries.select(*QUERY, F.posexplode_outer(candidate_keys(F.col("query_id"))).alias("choice", "plan_key"))
     found = (
         candidates.join(keys, "plan_key")
         .groupBy(*QUERY)

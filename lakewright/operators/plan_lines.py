@@ -1,7 +1,9 @@
 """Captured plan text to operator nodes.
 
 A plan stays one row: its lines, nodes and predicates are arrays inside that row, so parsing a
-log of any size needs no shuffle. Rows per node come from one ``explode`` at the end.
+log of any size needs no shuffle. Rows per node come from one ``posexplode_outer`` at the end: the
+arrays are never empty, and the outer form keeps the optimizer from testing their size in a
+filter below, which would compute them twice.
 """
 
 from __future__ import annotations
@@ -357,7 +359,7 @@ def with_join_keys(plans: DataFrame) -> DataFrame:
 def relation_columns(files: DataFrame) -> DataFrame:
     """Distinct (benchmark_table, column) of all ``RelationV2[...] catalog.db.table`` mentions."""
     pattern = F.lit(r"RelationV2\[([^\]]*)\] ?((?:\w+\.)*)(\w+)")
-    found = F.explode(
+    found = F.explode_outer(
         F.arrays_zip(
             F.regexp_extract_all("text", pattern, F.lit(1)).alias("cols"),
             F.regexp_extract_all("text", pattern, F.lit(2)).alias("db"),
@@ -367,6 +369,7 @@ def relation_columns(files: DataFrame) -> DataFrame:
     bench = F.regexp_extract("m.db", r"(job|tpcds|ssb|tpch)_iceberg_10g", 1)
     return (
         files.select(found.alias("m"))
+        .where("m IS NOT NULL")
         .select(F.concat(bench, F.lit("_"), F.col("m.name")).alias("table_name"), F.explode(_names(F.col("m.cols"))).alias("column"))
         .distinct()
     )

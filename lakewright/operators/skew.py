@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.session import materialize
 
 SALTS = 16
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def split_scan(
@@ -68,21 +69,34 @@ def split_scan(
     return joined.drop("_v", "_slab", "_local", "_before", "_all")
 
 
+def in_memory_bytes(df: DataFrame) -> int:
+    """Size of a table's rows, from its value count, text lengths and array lengths."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            size = size + F.lit(16) + F.coalesce(F.length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            size = size + F.lit(16) + F.coalesce(F.size(field.name), F.lit(0)) * 64
+        else:
+            size = size + F.lit(16)
+    return df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+
+
 def lookup(
     big: DataFrame,
     small: DataFrame,
     keys: Sequence[str],
     how: str = "left",
-    limit_rows: int = BROADCAST_ROWS,
+    limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Attach one row per key of an aggregate to a large, possibly skewed table.
 
-    The aggregate is written out once and counted. Up to ``limit_rows`` rows it is broadcast,
-    so the large side is not shuffled. Beyond that both sides are joined on (key, salt): the
-    rows of a hot key spread over ``SALTS`` tasks and the aggregate is repeated per salt.
+    The aggregate is written out once and measured. Up to ``limit_bytes`` it is broadcast, so
+    the large side is not shuffled. Beyond that both sides are joined on (key, salt): the rows
+    of a hot key spread over ``SALTS`` tasks and the aggregate is repeated per salt.
     """
     small = materialize(small)
-    if small.limit(limit_rows + 1).count() <= limit_rows:
+    if in_memory_bytes(small) <= limit_bytes:
         return big.join(F.broadcast(small), list(keys), how)
     return salted_join(big, small, keys, how)
 

@@ -49,7 +49,7 @@ def children(plan_parents: str = "parents") -> Column:
 
 def parent_rows(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, parent_id, side, child_no): every node with a parent."""
-    rows = plans.select("plan_key", "parents", F.posexplode("parents").alias("node_id", "parent_id")).where(
+    rows = plans.select("plan_key", "parents", F.posexplode_outer("parents").alias("node_id", "parent_id")).where(
         "parent_id IS NOT NULL"
     )
     child_no = F.size(F.filter(F.slice("parents", F.lit(1), F.col("node_id")), lambda p: p == F.col("parent_id")))
@@ -59,8 +59,8 @@ def parent_rows(plans: DataFrame) -> DataFrame:
 
 def ancestors(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, ancestor_id, hops): all proper ancestors of every node."""
-    nodes = plans.select("plan_key", F.posexplode("paths").alias("node_id", "path"))
-    exploded = nodes.select("plan_key", "node_id", F.size("path").alias("n"), F.posexplode("path").alias("k", "ancestor_id"))
+    nodes = plans.select("plan_key", F.posexplode_outer("paths").alias("node_id", "path"))
+    exploded = nodes.select("plan_key", "node_id", F.size("path").alias("n"), F.posexplode_outer("path").alias("k", "ancestor_id"))
     return exploded.where("k < n - 1").select(
         "plan_key", "node_id", "ancestor_id", (F.col("n") - 1 - F.col("k")).alias("hops")
     )
@@ -69,7 +69,7 @@ def ancestors(plans: DataFrame) -> DataFrame:
 def adjacency(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, row): 0/1 row of the parent-to-child matrix."""
     ids = F.sequence(F.lit(0), F.size("parents") - 1)
-    return plans.select("plan_key", "parents", F.explode(ids).alias("node_id")).select(
+    return plans.select("plan_key", "parents", F.explode_outer(ids).alias("node_id")).select(
         "plan_key",
         "node_id",
         F.transform("parents", lambda p: F.when(p == F.col("node_id"), 1).otherwise(0)).alias("row"),
@@ -79,7 +79,7 @@ def adjacency(plans: DataFrame) -> DataFrame:
 def distances(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, hops): distance from a node to every node of its plan, null when
     nothing connects them."""
-    nodes = plans.select("plan_key", "paths", F.posexplode("paths").alias("node_id", "path"))
+    nodes = plans.select("plan_key", "paths", F.posexplode_outer("paths").alias("node_id", "path"))
 
     def between(p: Column) -> Column:
         shared = F.size(F.array_intersect(p, F.col("path")))
@@ -89,13 +89,13 @@ def distances(plans: DataFrame) -> DataFrame:
 
 
 def roots(plans: DataFrame) -> DataFrame:
-    rows = plans.select("plan_key", F.posexplode("parents").alias("node_id", "parent_id"))
+    rows = plans.select("plan_key", F.posexplode_outer("parents").alias("node_id", "parent_id"))
     return rows.where("parent_id IS NULL").select("plan_key", F.col("node_id").alias("root_id"))
 
 
 def child_lists(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, children): flat tree."""
-    return plans.select("plan_key", F.posexplode(children()).alias("node_id", "children"))
+    return plans.select("plan_key", F.posexplode_outer(children()).alias("node_id", "children"))
 
 
 def dummies(plans: DataFrame) -> DataFrame:
@@ -109,7 +109,7 @@ def dummies(plans: DataFrame) -> DataFrame:
 
 def leaf_levels(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, level): 0 for leaves, one more than the highest child otherwise."""
-    nodes = plans.select("plan_key", "paths", F.posexplode("paths").alias("node_id", "path"))
+    nodes = plans.select("plan_key", "paths", F.posexplode_outer("paths").alias("node_id", "path"))
     below = F.filter("paths", lambda p: F.array_contains(p, F.col("node_id")))
     deepest = F.array_max(F.transform(below, lambda p: F.size(p)))
     return nodes.select("plan_key", "node_id", (deepest - F.size("path")).alias("level"))
@@ -117,7 +117,7 @@ def leaf_levels(plans: DataFrame) -> DataFrame:
 
 def heights(plans: DataFrame) -> DataFrame:
     """(plan_key, node_id, height): level of a node counted from 1."""
-    return plans.select("plan_key", F.posexplode("depths").alias("node_id", "depth")).select(
+    return plans.select("plan_key", F.posexplode_outer("depths").alias("node_id", "depth")).select(
         "plan_key", "node_id", (F.col("depth") + 1).alias("height")
     )
 

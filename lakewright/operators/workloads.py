@@ -85,7 +85,7 @@ def draw_queries(queries: DataFrame, attempts: int, min_q: int, max_q: int, seed
         .select(F.col("id").alias("attempt"), n.alias("n"))
         .where("n > 0")
         .withColumn("size", size)
-        .select("attempt", "size", F.explode(positions).alias("q_idx"))
+        .select("attempt", "size", F.explode_outer(positions).alias("q_idx"))
     )
     return drawn.join(indexed, "q_idx").select("attempt", "size", *QUERY)
 

@@ -41,7 +41,7 @@ def _(spark, folder):
 
 
 def _positions(pooled):
-    rows = pooled.select("workload_id", F.posexplode("pooled").alias("pos", "value"))
+    rows = pooled.select("workload_id", F.posexplode_outer("pooled").alias("pos", "value"))
     return rows.select("workload_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round("value", 4).alias("value"))
 
 
@@ -71,7 +71,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    normed = members(spark, folder).select("vec_id", F.posexplode(S.layer_norm(F.col("embedding"))).alias("pos", "value"))
+    normed = members(spark, folder).select("vec_id", F.posexplode_outer(S.layer_norm(F.col("embedding"))).alias("pos", "value"))
     return normed.select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 4).alias("value"))
 
 
@@ -122,7 +122,7 @@ def _(spark, folder):
     plans = rows.where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("plan_key"), "embedding")
     merged = with_fallback(queries, plans, own)
     out = merged.select(
-        F.substring("query_id", 2, 30).cast("bigint").alias("query"), "is_fallback", F.posexplode("embedding").alias("pos", "value")
+        F.substring("query_id", 2, 30).cast("bigint").alias("query"), "is_fallback", F.posexplode_outer("embedding").alias("pos", "value")
     )
     return out.select("query", "is_fallback", F.col("pos").cast("bigint").alias("pos"), F.round("value", 4).alias("value"))
 

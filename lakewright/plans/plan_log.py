@@ -63,7 +63,7 @@ def expanded(spark, folder):
 
 
 def _rows(plans):
-    return plans.select("plan_key", "benchmark", F.posexplode("nodes").alias("node_id", "n")).select(
+    return plans.select("plan_key", "benchmark", F.posexplode_outer("nodes").alias("node_id", "n")).select(
         "plan_key", "benchmark", "node_id", "n.*"
     )
 
@@ -108,7 +108,7 @@ def _(spark, folder):
 
 @query("p3_line_nodes", Q.with_(*_NODES, select="SELECT plan_key, node_id, depth, word FROM nodes"))
 def _(spark, folder):
-    plans = lines(spark, folder).select("plan_key", F.posexplode("lines").alias("node_id", "l"))
+    plans = lines(spark, folder).select("plan_key", F.posexplode_outer("lines").alias("node_id", "l"))
     return plans.select("plan_key", "node_id", "l.depth", "l.word")
 
 
@@ -153,7 +153,7 @@ _KEY = r"\(\s*(?:cast\()?\s*(\w+#\d+L?)(?:\s+as\s+\w+\))?\s*=\s*(?:cast\()?\s*(\
 )
 def _(spark, folder):
     plans = P.with_join_keys(P.line_nodes(lines(spark, folder)))
-    rows = plans.select("plan_key", F.posexplode("join_keys").alias("node_id", "k")).where(F.size("k") == 2)
+    rows = plans.select("plan_key", F.posexplode_outer("join_keys").alias("node_id", "k")).where(F.size("k") == 2)
     return rows.select("plan_key", "node_id", F.get("k", F.lit(0)).alias("left_key"), F.get("k", F.lit(1)).alias("right_key"))
 
 
@@ -207,7 +207,7 @@ def _order_text(spark, folder, expr):
 
 def _text_nodes(rows):
     rows = rows.withColumn("nodes", P.predicate_nodes(F.col("text")))
-    rows = rows.select("o_orderkey", F.posexplode("nodes").alias("pos", "p"))
+    rows = rows.select("o_orderkey", F.posexplode_outer("nodes").alias("pos", "p"))
     rows = rows.withColumn("a", F.when(F.col("p.text").isNotNull(), P.atom(F.col("p.text"))))
     return rows.select(
         "o_orderkey", "pos", "p.level", "p.kind", "p.negated", F.col("a.col").alias("col"), F.col("a.op").alias("op"),
@@ -442,7 +442,7 @@ def line_vectors(spark, folder):
     Q.with_(*_NODES, *_KNOWN, select="SELECT plan_key, node_id, unnest(scan) AS name FROM vecs"),
 )
 def _(spark, folder):
-    rows = line_vectors(spark, folder).select("plan_key", F.posexplode("vectors").alias("node_id", "v"))
+    rows = line_vectors(spark, folder).select("plan_key", F.posexplode_outer("vectors").alias("node_id", "v"))
     return rows.select("plan_key", "node_id", F.explode("v.scan").alias("name"))
 
 
@@ -455,7 +455,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    rows = line_vectors(spark, folder).select("plan_key", F.posexplode("vectors").alias("node_id", "v"))
+    rows = line_vectors(spark, folder).select("plan_key", F.posexplode_outer("vectors").alias("node_id", "v"))
     joined = [F.array_join(f"v.{k}", ",").alias(k) for k in ("scan", "project", "agg", "sort")]
     return rows.select("plan_key", "node_id", "v.operator", F.col("v.limit").alias("lim"), "v.height", *joined)
 
@@ -490,7 +490,7 @@ def _(spark, folder):
     magnitudes = X.column_magnitudes(P.relation_columns(plan_files(spark, folder)))
     widths = X.list_widths(plans)
     sizes = X._as_map(magnitudes, F.col("name"), F.col("magnitude"))
-    rows = plans.select("plan_key", "benchmark", F.posexplode("vectors").alias("node_id", "v")).withColumn("_s", sizes)
+    rows = plans.select("plan_key", "benchmark", F.posexplode_outer("vectors").alias("node_id", "v")).withColumn("_s", sizes)
 
     def padded(kind):
         known = F.transform(f"v.{kind}", lambda c: F.coalesce(F.try_element_at(F.col("_s"), c), F.lit(0)).cast("double"))
@@ -579,7 +579,7 @@ def _(spark, folder):
 ))
 def _(spark, folder):
     rows = G.augment(line_trees(spark, folder)).where("copy > 0")
-    rows = rows.select("tree_key", F.posexplode("children").alias("node_id", "kids")).where(F.size("kids") == 2)
+    rows = rows.select("tree_key", F.posexplode_outer("children").alias("node_id", "kids")).where(F.size("kids") == 2)
     return rows.select("tree_key", "node_id", F.array_join(F.transform("kids", lambda x: x.cast("string")), ",").alias("children"))
 
 
@@ -629,7 +629,7 @@ def plan_features(spark, folder):
 
 @query("p19_flat_features")
 def _(spark, folder):
-    rows = plan_features(spark, folder).select("plan_key", F.posexplode("features").alias("node_id", "v"))
+    rows = plan_features(spark, folder).select("plan_key", F.posexplode_outer("features").alias("node_id", "v"))
     return rows.select("plan_key", "node_id", S.fixed_point(F.col("v")).alias("features"))
 
 

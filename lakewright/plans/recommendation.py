@@ -177,7 +177,7 @@ def workload_choices(spark, folder):
 
 @query(
     "a12_gate_accuracy",
-    Q.with_(*_TEST, _SCORED, _POOLED, _WGATE, select="SELECT " + _METRICS.split(",", 1)[1].replace("round(avg(ratio), 4) AS mean_ratio,", "").strip() + " FROM wgate JOIN wbest USING (workload_id)"),
+    Q.with_(*_TEST, _SCORED, _POOLED, _WGATE, select="SELECT " + _METRICS.replace("round(avg(ratio), 4) AS mean_ratio, ", "") + " FROM wgate JOIN wbest USING (workload_id)"),
 )
 def _(spark, folder):
     return _rounded(R.gate_accuracy(*workload_choices(spark, folder)))

@@ -1,4 +1,4 @@
-"""Session construction and the one place that cuts lineage."""
+"""Session construction, the shared folder, and the one place that cuts lineage."""
 
 from __future__ import annotations
 
@@ -54,6 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the reliable checkpoint folder and continue from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a Parquet table in the shared folder and continue from that table.
+
+    Several consumers then read what they need of it, column by column, a lost executor costs a
+    re-read only, and the planner knows the size of the table.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
