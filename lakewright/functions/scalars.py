@@ -7,13 +7,18 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def to_number(text: Column) -> Column:
-    """Decimal or scientific text to double, anything else to null."""
+    """Decimal or scientific text to double, anything else to null.
+
+    The cast alone would also take type suffixes, hexadecimal numbers and names such as NaN.
+    """
     t = F.trim(text)
-    return F.when(t.rlike(_NUMBER), t.try_cast("double"))
+    end = F.right(t, F.lit(1))
+    plain = (end.between("0", "9") | (end == ".")) & ~F.contains(F.lower(t), F.lit("x"))
+    return F.when(plain, t.try_cast("double"))
 
 
 def literal_map(values: dict) -> Column:
@@ -66,7 +71,7 @@ def _numbers(items: Column) -> Column:
 
 def _piped_half(half: Column) -> Column:
     values = _numbers(F.filter(F.split(half, ";"), lambda x: F.trim(x) != ""))
-    return F.when(F.exists(values, lambda v: v.isNull()), F.array(F.lit(0.0))).otherwise(values)
+    return let(values, lambda v: F.when(F.exists(v, lambda x: x.isNull()), F.array(F.lit(0.0))).otherwise(v))
 
 
 def config_halves(conf: Column) -> Column:
@@ -74,8 +79,9 @@ def config_halves(conf: Column) -> Column:
     halves = F.split(conf, r"\|", 2)
 
     def knob(item: Column) -> Column:
-        bare = F.regexp_replace(F.trim(item), "[a-zA-Z]+$", "")
-        return F.coalesce(to_number(F.regexp_replace(bare, "^[^=]*=", "")), F.lit(0.0))
+        bare = F.rtrim(F.trim(item), F.lit(_LETTERS))
+        value = F.substring(bare, F.instr(bare, "=") + 1, 1 << 30)
+        return F.coalesce(to_number(value), F.lit(0.0))
 
     piped = F.contains(conf, F.lit("|"))
     engine = F.when(piped, _piped_half(halves[0])).otherwise(F.transform(F.split(conf, ";"), knob))

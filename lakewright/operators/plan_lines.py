@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
 
-_MARKER = r"^([ :]*?)(\+-|:-) "
+_LONG = 1 << 30
 _COMPARE = [">=", "<=", ">", "<", "="]
 _PATTERN = "StartsWith|EndsWith|Contains|NOT LIKE|LIKE"
 
@@ -47,26 +47,22 @@ def physical_section(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(head)), F.btrim(after, F.lit(_BLANK)))
 
 
-def spread(files: DataFrame) -> DataFrame:
-    """Parsing is bound by CPU, so input of fewer splits than cores is spread over the cores."""
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= cores:
-        return files
-    return files.repartition(cores, "file_name")
-
-
 def plan_lines(files: DataFrame) -> DataFrame:
     """(plan_key, benchmark, lines): depth, operator word and text of every plan line."""
-    rows = spread(files).withColumn("section", optimized_section(F.col("text"))).where("section IS NOT NULL")
+    rows = files.withColumn("section", optimized_section(F.col("text"))).where("section IS NOT NULL")
 
     def parsed(line: Column, i: Column) -> Column:
-        marked = line.rlike(_MARKER)
-        indent = F.length(F.regexp_extract(line, _MARKER, 1))
-        depth = F.when(i == 0, F.lit(0)).when(marked, (indent / 3).cast("int") + 1)
-        body = F.regexp_replace(line, _MARKER, "")
-        return F.struct(
-            depth.alias("depth"), F.regexp_extract(body, r"(\w+)", 1).alias("word"), body.alias("body")
-        )
+        # The indentation consists of blanks and colons; ':-' loses its colon to the trim.
+        def split_line(rest: Column) -> Column:
+            plus, minus = F.startswith(rest, F.lit("+- ")), F.startswith(rest, F.lit("- "))
+            cut = F.length(line) - F.length(rest)
+            indent = F.when(plus, cut).when(minus, cut - 1)
+            body = F.when(plus, F.substring(rest, 4, _LONG)).when(minus, F.substring(rest, 3, _LONG)).otherwise(line)
+            depth = F.when(i == 0, F.lit(0)).otherwise((indent / 3).cast("int") + 1)
+            word = F.substring_index(F.substring_index(body, " ", 1), "[", 1)
+            return F.struct(depth.alias("depth"), word.alias("word"), body.alias("body"))
+
+        return S.let(F.ltrim(line, F.lit(" :")), split_line)
 
     lines = F.filter(F.transform(F.split("section", "\n"), parsed), lambda s: s["depth"].isNotNull())
     return rows.select(

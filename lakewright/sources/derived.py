@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewright.sources.tables import table
+from lakewright.sources.tables import spread, table
 
 _Q = "cast(l_quantity as int)"
 _D = "cast(round(l_discount * 100) as int)"
@@ -201,11 +201,14 @@ def _sql(source: str, columns: dict[str, str], where: str | None = None) -> str:
 
 
 def trials_raw(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "lineitem").where(TRIAL_FILTER).selectExpr(*_select(TRIAL_COLUMNS))
+    used = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
+    lines = table(spark, folder, "lineitem").where(TRIAL_FILTER).select(*used)
+    return spread(lines, "l_orderkey", "l_partkey").selectExpr(*_select(TRIAL_COLUMNS))
 
 
 def plan_files(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").selectExpr(*_select(PLAN_COLUMNS))
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return spread(orders, "o_orderkey").selectExpr(*_select(PLAN_COLUMNS))
 
 
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:

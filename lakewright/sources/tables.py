@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakewright.session import materialize
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """A scan with fewer splits than cores, rewritten with one split per core.
+
+    For work bound by CPU on small tables. Written out, because filters move below a mere
+    repartition and would then run on the few original splits. Large tables have more splits
+    than cores and pass through unchanged. Only for plain scans: counting splits runs no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return materialize(scan.repartition(cores, *keys))
