@@ -125,9 +125,8 @@ def clean_predicate(text: Column) -> Column:
 
 def strip_case(text: Column) -> Column:
     """CASE expressions reduced to their conditions."""
-    return F.regexp_replace(
-        F.regexp_replace(text, r"(?is)\bTHEN\b.*?\bEND\b", ""), r"(?i)\b(?:CASE|WHEN)\b", ""
-    )
+    conditions = F.regexp_replace(F.regexp_replace(text, r"(?s)\bTHEN\b.*?\bEND\b", ""), r"\bCASE WHEN\b", "")
+    return F.when(F.contains(text, F.lit("CASE WHEN ")), conditions).otherwise(text)
 
 
 def _protect(text: Column) -> Column:

@@ -100,9 +100,9 @@ def log_moments(trials: DataFrame, floor: float = FLOOR_MS) -> DataFrame:
         )
         .withColumn("all_sd", F.sqrt(F.greatest(F.col("all_square") - F.col("all_mu") ** 2, F.lit(0.0))))
     )
-    sigma = F.coalesce(
-        F.greatest("sd", F.lit(0.1)), F.greatest("all_sd", F.lit(0.1)), F.lit(0.5)
-    )
+    # greatest() skips nulls, so a missing deviation must stay missing before the floor applies.
+    floored = [F.when(F.col(c).isNotNull(), F.greatest(c, F.lit(0.1))) for c in ("sd", "all_sd")]
+    sigma = F.coalesce(*floored, F.lit(0.5))
     # combos holds one row per engine and lake id: at most nine.
     return groups.join(F.broadcast(combos), COMBO, "left").select(
         *RECORD,

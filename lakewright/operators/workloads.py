@@ -167,7 +167,7 @@ def quantile_sample(trials: DataFrame, limit: int = SAMPLE_LIMIT) -> DataFrame:
     Equal records are counted first, ranks are computed over all tasks, and ``copies`` says how
     many of the chosen ranks fall on the record.
     """
-    distinct = trials.groupBy(*RECORD, "conf", "config", "latency").agg(F.count("*").alias("w"))
+    distinct = trials.groupBy(*RECORD, "conf", "latency").agg(F.count("*").alias("w"))
     ranked = split_scan(distinct, RECORD, ["latency", "conf"], F.col("w"), out="start", total="n")
     last = F.col("n") - 1
     step = F.greatest(F.lit(1), F.floor(F.col("n") / (limit - 1)))
@@ -176,4 +176,6 @@ def quantile_sample(trials: DataFrame, limit: int = SAMPLE_LIMIT) -> DataFrame:
     )
     inside = F.filter(spots, lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("w")))
     copies = F.when(F.col("n") <= limit, F.col("w")).otherwise(F.size(inside).cast("bigint"))
-    return ranked.withColumn("copies", copies).where("copies > 0").drop("w", "start", "n")
+    kept = ranked.withColumn("copies", copies).where("copies > 0").drop("w", "start", "n")
+    # The vector follows from the text, so it need not travel through the ranking.
+    return kept.withColumn("config", S.config_vector(F.col("conf"), F.col("engine_id"), F.col("lake_id")))

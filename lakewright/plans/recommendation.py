@@ -57,9 +57,9 @@ def chosen_combos(spark, folder, queries):
     return R.choose_combo(query_vectors(spark, folder, queries), F.slice(e, 1, 3), F.slice(e, 4, 3))
 
 
-def scored_trials(spark, folder):
-    trials = materialize(repaired(spark, folder))
-    stats = materialize(W.combo_stats(trials))
+def scored_trials(spark, folder, trials=None, stats=None):
+    trials = materialize(repaired(spark, folder)) if trials is None else trials
+    stats = materialize(W.combo_stats(trials)) if stats is None else stats
     scored = trials.withColumn("pred", R.linear_score(F.col("config"), WEIGHTS))
     return scored, stats, stats.select(*T.QUERY).distinct()
 
@@ -78,8 +78,8 @@ _PICK = """SELECT benchmark, query_id, engine_id AS pick_engine_id, lake_id AS p
   round(latency, 4) AS pick_latency, NOT has_match AS fallback, round(ratio, 4) AS ratio FROM picks"""
 
 
-def picks(spark, folder):
-    scored, stats, queries = scored_trials(spark, folder)
+def picks(spark, folder, trials=None, stats=None):
+    scored, stats, queries = scored_trials(spark, folder, trials, stats)
     return R.pick_per_query(scored, chosen_combos(spark, folder, queries)), stats
 
 
@@ -108,8 +108,8 @@ def _rounded(df, *keep):
 )
 def recommendation(spark, folder):
     """Per test workload and query: chosen engine, lake and configuration, and its regret."""
-    _, _, members = sampled(spark, folder, "test", 50, 8)
-    rows, _ = picks(spark, folder)
+    trials, stats, members = sampled(spark, folder, "test", 50, 8)
+    rows, _ = picks(spark, folder, trials, stats)
     return members.select("workload_id", *T.QUERY).join(rows, T.QUERY).select(
         "workload_id", *T.QUERY, "pick_engine_id", "pick_lake_id", "pick_conf",
         F.round("pick_latency", 4).alias("pick_latency"), "fallback", F.round("ratio", 4).alias("ratio"),
@@ -121,8 +121,8 @@ def recommendation(spark, folder):
     Q.with_(*_TEST, _SCORED, select=f"SELECT {_METRICS}, count(*) FILTER (NOT has_match) AS n_fallback FROM picks JOIN members USING (benchmark, query_id)"),
 )
 def _(spark, folder):
-    _, _, members = sampled(spark, folder, "test", 50, 8)
-    rows, _ = picks(spark, folder)
+    trials, stats, members = sampled(spark, folder, "test", 50, 8)
+    rows, _ = picks(spark, folder, trials, stats)
     return _rounded(R.query_metrics(rows, members))
 
 

@@ -67,7 +67,7 @@ repaired AS (
   SELECT a.benchmark, a.file_name, a.sf, a.query_id, a.engine_id, a.lake_id, a.conf, a.config,
     a.latency = 1500 AS repaired,
     CASE WHEN a.latency <> 1500 THEN a.latency ELSE greatest(1501.0::double,
-      exp(coalesce(loc.mu, overall.mu, ln(10000.0)) + 0.5 * coalesce(greatest(loc.sd, 0.1::double), greatest(overall.sd, 0.1::double), 0.5::double)
+      exp(coalesce(loc.mu, overall.mu, ln(10000.0)) + 0.5 * coalesce(CASE WHEN loc.sd IS NOT NULL THEN greatest(loc.sd, 0.1::double) END, CASE WHEN overall.sd IS NOT NULL THEN greatest(overall.sd, 0.1::double) END, 0.5::double)
         * {normal("42", "a.benchmark", "a.query_id", "a.engine_id", "a.lake_id", "a.conf")}) - 1) END AS latency
   FROM accepted a
   LEFT JOIN loc ON a.benchmark = loc.benchmark AND a.query_id = loc.query_id AND a.engine_id = loc.engine_id AND a.lake_id = loc.lake_id

@@ -229,7 +229,7 @@ def _(spark, folder):
         Q.RAW, Q.ACCEPTED, Q.REPAIRED,
         select="""SELECT benchmark, query_id, engine_id, lake_id, g.n, g.n_floor,
           round(coalesce(loc.mu, overall.mu, ln(10000.0)), 4) AS mu,
-          round(coalesce(greatest(loc.sd, 0.1::double), greatest(overall.sd, 0.1::double), 0.5::double), 4) AS sigma
+          round(coalesce(CASE WHEN loc.sd IS NOT NULL THEN greatest(loc.sd, 0.1::double) END, CASE WHEN overall.sd IS NOT NULL THEN greatest(overall.sd, 0.1::double) END, 0.5::double), 4) AS sigma
         FROM (SELECT benchmark, query_id, engine_id, lake_id, count(*) FILTER (latency <> 1500) AS n,
                 count(*) FILTER (latency = 1500) AS n_floor FROM accepted GROUP BY ALL) g
         LEFT JOIN loc USING (benchmark, query_id, engine_id, lake_id)
