@@ -16,17 +16,16 @@ PICK = ["latency", *COMBO, "conf"]
 
 def combo_stats(trials: DataFrame) -> DataFrame:
     """Per (query, combo): lowest latency, its configuration, number of records."""
-    best = F.min(F.struct("latency", "conf", "config"))
-    return (
-        trials.groupBy(*RECORD)
-        .agg(best.alias("b"), F.count("*").alias("n_records"))
-        .select(
-            *RECORD,
-            F.col("b.latency").alias("best_lat"),
-            F.col("b.conf").alias("best_conf"),
-            F.col("b.config").alias("best_config"),
-            "n_records",
-        )
+    best = F.min(F.struct("latency", "conf"))
+    rows = trials.groupBy(*RECORD).agg(best.alias("b"), F.count("*").alias("n_records"))
+    # The vector follows from the text, so only the text is carried through the aggregate.
+    config = S.config_vector(F.col("b.conf"), F.col("engine_id"), F.col("lake_id"))
+    return rows.select(
+        *RECORD,
+        F.col("b.latency").alias("best_lat"),
+        F.col("b.conf").alias("best_conf"),
+        config.alias("best_config"),
+        "n_records",
     )
 
 

@@ -26,7 +26,7 @@ def _r(column, name, digits=2):
 @query(
     "q1_grouped_aggregates",
     """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
-      round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc,
+      round(sum(l_extendedprice * (1 - l_discount)), 4) AS sum_disc,
       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
       round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 4) AS avg_disc,
       count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2""",
@@ -39,7 +39,7 @@ def _(spark, folder):
         .agg(
             _r(F.sum("l_quantity"), "sum_qty"),
             _r(F.sum("l_extendedprice"), "sum_base"),
-            _r(F.sum(_revenue()), "sum_disc"),
+            _r(F.sum(_revenue()), "sum_disc", 4),
             _r(F.sum(_revenue() * (1 + F.col("l_tax"))), "sum_charge"),
             _r(F.avg("l_quantity"), "avg_qty", 4),
             _r(F.avg("l_extendedprice"), "avg_price", 4),
@@ -52,7 +52,7 @@ def _(spark, folder):
 
 @query(
     "q2_three_way_join",
-    """SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+    """SELECT l_orderkey, o_orderdate, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue
     FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
     WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1997-03-15' AND l_shipdate > TIMESTAMP '1997-03-15'
     GROUP BY 1, 2""",
@@ -66,7 +66,7 @@ def _(spark, folder):
     return (
         orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
         .join(per_order, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select("l_orderkey", "o_orderdate", _r(F.col("revenue"), "revenue"))
+        .select("l_orderkey", "o_orderdate", _r(F.col("revenue"), "revenue", 4))
         .orderBy(F.desc("revenue"), "o_orderdate")
     )
 
@@ -98,7 +98,7 @@ def _(spark, folder):
 
 @query(
     "q4_global_aggregate",
-    """SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue, count(*) AS n FROM lineitem
+    """SELECT round(sum(l_extendedprice * l_discount), 4) AS revenue, count(*) AS n FROM lineitem
     WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1997-01-01'
       AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24""",
 )
@@ -107,7 +107,7 @@ def _(spark, folder):
         table(spark, folder, "lineitem")
         .where((F.col("l_shipdate") >= _day(1996, 1, 1)) & (F.col("l_shipdate") < _day(1997, 1, 1)))
         .where(F.col("l_discount").between(0.05, 0.07) & (F.col("l_quantity") < 24))
-        .agg(_r(F.sum(F.col("l_extendedprice") * F.col("l_discount")), "revenue"), F.count("*").alias("n"))
+        .agg(_r(F.sum(F.col("l_extendedprice") * F.col("l_discount")), "revenue", 4), F.count("*").alias("n"))
     )
 
 
@@ -168,7 +168,7 @@ def _(spark, folder):
 
 @query(
     "q8_scalar_max_subquery",
-    """WITH revenue AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS total_revenue FROM lineitem
+    """WITH revenue AS (SELECT l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) AS total_revenue FROM lineitem
       WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-07-01' GROUP BY 1)
     SELECT s_suppkey, s_name, total_revenue FROM supplier JOIN revenue ON s_suppkey = l_suppkey
     WHERE total_revenue = (SELECT max(total_revenue) FROM revenue)""",
@@ -178,7 +178,7 @@ def _(spark, folder):
         table(spark, folder, "lineitem")
         .where((F.col("l_shipdate") >= _day(1996, 1, 1)) & (F.col("l_shipdate") < _day(1996, 7, 1)))
         .groupBy("l_suppkey")
-        .agg(_r(F.sum(_revenue()), "total_revenue"))
+        .agg(_r(F.sum(_revenue()), "total_revenue", 4))
     )
     top = revenue.where(F.col("total_revenue") == revenue.agg(F.max("total_revenue")).scalar())
     return (
@@ -243,7 +243,7 @@ _Q11 = [("Brand#3", 1, 15, 15), ("Brand#5", 10, 25, 30), ("Brand#13", 20, 40, 50
 
 @query(
     "q11_disjunctive_join",
-    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem, part
+    """SELECT round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue, count(*) AS n FROM lineitem, part
     WHERE p_partkey = l_partkey AND ("""
     + " OR ".join(
         f"(p_brand = '{b}' AND l_quantity BETWEEN {lo} AND {hi} AND p_size BETWEEN 1 AND {size})" for b, lo, hi, size in _Q11
@@ -258,7 +258,7 @@ def _(spark, folder):
     joined = table(spark, folder, "lineitem").join(
         table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey")
     )
-    return joined.where(arms[0] | arms[1] | arms[2]).agg(_r(F.sum(_revenue()), "revenue"), F.count("*").alias("n"))
+    return joined.where(arms[0] | arms[1] | arms[2]).agg(_r(F.sum(_revenue()), "revenue", 4), F.count("*").alias("n"))
 
 
 @query(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def build_session(app: str = "lakewright", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; ``conf`` overrides any of them."""
@@ -50,7 +53,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, for tables written and read back by one job."""
-    return os.path.join(shared_dir(spark), f"{name}-{spark._jvm.java.util.UUID.randomUUID()}")
+    path = os.path.join(shared_dir(spark), f"lakewright-{name}-{uuid.uuid4()}")
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables this process wrote to the shared folder; frames built on them end here."""
+    conf = spark._jsc.hadoopConfiguration()
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame) -> DataFrame:

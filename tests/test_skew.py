@@ -81,3 +81,19 @@ def test_not_in_null_rules(spark):
     assert [r.k for r in not_in(left, "k", plain, "v").collect()] == [1]
     assert not_in(left, "k", with_null, "v").count() == 0
     assert not_in(left, "k", empty, "v").count() == 3
+
+
+def test_release_deletes_written_tables(spark):
+    from pathlib import Path
+
+    from lakewright import session
+
+    kept, session._written[:] = session._written[:], []
+    try:
+        df = session.materialize(spark.range(10))
+        path = Path(session._written[0])
+        assert df.count() == 10 and path.exists()
+        assert session.release(spark) == 1
+        assert not path.exists()
+    finally:
+        session._written[:] = kept
