@@ -20,7 +20,7 @@ PATTERN_OPS = ["StartsWith", "EndsWith", "Contains", "LIKE"]
 def column_counts(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """(column, value, number of rows), one pass over the table for all columns."""
     entries = [
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("num"), F.col(c).cast("string").alias("text"))
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("num"), F.lit(None).cast("string").alias("text"))
         for c in numeric
     ] + [
         F.struct(F.lit(c).alias("column"), F.lit(None).cast("double").alias("num"), F.col(c).cast("string").alias("text"))
@@ -28,7 +28,7 @@ def column_counts(df: DataFrame, numeric: list[str], text: list[str]) -> DataFra
     ]
     return (
         df.select(F.inline(F.array(*entries)))
-        .where("text IS NOT NULL")
+        .where("num IS NOT NULL OR text IS NOT NULL")
         .groupBy("column", "num", "text")
         .agg(F.count("*").alias("w"))
     )
@@ -43,11 +43,13 @@ def build(counts: DataFrame, few_values: int = FEW_VALUES, buckets: int = BUCKET
     # One row per profiled column.
     widths = counts.groupBy("column").agg(F.count("*").alias("n_values"), F.sum("w").alias("total"))
     tagged = counts.join(F.broadcast(widths), "column")
+    whole = F.col("num") == F.floor("num")
+    number = F.when(whole, F.col("num").cast("bigint").cast("string")).otherwise(F.col("num").cast("string"))
     points = tagged.where(F.col("n_values") <= few_values).select(
         "column",
         F.lit(None).cast("double").alias("lo"),
         F.lit(None).cast("double").alias("hi"),
-        F.col("text").alias("value"),
+        F.coalesce("text", number).alias("value"),
         F.col("num").alias("avg"),
         (F.col("w") / F.col("total")).alias("height"),
         F.lit(False).alias("closed"),
