@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakewright.llm.jaccard import jaccard_classes
+from lakewright.llm import ann, contamination, html_main, jaccard, langid, toxicity, warc, wavelet
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _query(name: str, sql: str | None = None):
@@ -23,7 +25,110 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+@_query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, folder, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 @_query("op2_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every document: 5-word runs, similarity 0.8."""
-    return jaccard_classes(table(spark, folder, "documents")).drop("row_hash")
+    return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("row_hash")
+
+
+@_query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@_query("op4_token_shards")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, written as wavelet matrices and read back."""
+    return wavelet.read_shards(spark, wavelet.write_shards(table(spark, folder, "documents"), tokenizer_path()))
+
+
+@_query("op5_main_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_main.extract(table(spark, folder, "pages"))
+
+
+@_query("op7_nearest_neighbours")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, folder, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 50 = 0"), ann.train(vectors))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@_query(
+    "op8_benchmark_contamination",
+    f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+bw AS (
+  SELECT item_id, len(w) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s, w FROM b WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, least(m, 10) AS n, array_to_string(w[s:s + least(m, 10) - 1], ' ') AS phrase FROM bw),
+sizes AS (SELECT DISTINCT n FROM wins),
+dp AS (SELECT doc_id, len(w) AS m, w, n FROM d, sizes WHERE len(w) >= n),
+dw AS (SELECT doc_id, n, w, unnest(range(1, m - n + 2)) AS p FROM dp),
+hits AS (
+  SELECT doc_id, item_id, p, wins.n FROM dw JOIN wins ON dw.n = wins.n AND array_to_string(w[p:p + dw.n - 1], ' ') = phrase),
+spots AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    hits = contamination.phrase_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+@_query(
+    "op10_warc_archives",
+    """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT sha1(h) AS s, min(page_id) AS first FROM p GROUP BY h),
+x AS (SELECT page_id, h, sha1(h) AS s FROM p),
+digits AS (SELECT s, list_transform(range(1, 41), i -> strpos('0123456789abcdef', s[i]) - 1) || [0] AS d FROM f),
+coded AS (
+  SELECT s, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ((d[(5 * i) // 4 + 1] * 16 + d[(5 * i) // 4 + 2]) // CAST(power(2, 3 - (5 * i) % 4) AS BIGINT)) % 32, 1)), '') AS b
+  FROM digits)
+SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, b AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM x JOIN f USING (s) JOIN coded USING (s)
+""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """A record per page, written to archives and read back."""
+    folder = warc.write_archives(table(spark, folder, "pages"))
+    return warc.page_records(warc.read_archives(spark, folder, payloads=False))
