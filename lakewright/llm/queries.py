@@ -117,9 +117,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 f AS (SELECT sha1(h) AS s, min(page_id) AS first FROM p GROUP BY h),
 x AS (SELECT page_id, h, sha1(h) AS s FROM p),
-digits AS (SELECT s, list_transform(range(1, 41), i -> strpos('0123456789abcdef', s[i]) - 1) || [0] AS d FROM f),
+digits AS (SELECT s, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', s[i]) - 1) || [0] AS d FROM f),
 coded AS (
-  SELECT s, array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+  SELECT s, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
     ((d[(5 * i) // 4 + 1] * 16 + d[(5 * i) // 4 + 2]) // CAST(power(2, 3 - (5 * i) % 4) AS BIGINT)) % 32, 1)), '') AS b
   FROM digits)
 SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, b AS payload_digest,
