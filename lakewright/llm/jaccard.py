@@ -313,7 +313,7 @@ def jaccard_classes(
     )
     classes = per_text.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     per_text = per_text.join(classes, "root").select(
-        "key", "class_id", "class_size", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+        "key", "class_id", "class_size", F.col("root").alias("class_key"), (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return prints.select("doc_id", "row_hash", "key").join(per_text, "key", "left").select(
         "doc_id",
@@ -321,4 +321,26 @@ def jaccard_classes(
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        "class_key",
     )
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each class: that of the least doc_id.
+
+    Ties go by a hash of doc_id and text; of rows equal in both one stays. Rows without words are no copies
+    of each other and all stay. Ids come before null ids.
+    """
+    classes = materialize(
+        jaccard_classes(docs, **options).where("class_key is not null").select("doc_id", "row_hash", "class_key")
+    )
+    order = F.struct(F.isnull("doc_id").alias("anonymous"), "doc_id", "row_hash")
+    winners = materialize(classes.groupBy("class_key").agg(F.min(order).alias("w")).select("w.row_hash"))
+    losers = classes.select("row_hash").distinct().join(winners, "row_hash", "left_anti")
+    repeated = classes.groupBy("row_hash").count().where("count > 1").join(winners, "row_hash", "left_semi")
+    marks = losers.select("row_hash", F.lit(1).alias("_mark")).union(repeated.select("row_hash", F.lit(2)))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(*names, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_row_hash"))
+    marked = lookup(rows, materialize(marks.withColumnRenamed("row_hash", "_row_hash")), ["_row_hash"], "left")
+    once = marked.where("_mark is null").select(*names)
+    return once.union(marked.where("_mark = 2").dropDuplicates(["_row_hash"]).select(*names))

@@ -48,7 +48,7 @@ def shape_features(words: Words, data: np.ndarray, offsets: np.ndarray) -> np.nd
 class Ftrl:
     """FTRL-proximal: per-coordinate rates, L1 for sparsity, L2 for stability."""
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(DIM), np.zeros(DIM)
         self.bias_z = self.bias_n = 0.0
@@ -89,10 +89,25 @@ def rows_of(features: list[np.ndarray], first: np.ndarray) -> list[tuple[np.ndar
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         found = np.concatenate([f[a:b] for f in features])
         at, counts = np.unique(found[found >= 0], return_counts=True)
-        out.append((at, value(counts)))
+        out.append((at.astype(np.int32), value(counts).astype(np.float32)))
     return out
 
 
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], epochs: int, min_texts: int) -> list[Ftrl]:
+    """One model per label vector, on the features that at least ``min_texts`` of the rows have.
+
+    The order of the steps is a seeded shuffle.
+    """
+    held = np.bincount(np.concatenate([np.zeros(0, np.int32), *(at for at, _ in rows)]), minlength=DIM) >= min_texts
+    rows = [(at[held[at]], x[held[at]]) for at, x in rows]
+    models = [Ftrl() for _ in labels]
+    for epoch in range(epochs):
+        for i in np.random.default_rng(epoch).permutation(len(rows)).tolist():
+            for model, label in zip(models, labels):
+                model.learn(*rows[i], int(label[i]))
+    return models
+
+
 def margins(dense: np.ndarray, features: list[np.ndarray], first: np.ndarray) -> np.ndarray:
     """Weighted sums (texts x models) under dense weights (models x DIM), bias left out."""
     texts = len(first) - 1

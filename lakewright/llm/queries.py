@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import ann, contamination, html_main, jaccard, langid, toxicity, warc, wavelet
+from lakewright.llm import ann, contamination, html_main, jaccard, langid, mixing, privacy, toxicity, warc, wavelet
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_jaccard_join")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Class and links of every document: 5-word runs, similarity 0.8."""
-    return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("row_hash")
+    return jaccard.jaccard_classes(table(spark, folder, "documents")).drop("row_hash", "class_key")
 
 
 @_query("op3_toxicity")
@@ -63,6 +63,32 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return html_main.extract(table(spark, folder, "pages"))
 
 
+@_query("op6_privacy_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    found = privacy.find(table(spark, folder, "documents"))
+
+    def written(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _kind_name(s), s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] < 4)
+    counts = [
+        F.size(F.filter("spans", _is_kind(k))).cast("long").alias(f"n_{name}")
+        for k, name in enumerate(privacy.KINDS[:4])
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written("spans").alias("spans")
+    )
+
+
+def _is_kind(kind: int):
+    return lambda span: span["kind"] == kind
+
+
+def _kind_name(span):
+    return F.element_at(F.array(*[F.lit(k) for k in privacy.KINDS]), span["kind"] + 1)
+
+
 @_query("op7_nearest_neighbours")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Five nearest vectors of every vector whose id is divisible by 50."""
@@ -111,6 +137,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query("op9_mixing_rates")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of every document for the target shares of the labelled domains."""
+    return mixing.document_rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @_query(
     "op10_warc_archives",
     """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.langid import held_out
-from lakewright.llm.linear import DIM, Ftrl, margins, rows_of, word_features
+from lakewright.llm.linear import DIM, fit, margins, rows_of, word_features
 from lakewright.llm.textbatch import chunks, words_of
 from lakewright.operators.skew import lookup
 
@@ -36,7 +36,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     return lookup(texts, known, ["doc_id"], "inner").dropDuplicates(["doc_id"]).select("doc_id", "label", "text")
 
 
-def _fit(epochs: int, skips: int):
+def _fit(epochs: int, skips: int, min_texts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, rows = [], []
         for batch in batches:
@@ -44,11 +44,8 @@ def _fit(epochs: int, skips: int):
                 words = words_of(data, offsets)
                 rows += rows_of(word_features(words, skips), words.first)
                 labels += batch.column("label").slice(row, len(offsets) - 1).to_pylist()
-        model = Ftrl()
-        for epoch in range(epochs):
-            for i in np.random.default_rng(epoch).permutation(len(rows)).tolist():
-                model.learn(*rows[i], int(labels[i] > 0))
-        at, weight, bias = model.sparse()
+        toxic = np.array(labels, np.int64) > 0
+        at, weight, bias = fit(rows, [toxic], epochs, min_texts)[0].sparse()
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[at, -1]), pa.array(np.r_[weight, bias])], ["feature", "weight"]
         )
@@ -56,14 +53,17 @@ def _fit(epochs: int, skips: int):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 8000, epochs: int = 3, skips: int = 1) -> ToxicityModel:
+def train(
+    docs: DataFrame, labels: DataFrame, rows: int = 12000, epochs: int = 8, skips: int = 1, min_texts: int = 8
+) -> ToxicityModel:
     """Fit on a sample of about ``rows`` labelled documents outside the held-out fold.
 
     The sample is bounded by the parameter, so one task holds it; the order of the steps is a seeded
-    shuffle of the rows sorted by id. L1 leaves few weights, which are what is broadcast.
+    shuffle of the rows sorted by id. Only features of at least ``min_texts`` of the sampled texts learn,
+    and L1 leaves few weights, which are what is broadcast.
     """
     sample = labelled_sample(docs, labels, "toxic", rows).repartition(1).sortWithinPartitions("doc_id")
-    fitted = sample.select("label", "text").mapInArrow(_fit(epochs, skips), "feature long, weight double").toArrow()
+    fitted = sample.select("label", "text").mapInArrow(_fit(epochs, skips, min_texts), "feature long, weight double").toArrow()
     at, weight = fitted["feature"].to_numpy(), fitted["weight"].to_numpy()
     return ToxicityModel(at[at >= 0], weight[at >= 0], float(weight[at < 0].sum()))
 

@@ -12,6 +12,7 @@ File: magic, length of the header, header (JSON: counts, levels, place of each s
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.llm.files import write_file
+from lakewright.llm.textbatch import text_bytes
 from lakewright.session import materialize, scratch_path
 
 MAGIC = b"LWWM\x01"
@@ -31,25 +33,36 @@ BLOCK = 512
 PIECE = 1 << 14
 SHARD_BYTES = 16 << 20
 END = 0
-CACHE = 300_000
-# A space after one of these begins a token of its own, whatever stands around it.
-_RISKY = re.compile(r"(?:^|[^\w\x21-\x7e]) ")
+CACHE = 400_000
+JOINED = 500
+# A space after any other character begins a token of its own, whatever stands around it.
+_RISKY = re.compile(r"[^\w\x21-\x7e]")
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
     """The text as a head and pieces that each follow one space; no token crosses from one to the next."""
     head, *rest = text.split(" ")
-    if not _RISKY.search(text):
-        return head, rest
     out: list[str] = [head]
     for piece in rest:
-        if out[-1] and not _RISKY.search(out[-1][-1] + " "):
+        if out[-1] and not _RISKY.match(out[-1][-1]):
             out.append(piece)
         else:
             out[-1] += " " + piece
     return out[0], out[1:]
 
 
+def _plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts in which every space follows a visible ASCII character or a two-byte letter or sign."""
+    at = np.flatnonzero(data == 32)
+    one, two = data[at - 1], data[at - 2]
+    fine = ((one > 32) & (one < 127)) | ((one >= 128) & (two >= 0xC3) & (two <= 0xDF))
+    row = np.searchsorted(offsets, at, "right") - 1
+    fine &= at > offsets[row]
+    plain = np.ones(len(offsets) - 1, bool)
+    plain[row[~fine]] = False
+    return plain
+
+
 class _Numbers(dict):
     """Number of each key in order of its first request."""
 
@@ -59,51 +72,100 @@ class _Numbers(dict):
 
 
 class Encoder:
-    """Encodes texts piece by piece and remembers the ids of pieces; at most ``CACHE`` of them."""
+    """Encodes texts piece by piece and remembers the ids of up to ``CACHE`` pieces.
+
+    When it is full it keeps the pieces that came more than once, the most frequent half at most.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(words.values()) + 1, np.int64)
+        for word, i in words.items():
+            self.n_bytes[i] = len(word)  # one character per byte
+        self.dtype = np.uint16 if len(self.n_bytes) <= 1 << 16 else np.uint32
+        self.known = _Numbers()
+        self.flat = np.zeros(1 << 16, self.dtype)
+        self.used = 0
+        self.begin, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):
+            model._resize_cache(0)  # every piece is asked for once, a cache of words is never hit
 
     def _forget(self) -> None:
-        self.known = _Numbers()
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.begin = np.zeros(1, np.int64)
-
-    def _add(self, keys: list[str]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(keys, add_special_tokens=False)]
-        ends = self.begin[-1] + np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)))
-        if ends[-1] > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(int(ends[-1]), np.int32)])
-        self.flat[self.begin[-1] : ends[-1]] = np.fromiter((i for ids in coded for i in ids), np.int32)
-        self.begin = np.concatenate([self.begin, ends])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        keep = self.seen >= 2
+        if keep.sum() > CACHE // 2:
+            keep &= self.seen > np.partition(self.seen, -(CACHE // 2))[-(CACHE // 2)]
+        self.seen, begin, self.size = self.seen[keep], self.begin[keep], self.size[keep]
+        self.begin = np.cumsum(self.size) - self.size
+        self.used = int(self.size.sum())
+        self.flat = self.flat[np.arange(self.used) + np.repeat(begin - self.begin, self.size)]
+        self.known = _Numbers((k, i) for i, k in enumerate(k for k, kept in zip(self.known, keep.tolist()) if kept))
+
+    def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts in one array, and their number per text."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], self.dtype), np.array(list(map(len, coded)), np.int64)
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_code`` of pieces after a space, encoded as one text and cut at the bytes where pieces end."""
+        ids, _ = self._code([" " + " ".join(pieces)])
+        ends = np.cumsum(self.n_bytes[ids])
+        wanted = np.cumsum([1 + len(p.encode()) for p in pieces])
+        cut = np.minimum(np.searchsorted(ends, wanted), max(len(ends) - 1, 0))
+        if len(ends) == 0 or (ends[cut] != wanted).any():
+            return self._code([" " + p for p in pieces])
+        return ids, np.diff(cut, prepend=-1)
+
+    def _add(self, keys: list[str | tuple[str]]) -> None:
+        single = [isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in keys]
+        alone, rest = np.flatnonzero(single), np.flatnonzero(~np.array(single))
+        runs = [(alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)]))]
+        for a in range(0, len(rest), JOINED):
+            part = rest[a : a + JOINED]
+            runs.append((part, self._together([keys[i] for i in part.tolist()])))
+        order = np.concatenate([at for at, _ in runs])
+        ids, counts = np.concatenate([r[1][0] for r in runs]), np.concatenate([r[1][1] for r in runs])
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), self.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        begin[order], size[order] = self.used + np.cumsum(counts) - counts, counts
+        self.used += len(ids)
+        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each text."""
         if len(self.known) > CACHE:
             self._forget()
+        plain = _plain_rows(*text_bytes(column))
         keys: list[str | tuple[str]] = []
-        counts = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            head, rest = pieces_of(text)
+        counts = np.empty(len(column), np.int64)
+        for i, text in enumerate(column.to_pylist()):
+            if plain[i]:
+                head, *rest = (text or "").split(" ")
+            else:
+                head, rest = pieces_of(text)
             keys.append((head,))  # no space before it
             keys += rest
             counts[i] = 1 + len(rest)
         old = len(self.known)
         number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         if len(self.known) > old:
-            fresh = list(islice(reversed(self.known), len(self.known) - old))[::-1]
-            self._add([k[0] if isinstance(k, tuple) else " " + k for k in fresh])
-        sizes = self.begin[number + 1] - self.begin[number]
-        firsts = np.r_[0, np.cumsum(counts)[:-1]]
-        n_ids = np.add.reduceat(sizes, firsts) + 1
+            self._add(list(islice(reversed(self.known), len(self.known) - old))[::-1])
+            self.seen = np.concatenate([self.seen, np.zeros(len(self.known) - old, np.int64)])
+        self.seen += np.bincount(number, minlength=len(self.seen))
+        sizes = self.size[number]
+        n_ids = np.add.reduceat(sizes, np.r_[0, np.cumsum(counts)[:-1]]) + 1
         # Where each piece's ids go: after all earlier ids and one end id per earlier text.
-        target = np.cumsum(sizes) - sizes + np.repeat(np.arange(len(texts)), counts)
-        out = np.full(int(n_ids.sum()), END, np.int32)
-        within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out[np.repeat(target, sizes) + within] = self.flat[np.repeat(self.begin[number], sizes) + within]
+        before = np.cumsum(sizes) - sizes
+        out = np.full(int(n_ids.sum()), END, self.dtype)
+        steps = np.arange(int(sizes.sum()))
+        target = steps + np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
+        out[target] = self.flat[steps + np.repeat(self.begin[number] - before, sizes)]
         return out, n_ids
 
 
@@ -129,7 +191,7 @@ class WaveletMatrix:
         sections: list[bytes] = []
         planes, ranks, zeros = [], [], []
         for level in range(levels):
-            bit = ((now >> (levels - 1 - level)) & 1).astype(bool)
+            bit = (now & now.dtype.type(1 << (levels - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), BLOCK // 8), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
             zeros.append(int(len(bit) - ones.sum()))
@@ -139,7 +201,10 @@ class WaveletMatrix:
                 sections.append(pack(packed[a : a + PIECE].tobytes()))
             ranks.append(len(sections))
             sections.append(pack((np.cumsum(ones) - ones).astype(np.uint32).tobytes()))
-            now = np.concatenate([now[~bit], now[bit]])
+            then = np.empty_like(now)
+            np.compress(~bit, now, out=then[: zeros[-1]])
+            np.compress(bit, now, out=then[zeros[-1] :])
+            now = then
         sections.append(pack(json.dumps(doc_ids).encode()))
         sections.append(pack(np.asarray(sizes, np.int64).tobytes()))
         ends = np.cumsum([0, *map(len, sections)]).tolist()
@@ -249,7 +314,7 @@ def _write(folder: str, tokenizer: str):
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 shard = part.column("shard")[0].as_py()
-                coded, counts = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+                coded, counts = encoder.encode(part.column("text"))
                 doc_ids += part.column("doc_id").to_pylist()
                 ids.append(coded)
                 sizes.append(counts)
