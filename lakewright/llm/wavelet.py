@@ -33,7 +33,7 @@ BLOCK = 512
 PIECE = 1 << 14
 SHARD_BYTES = 16 << 20
 END = 0
-CACHE = 400_000
+CACHE = 1_000_000
 JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
@@ -108,7 +108,8 @@ class Encoder:
     def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts in one array, and their number per text."""
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.array([i for ids in coded for i in ids], self.dtype), np.array(list(map(len, coded)), np.int64)
+        ids = coded[0] if len(coded) == 1 else [i for ids in coded for i in ids]
+        return np.array(ids, self.dtype), np.array(list(map(len, coded)), np.int64)
 
     def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_code`` of pieces after a space, encoded as one text and cut at the bytes where pieces end."""
