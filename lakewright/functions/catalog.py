@@ -44,34 +44,3 @@ PREFIX_TABLES = {
         "pi": "person_info", "rt": "role_type", "tl": "title",
     },
 }
-
-# Rows per table at the captured scale, per benchmark.
-TABLE_ROWS = {
-    "tpch": {
-        "customer": 1500000, "lineitem": 59986052, "nation": 25, "orders": 15000000,
-        "partsupp": 8000000, "part": 2000000, "region": 5, "supplier": 100000,
-    },
-    "ssb": {
-        "customer": 3000000, "date": 2556, "lineorder": 600037902, "part": 1400000,
-        "supplier": 200000,
-    },
-    "tpcds": {
-        "catalog_returns": 1439749, "customer": 500000, "customer_address": 250000,
-        "call_center": 1439749, "customer_demographics": 24, "catalog_page": 12000,
-        "catalog_sales": 14329288, "date_dim": 73049, "household_demographics": 7200,
-        "item": 102000, "income_band": 20, "inventory": 133110000, "promotion": 500,
-        "reason": 45, "store": 102, "ship_mode": 20, "store_returns": 2775158,
-        "store_sales": 27504814, "time_dim": 86400, "warehouse": 10, "web_site": 42,
-        "web_page": 200, "web_returns": 686665, "web_sales": 7195778,
-    },
-    "job": {
-        "company_type": 4, "supplier": 20000, "movie_info_idx": 1380035,
-        "person_info": 2963664, "lineorder": 59986052, "char_name": 3140339,
-        "info_type": 113, "title": 2528312, "role_type": 12, "company_name": 234997,
-        "movie_keyword": 4523930, "comp_cast_type": 4, "name": 4167491,
-        "aka_title": 361472, "keyword": 134170, "movie_link": 29997, "part": 800000,
-        "cast_info": 36244344, "aka_name": 901343, "complete_cast": 135086,
-        "movie_companies": 2609129, "kind_type": 7, "customer": 300000,
-        "movie_info": 14835720, "link_type": 18, "date": 2556,
-    },
-}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
-from lakewright.functions.catalog import MATCH_SHARE, PREFIX_TABLES, TABLE_ROWS
+from lakewright.functions.catalog import MATCH_SHARE, PREFIX_TABLES
 from lakewright.operators import histograms as H
 from lakewright.operators.skew import lookup, split_scan
 from lakewright.operators.trees import children
@@ -32,8 +32,11 @@ def known_columns(relations: DataFrame) -> DataFrame:
     return relations.groupBy(bench.alias("benchmark"), "column").agg(F.min("table_name").alias("table_name"))
 
 
-def column_magnitudes(relations: DataFrame, rows: dict = TABLE_ROWS) -> DataFrame:
-    """(name, magnitude): digits of the table's row count for each known ``table.column``."""
+def column_magnitudes(relations: DataFrame, rows: dict[str, dict[str, int]]) -> DataFrame:
+    """(name, magnitude): digits of the table's row count for each known ``table.column``.
+
+    ``rows`` has the row counts of each benchmark's tables; a table without one counts as one row.
+    """
     counts = {f"{b}_{t}": n for b, tables in rows.items() for t, n in tables.items()}
     n_rows = F.coalesce(F.try_element_at(S.literal_map(counts), F.col("table_name")), F.lit(1))
     return relations.select(
@@ -108,12 +111,19 @@ def list_widths(plans: DataFrame) -> DataFrame:
     return plans.groupBy("benchmark").agg(*[longest(k) for k in KINDS])
 
 
-def predicate_rows(pred: Column, negated: Column, buckets: Column, rows: Column) -> Column:
-    """Estimated rows of one predicate atom."""
+def prefix_rows(rows: dict[str, dict[str, int]]) -> Column:
+    """Row counts by ``benchmark|prefix``, as a map."""
+    named = {f"{b}|{p}": rows[b][t] for b, m in PREFIX_TABLES.items() for p, t in m.items() if t in rows.get(b, {})}
+    return S.literal_map(named) if named else F.create_map().cast("map<string,bigint>")
+
+
+def predicate_rows(pred: Column, negated: Column, buckets: Column, rows: Column, benchmark: Column) -> Column:
+    """Estimated rows of one predicate atom; ``rows`` as from ``prefix_rows``."""
     op, values = pred["op"], pred["values"]
     column = pred["col"]
-    total = F.coalesce(F.try_element_at(rows, F.substring_index(column, "_", 1)), F.lit(1)).cast("double")
-    known_rows = F.coalesce(F.try_element_at(rows, F.substring_index(column, "_", 1)), F.lit(0)).cast("double")
+    owner = F.concat(benchmark, F.lit("|"), F.substring_index(column, "_", 1))
+    total = F.coalesce(F.try_element_at(rows, owner), F.lit(1)).cast("double")
+    known_rows = F.coalesce(F.try_element_at(rows, owner), F.lit(0)).cast("double")
     hist = F.try_element_at(buckets, column)
     equal = F.when(op == "IN", "=").otherwise(op)
     kept = (
@@ -131,7 +141,7 @@ def flat_features(
     operators: DataFrame,
     magnitudes: DataFrame,
     hist: DataFrame,
-    rows: dict[str, int],
+    rows: dict[str, dict[str, int]],
 ) -> DataFrame:
     """(plan_key, benchmark, features, children): one numeric vector per node.
 
@@ -152,7 +162,7 @@ def flat_features(
         head = F.array(
             F.try_element_at(F.col("_ids"), v["operator"]).cast("double"),
             S.digit_count(v["limit"]).cast("double"),
-            predicate_rows(v["pred"], v["negated"], F.col("_buckets"), S.literal_map(rows)),
+            predicate_rows(v["pred"], v["negated"], F.col("_buckets"), prefix_rows(rows), F.col("benchmark")),
             flag,
         )
         return F.concat(head, *[numbers(v[k], F.col(f"w_{k}")) for k in KINDS])

@@ -35,10 +35,11 @@ def column_counts(df: DataFrame, numeric: list[str], text: list[str]) -> DataFra
 
 
 def build(counts: DataFrame, few_values: int = FEW_VALUES, buckets: int = BUCKETS) -> DataFrame:
-    """One frequency bucket per value of few-valued columns, equal-height ranges for numeric ones.
+    """One frequency bucket per value of columns with up to ``few_values`` values, else equal-height ranges.
 
-    Range edges come from exact ranks. A value held by many rows is one counted row here and may
-    span several buckets.
+    Range edges come from exact ranks, by number or by text (``lo_text``, ``hi_text``). A value held by
+    many rows is one counted row here and may span several buckets. The switch by the number of values
+    is the two bucket kinds of the text format; no column is left out.
     """
     # One row per profiled column.
     widths = counts.groupBy("column").agg(F.count("*").alias("n_values"), F.sum("w").alias("total"))
@@ -53,9 +54,11 @@ def build(counts: DataFrame, few_values: int = FEW_VALUES, buckets: int = BUCKET
         F.col("num").alias("avg"),
         (F.col("w") / F.col("total")).alias("height"),
         F.lit(False).alias("closed"),
+        F.lit(None).cast("string").alias("lo_text"),
+        F.lit(None).cast("string").alias("hi_text"),
     )
     wide = counts.join(F.broadcast(widths.where(F.col("n_values") > few_values).select("column")), "column")
-    ranked = split_scan(wide.where("num IS NOT NULL"), ["column"], ["num"], F.col("w"), out="start", total="total")
+    ranked = split_scan(wide, ["column"], ["num", "text"], F.col("w"), out="start", total="total")
     base, extra = F.floor(F.col("total") / buckets), F.col("total") % buckets
 
     def bucket_of(rank: Column) -> Column:
@@ -74,12 +77,15 @@ def build(counts: DataFrame, few_values: int = FEW_VALUES, buckets: int = BUCKET
         .agg(
             F.min("num").alias("lo"),
             F.max("num").alias("hi"),
+            F.min("text").alias("lo_text"),
+            F.max("text").alias("hi_text"),
             F.sum(F.col("num") * F.col("share")).alias("s"),
             F.sum("share").alias("k"),
         )
         .select(
             "column", "lo", "hi", F.lit(None).cast("string").alias("value"), (F.col("s") / F.col("k")).alias("avg"),
             (F.col("k") / F.col("total")).alias("height"), (F.col("bucket") == buckets - 1).alias("closed"),
+            "lo_text", "hi_text",
         )
     )
     return points.unionByName(ranges)
@@ -88,14 +94,14 @@ def build(counts: DataFrame, few_values: int = FEW_VALUES, buckets: int = BUCKET
 def to_text(hist: DataFrame) -> DataFrame:
     """(column, text): the histogram of a column in its text form."""
     edge = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    head = F.when(
-        F.col("lo").isNull(), F.concat(F.lit("    "), F.col("value"))
-    ).otherwise(
-        F.concat(F.lit("    ["), edge("lo"), F.lit(", "), edge("hi"), F.when(F.col("closed"), "]").otherwise(")"))
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    low, high = F.coalesce(edge("lo"), quoted("lo_text")), F.coalesce(edge("hi"), quoted("hi_text"))
+    head = F.when(low.isNull(), F.concat(F.lit("    "), F.col("value"))).otherwise(
+        F.concat(F.lit("    ["), low, F.lit(", "), high, F.when(F.col("closed"), "]").otherwise(")"))
     )
-    average = F.coalesce(F.col("avg").cast("decimal(18,4)").cast("string"), F.col("value"))
+    average = F.coalesce(F.col("avg").cast("decimal(18,4)").cast("string"), F.col("value"), F.col("lo_text"))
     line = F.concat(head, F.lit(": avg = "), average, F.lit(", height = "), F.col("height").cast("decimal(6,4)").cast("string"))
-    order = F.struct(F.coalesce("lo", F.lit(0.0)).alias("lo"), (-F.col("height")).alias("h"), F.coalesce("value", F.lit("")).alias("v"), line.alias("line"))
+    order = F.struct(F.coalesce("lo", F.lit(0.0)).alias("lo"), F.coalesce("lo_text", F.lit("")).alias("t"), (-F.col("height")).alias("h"), F.coalesce("value", F.lit("")).alias("v"), line.alias("line"))
     # A histogram has at most FEW_VALUES or BUCKETS lines.
     lines = F.transform(F.array_sort(F.collect_list(order)), lambda s: s["line"])
     return hist.groupBy("column").agg(
@@ -107,7 +113,8 @@ def parse_text(files: DataFrame) -> DataFrame:
     """Histogram texts to one row per bucket.
 
     A column's part runs from its ``Column:`` line to the next one. A bucket is a range only
-    when its text starts with a bracket, so a comma inside a value is no range.
+    when its text starts with a bracket, so a comma inside a value is no range. Edges of text ranges
+    are quoted.
     """
     part = F.explode(F.slice(F.split("text", "Column:"), 2, F.size(F.split("text", "Column:"))))
     lines = files.select(part.alias("part")).select(
@@ -122,12 +129,16 @@ def parse_text(files: DataFrame) -> DataFrame:
     ).where("height IS NOT NULL")
     inner = F.regexp_replace("head", r"^[\[(]|[\])]$", "")
     is_range = F.col("head").rlike(r"^\[.*,.*[\])]$")
+    texts = r'^"(.*)", "(.*)"$'
+    is_text = inner.rlike(texts)
     return parsed.select(
         "column",
-        F.when(is_range, S.to_number(F.split_part(inner, F.lit(","), F.lit(1)))).alias("lo"),
-        F.when(is_range, S.to_number(F.split_part(inner, F.lit(","), F.lit(2)))).alias("hi"),
+        F.when(is_range & ~is_text, S.to_number(F.split_part(inner, F.lit(","), F.lit(1)))).alias("lo"),
+        F.when(is_range & ~is_text, S.to_number(F.split_part(inner, F.lit(","), F.lit(2)))).alias("hi"),
         F.when(~is_range, F.col("head")).alias("value"),
         "height",
+        F.when(is_range & is_text, F.regexp_extract(inner, texts, 1)).alias("lo_text"),
+        F.when(is_range & is_text, F.regexp_extract(inner, texts, 2)).alias("hi_text"),
     )
 
 
@@ -135,7 +146,8 @@ def nest(hist: DataFrame) -> DataFrame:
     """One row per column with its buckets; at most FEW_VALUES of them."""
     value = S.parse_literal(F.col("value"))
     bucket = F.struct(
-        "lo", "hi", value["num"].alias("num"), F.when(value["num"].isNull(), value["text"]).alias("text"), "height"
+        "lo", "hi", value["num"].alias("num"), F.when(value["num"].isNull(), value["text"]).alias("text"), "height",
+        "lo_text", "hi_text",
     )
     return hist.groupBy("column").agg(F.collect_list(bucket).alias("buckets"))
 
@@ -143,18 +155,20 @@ def nest(hist: DataFrame) -> DataFrame:
 def _matches(b: Column, op: Column, lit: Column, compat: bool) -> Column:
     """Whether bucket ``b`` counts for ``column op literal``."""
     num, text = lit["num"], lit["text"]
-    ranged = b["lo"].isNotNull()
+    ranged, texts = b["lo"].isNotNull(), b["lo_text"].isNotNull()
+    # A literal that reads as a number is compared as its text with ranges of texts.
+    word = F.coalesce(text, lit["raw"])
     if compat:
         # Reference direction: '<' takes buckets above the literal, '>' those below.
-        below = F.when(ranged, num > b["hi"]).when(num.isNotNull(), num > b["num"]).otherwise(text > b["text"])
-        above = F.when(ranged, num < b["lo"]).when(num.isNotNull(), num < b["num"]).otherwise(text < b["text"])
+        below = F.when(texts, word > b["hi_text"]).when(ranged, num > b["hi"]).when(num.isNotNull(), num > b["num"]).otherwise(text > b["text"])
+        above = F.when(texts, word < b["lo_text"]).when(ranged, num < b["lo"]).when(num.isNotNull(), num < b["num"]).otherwise(text < b["text"])
         less, less_eq, more, more_eq = above, above, below, below
     else:
-        less = F.when(ranged, b["hi"] <= num).when(num.isNotNull(), b["num"] < num).otherwise(b["text"] < text)
-        less_eq = F.when(ranged, b["hi"] <= num).when(num.isNotNull(), b["num"] <= num).otherwise(b["text"] <= text)
-        more = F.when(ranged, b["lo"] >= num).when(num.isNotNull(), b["num"] > num).otherwise(b["text"] > text)
-        more_eq = F.when(ranged, b["lo"] >= num).when(num.isNotNull(), b["num"] >= num).otherwise(b["text"] >= text)
-    equal = F.when(ranged, num.between(b["lo"], b["hi"])).when(num.isNotNull(), b["num"] == num).otherwise(b["text"] == text)
+        less = F.when(texts, b["hi_text"] <= word).when(ranged, b["hi"] <= num).when(num.isNotNull(), b["num"] < num).otherwise(b["text"] < text)
+        less_eq = F.when(texts, b["hi_text"] <= word).when(ranged, b["hi"] <= num).when(num.isNotNull(), b["num"] <= num).otherwise(b["text"] <= text)
+        more = F.when(texts, b["lo_text"] >= word).when(ranged, b["lo"] >= num).when(num.isNotNull(), b["num"] > num).otherwise(b["text"] > text)
+        more_eq = F.when(texts, b["lo_text"] >= word).when(ranged, b["lo"] >= num).when(num.isNotNull(), b["num"] >= num).otherwise(b["text"] >= text)
+    equal = F.when(texts, word.between(b["lo_text"], b["hi_text"])).when(ranged, num.between(b["lo"], b["hi"])).when(num.isNotNull(), b["num"] == num).otherwise(b["text"] == text)
     hit = F.when(op == "=", equal).when(op == "<", less).when(op == "<=", less_eq).when(op == ">", more).when(op == ">=", more_eq)
     return F.coalesce(hit, F.lit(False))
 
@@ -164,7 +178,9 @@ def selectivity(buckets: Column, op: Column, values: Column, compat: bool = Fals
 
     def one(text: Column) -> Column:
         parsed = S.parse_literal(text)
-        lit = F.struct(parsed["num"].alias("num"), F.when(parsed["num"].isNull(), parsed["text"]).alias("text"))
+        lit = F.struct(
+            parsed["num"].alias("num"), F.when(parsed["num"].isNull(), parsed["text"]).alias("text"), text.alias("raw")
+        )
         return S.let(
             lit,
             lambda v: F.aggregate(

@@ -21,7 +21,7 @@ def candidate_keys(query_id: Column) -> Column:
     def number(pattern: str, group: int = 1) -> Column:
         return F.regexp_extract(base, pattern, group)
 
-    spelled = F.concat(F.lit("tpcds_q"), F.replace(F.substring(base, 6, 1000), F.lit("_"), F.lit("")))
+    spelled = F.concat(F.lit("tpcds_q"), F.replace(F.substr(base, F.lit(6)), F.lit("_"), F.lit("")))
     bare = F.regexp_replace(base, r"tpcds_q_0*(\d+)", "tpcds_q$1")
     ssb = r"^q(\d+)_(\d+)$"
     return F.concat(

@@ -146,7 +146,8 @@ def predicate_nodes(condition: Column) -> Column:
 
     Parentheses nest groups; a group with AND or OR directly inside is a logical node, any other
     group only wraps its content. Operands of a logical node become its children whether or not
-    they have parentheses of their own.
+    they have parentheses of their own. AND binds closer than OR: operands of AND between two ORs of
+    a group are a group of their own.
     """
     tokens = F.filter(
         F.transform(
@@ -155,7 +156,18 @@ def predicate_nodes(condition: Column) -> Column:
         ),
         lambda t: t != "",
     )
-    return S.let(tokens, _nodes_of_tokens)
+    return S.let(tokens, lambda t: S.let(_by_precedence(t), _nodes_of_tokens))
+
+
+def _by_precedence(tokens: Column) -> Column:
+    """Tokens with a second pair of parentheses in each group, closed and opened again at every OR."""
+
+    def wrap(t: Column) -> Column:
+        twice = F.when(t.isin("(", ")"), F.array(t, t))
+        return twice.when(t == "OR", F.array(F.lit(")"), t, F.lit("("))).otherwise(F.array(t))
+
+    whole = F.concat(F.array(F.lit("(")), F.flatten(F.transform(tokens, wrap)), F.array(F.lit(")")))
+    return F.when(F.size(tokens) > 0, whole).otherwise(tokens)
 
 
 def _nodes_of_tokens(tokens: Column) -> Column:

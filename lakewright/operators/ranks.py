@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.operators.skew import lookup, split_scan
+from lakewright.operators.skew import lookup, same, split_scan
 
 
 def with_rank(df: DataFrame, group: Sequence[str], value: str, kind: str, out: str, descending: bool = True) -> DataFrame:
     """Rows with their rank by ``value`` inside ``group``.
 
     The rank depends on the distinct values only: they are counted first, ranked over all tasks
-    with equal values collapsed, and joined back.
+    with equal values collapsed, and joined back. Null groups are a group and null values have a
+    rank: last when descending, first when ascending.
     """
     order: Column = F.desc(value) if descending else F.asc(value)
     counts = df.groupBy(*group, value).agg(F.count("*").alias("_w"))
@@ -25,8 +26,10 @@ def with_rank(df: DataFrame, group: Sequence[str], value: str, kind: str, out: s
         "dense_rank": (F.col("_start") + 1).cast("bigint"),
         "percent_rank": F.when(F.col("_n") > 1, F.col("_start") / (F.col("_n") - 1)).otherwise(F.lit(0.0)),
     }[kind]
-    ranks = ranked.select(*group, value, result.alias(out))
-    return lookup(df, ranks, [*group, value], "inner")
+    key = same([*group, value])
+    ranks = ranked.select(key.alias("_key"), result.alias(out))
+    names = [c for c in df.columns if c != out]
+    return lookup(df.withColumn("_key", key), ranks, ["_key"], "inner").select(*names, out)
 
 
 def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:

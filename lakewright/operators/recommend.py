@@ -12,8 +12,10 @@ from lakewright.operators.workloads import workload_records
 
 
 def linear_score(config: Column, weights: list[float]) -> Column:
-    """Deterministic scorer: product of the padded configuration with fixed weights."""
-    return S.dot(S.pad(config, len(weights)), F.array(*[F.lit(float(w)) for w in weights]))
+    """Deterministic scorer: product of the whole configuration with fixed weights, used in turn."""
+    w = F.array(*[F.lit(float(v)) for v in weights])
+    terms = F.transform(config, lambda x, i: x * F.get(w, i % len(weights)))
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
 def choose_combo(queries: DataFrame, engine_logits: Column, lake_logits: Column) -> DataFrame:
@@ -35,13 +37,18 @@ def candidates(trials: DataFrame, stats: DataFrame, chosen: DataFrame) -> DataFr
     return joined.where(match | ~F.col("has_match")).withColumn("fallback", ~F.col("has_match"))
 
 
+def lowest_latencies(scored: DataFrame) -> DataFrame:
+    return scored.groupBy(*RECORD, "conf", "pred").agg(F.min("latency").alias("latency"))
+
+
 def pick_per_query(scored: DataFrame, chosen: DataFrame) -> DataFrame:
     """Per query the record with the lowest prediction, among those of the chosen combo if any.
 
-    Both minima come from one pass with map-side merging. Ties go to the lowest engine, lake,
-    configuration and latency.
+    Records are reduced to the lowest latency per configuration and prediction first, in a hash
+    aggregate; both minima come from its result. Ties go to the lowest engine, lake, configuration
+    and latency.
     """
-    joined = lookup(scored, chosen, QUERY, "inner")
+    joined = lookup(lowest_latencies(scored), chosen, QUERY, "inner")
     match = (F.col("engine_id") == F.col("engine_star")) & (F.col("lake_id") == F.col("lake_star"))
     record = F.struct("pred", *COMBO, "conf", "latency")
     lowest = F.struct("latency", *COMBO, "conf")
@@ -63,7 +70,7 @@ def pick_per_query(scored: DataFrame, chosen: DataFrame) -> DataFrame:
 def pick_per_workload(members: DataFrame, scored: DataFrame) -> DataFrame:
     """Per workload one record over the pooled records of its queries; ratio to the pool minimum."""
     record = F.struct("pred", *COMBO, *QUERY, "conf", "latency")
-    pooled = workload_records(members, scored)
+    pooled = workload_records(members, lowest_latencies(scored))
     return (
         pooled.groupBy("workload_id")
         .agg(F.min(record).alias("p"), F.min("latency").alias("pool_best"))

@@ -11,9 +11,25 @@ from pyspark.sql import types as T
 from lakewright.session import materialize
 
 SALTS = 16
+TASK_BYTES = 128 << 20
 BROADCAST_BYTES = 64 << 20
 
 
+def same(columns: Sequence[str]) -> Column:
+    """Columns as one value in which nulls are equal, for joins."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns])
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Size of a frame as its plan estimates it from the files it reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks for a shuffle of all rows: about ``TASK_BYTES`` each, the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(estimated_bytes(df) // TASK_BYTES, 1 << 20))
+
+
 def split_scan(
     df: DataFrame,
     group: Sequence[str],
@@ -32,14 +48,15 @@ def split_scan(
     ``how="sum"`` gives the sum over strictly earlier rows (the 0-based rank when ``value`` is
     1), ``how="min"`` the minimum up to and including the row. ``total`` names an optional
     column with the value over the whole group. Rows equal in every key share one slab, so
-    callers collapse copies into a weight first. Group columns must not be null.
+    callers collapse copies into a weight first. Nulls in group columns are a group.
     """
     spark = df.sparkSession
     group = list(group)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = task_count(df)
     fold = {"sum": F.sum, "min": F.min}[how]
     slabs = materialize(
         df.withColumn("_v", F.lit(1).cast("bigint") if value is None else value)
+        .withColumn("_key", same(group))
         .repartitionByRange(parts, *group, *order)
         .withColumn("_slab", F.spark_partition_id())
     )
@@ -50,14 +67,14 @@ def split_scan(
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     totals = (
-        slabs.groupBy("_slab", *group)
+        slabs.groupBy("_slab", "_key", *group)
         .agg(fold("_v").alias("_n"))
         .withColumn("_before", fold("_n").over(earlier))
         .withColumn("_all", fold("_n").over(whole))
-        .drop("_n")
+        .select("_slab", "_key", "_before", "_all")
     )
     local = F.sum("_v").over(before) if how == "sum" else F.min("_v").over(upto)
-    joined = slabs.withColumn("_local", local).join(totals, ["_slab", *group])
+    joined = slabs.withColumn("_local", local).join(totals, ["_slab", "_key"])
     if how == "sum":
         zero = F.lit(0)
         result = F.coalesce("_before", zero) + F.coalesce("_local", zero)
@@ -66,7 +83,7 @@ def split_scan(
     joined = joined.withColumn(out, result)
     if total:
         joined = joined.withColumn(total, F.col("_all"))
-    return joined.drop("_v", "_slab", "_local", "_before", "_all")
+    return joined.drop("_v", "_slab", "_key", "_local", "_before", "_all")
 
 
 def in_memory_bytes(df: DataFrame) -> int:
@@ -93,7 +110,7 @@ def lookup(
 
     The aggregate is written out once and measured. Up to ``limit_bytes`` it is broadcast, so
     the large side is not shuffled. Beyond that both sides are joined on (key, salt): the rows
-    of a hot key spread over ``SALTS`` tasks and the aggregate is repeated per salt.
+    of a hot key spread over the salts and the aggregate is repeated per salt.
     """
     small = materialize(small)
     if in_memory_bytes(small) <= limit_bytes:
@@ -102,10 +119,12 @@ def lookup(
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Equi-join that spreads each key of ``big`` over ``SALTS`` tasks.
+    """Equi-join that spreads each key of ``big`` over many tasks.
 
-    The salt is the input partition number, which a retried task keeps.
+    There are as many salts as let a key with a third of all rows fill tasks of ``TASK_BYTES``,
+    ``SALTS`` at least. The salt is the input partition number, which a retried task keeps.
     """
-    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = max(SALTS, min(estimated_bytes(big) // (3 * TASK_BYTES), 1 << 12))
+    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

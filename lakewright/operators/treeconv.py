@@ -40,17 +40,36 @@ def seeded_layers(sizes: Sequence[int], seed: int = 42, gain: float = 2.0) -> li
     return layers
 
 
+def binary(kids: Sequence[Sequence[int]]) -> tuple[list[list[int]], np.ndarray]:
+    """Children of a forest with at most two each, and the level of every node above its leaves.
+
+    A node with more children keeps its first and gets a dummy node for the others, which does the
+    same; dummies are numbered after all nodes. Children have larger ids than their parent.
+    """
+    n = len(kids)
+    pairs = [list(k) for k in kids]
+    level = [0] * n
+    for node in range(n - 1, -1, -1):
+        while len(pairs[node]) > 2:
+            rest = pairs[node][-2:]
+            pairs[node][-2:] = [len(pairs)]
+            pairs.append(rest)
+            level.append(1 + max(level[k] for k in rest))
+        level[node] = max((level[k] + 1 for k in pairs[node]), default=0)
+    return pairs, np.array(level, dtype=int)
+
+
 def convolve(features: np.ndarray, kids: Sequence[Sequence[int]], layers: Sequence[Layer], kernels: int) -> np.ndarray:
     """Embedding of every node of a forest, children before parents, one step per level.
 
     A leaf repeats its own vector per kernel. An inner node runs the layers on its vector and
-    its two children's slices of kernel k and keeps output slice k.
+    its two children's slices of kernel k and keeps output slice k. Third and later children come
+    in through dummy nodes with a zero vector.
     """
-    n, width = features.shape
-    level = np.zeros(n, dtype=int)
-    for node in range(n - 1, -1, -1):  # children have larger ids than their parent
-        for kid in kids[node]:
-            level[node] = max(level[node], level[kid] + 1)
+    given, width = features.shape
+    kids, level = binary(kids)
+    n = len(kids)
+    features = np.concatenate([features, np.zeros((n - given, width))])
     # Row n is the zero vector of an absent right child.
     out = np.zeros((n + 1, kernels, width))
     leaves = np.flatnonzero(level == 0)
@@ -64,7 +83,7 @@ def convolve(features: np.ndarray, kids: Sequence[Sequence[int]], layers: Sequen
         joined = np.concatenate([own, out[left], out[right]], axis=2)
         mixed = mlp(joined, layers).reshape(len(nodes), kernels, kernels, width)
         out[nodes] = mixed[:, slots, slots, :]
-    return out[:n].reshape(n, kernels * width)
+    return out[:given].reshape(given, kernels * width)
 
 
 def plan_embeddings(trees: DataFrame, layers: Sequence[Layer], kernels: int = KERNELS) -> DataFrame:

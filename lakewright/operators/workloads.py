@@ -16,8 +16,10 @@ PICK = ["latency", *COMBO, "conf"]
 
 def combo_stats(trials: DataFrame) -> DataFrame:
     """Per (query, combo): lowest latency, its configuration, number of records."""
+    # Numbers only in the aggregate over the raw log, so that it hashes; texts are compared in its result.
+    per_conf = trials.groupBy(*RECORD, "conf").agg(F.min("latency").alias("latency"), F.count("*").alias("n"))
     best = F.min(F.struct("latency", "conf"))
-    rows = trials.groupBy(*RECORD).agg(best.alias("b"), F.count("*").alias("n_records"))
+    rows = per_conf.groupBy(*RECORD).agg(best.alias("b"), F.sum("n").alias("n_records"))
     # The vector follows from the text, so only the text is carried through the aggregate.
     config = S.config_vector(F.col("b.conf"), F.col("engine_id"), F.col("lake_id"))
     return rows.select(
@@ -140,7 +142,7 @@ def workload_best(totals: DataFrame) -> DataFrame:
 
 
 def workload_records(members: DataFrame, trials: DataFrame) -> DataFrame:
-    """Every trial of every member query, once per workload.
+    """Every row of every member query, once per workload; callers reduce the trials per query first.
 
     ``members`` is bounded by workloads times queries per workload, both parameters, so it is
     broadcast and a hot query stays where it was read.

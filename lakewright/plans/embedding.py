@@ -122,7 +122,7 @@ def _(spark, folder):
     plans = rows.where("vec_id % 3 = 0").select(F.col("vec_id").cast("string").alias("plan_key"), "embedding")
     merged = with_fallback(queries, plans, own)
     out = merged.select(
-        F.substring("query_id", 2, 30).cast("bigint").alias("query"), "is_fallback", F.posexplode_outer("embedding").alias("pos", "value")
+        F.expr("substring(query_id, 2)").cast("bigint").alias("query"), "is_fallback", F.posexplode_outer("embedding").alias("pos", "value")
     )
     return out.select("query", "is_fallback", F.col("pos").cast("bigint").alias("pos"), F.round("value", 4).alias("value"))
 

@@ -67,7 +67,7 @@ def _(spark, folder):
 
 @query("h1_histogram_parse", Q.with_(HIST, select=_SHOW + " FROM rounded"))
 def _(spark, folder):
-    return H.parse_text(H.to_text(profile(spark, folder)))
+    return H.parse_text(H.to_text(profile(spark, folder))).select("column", "lo", "hi", "value", "height")
 
 
 @query(
@@ -208,22 +208,20 @@ _row_query("h6_column_comparison_estimate", ["="], "contains(first, '#')")
     "j10_bucket_range_lookup",
     Q.with_(
         HIST,
-        select="""SELECT l_orderkey, l_linenumber, l_extendedprice, count(*) AS n_buckets, round(sum(height), 4) AS height
-        FROM lineitem JOIN hist ON col = 'l_extendedprice' AND l_extendedprice BETWEEN lo AND hi GROUP BY 1, 2, 3""",
+        "prices AS (SELECT list({lo: lo, hi: hi, height: height}) AS buckets FROM hist WHERE col = 'l_extendedprice')",
+        """hits AS (SELECT l_orderkey, l_linenumber, l_extendedprice,
+          list_filter(buckets, lambda b: l_extendedprice BETWEEN b.lo AND b.hi) AS hit FROM lineitem, prices)""",
+        select="""SELECT l_orderkey, l_linenumber, l_extendedprice, len(hit) AS n_buckets,
+          round(coalesce(list_sum(list_transform(hit, lambda b: b.height)), 0), 4) AS height FROM hits""",
     ),
 )
 def _(spark, folder):
     nested = H.nest(profile(spark, folder).where("column = 'l_extendedprice'"))
     value = F.col("l_extendedprice")
-    prices = (
-        table(spark, folder, "lineitem")
-        .groupBy("l_orderkey", "l_linenumber", "l_extendedprice")
-        .agg(F.count("*").alias("w"))
-        .withColumn("column", F.lit("l_extendedprice"))
-    )
+    prices = table(spark, folder, "lineitem").withColumn("column", F.lit("l_extendedprice"))
     hit = F.filter("buckets", lambda b: value.between(b["lo"], b["hi"]))
     height = F.aggregate(hit, F.lit(0.0), lambda acc, b: acc + b["height"])
     return prices.join(F.broadcast(nested), "column").select(
         "l_orderkey", "l_linenumber", "l_extendedprice",
-        (F.size(hit) * F.col("w")).alias("n_buckets"), F.round(height * F.col("w"), 4).alias("height"),
+        F.size(hit).cast("bigint").alias("n_buckets"), F.round(height, 4).alias("height"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
-from lakewright.functions.catalog import PREFIX_TABLES, TABLE_ROWS
+from lakewright.functions.catalog import PREFIX_TABLES
 from lakewright.operators import features as X
 from lakewright.operators import histograms as H
 from lakewright.operators import plan_lines as P
@@ -13,7 +13,7 @@ from lakewright.operators import trees as G
 from lakewright.operators.mapping import map_queries
 from lakewright.operators.trials import QUERY, query_ids
 from lakewright.plans import sqltext as Q
-from lakewright.plans.histogram import profile
+from lakewright.plans.histogram import TABLES, profile
 from lakewright.plans.registry import query
 from lakewright.plans.trial_log import accepted
 from lakewright.session import materialize, scratch_path
@@ -192,7 +192,7 @@ for _pattern, _new in [
 @query("p11_predicate_cleaning", Q.with_(*_NODES, select=f"SELECT plan_key, node_id, {_CLEAN_SQL} AS predicate FROM ops WHERE word = 'Filter'"))
 def _(spark, folder):
     rows = line_rows(spark, folder).where("operator = 'Filter'")
-    return rows.select("plan_key", "node_id", P.clean_predicate(F.substring("body", 8, 1_000_000)).alias("predicate"))
+    return rows.select("plan_key", "node_id", P.clean_predicate(F.expr("substring(body, 8)")).alias("predicate"))
 
 
 # Predicate texts, one per order, for the rarer forms.
@@ -329,7 +329,13 @@ def _(spark, folder):
     return P.relation_columns(plan_files(spark, folder))
 
 
-_ROWS_MAP = "MAP {" + ", ".join(f"'{b}_{t}': {n}" for b, m in TABLE_ROWS.items() for t, n in m.items()) + "}"
+def benchmark_rows(spark, folder):
+    """Row counts of the tables each benchmark shares with the base tables; a handful of numbers."""
+    counts = {r.table_name: r.n_rows for r in H.table_rows(spark, folder, TABLES).collect()}
+    return {b: {t: counts[t] for t in m.values() if t in counts} for b, m in PREFIX_TABLES.items()}
+
+
+_ROWS_MAP = "MAP {" + ", ".join(f"'{b}_{t}': (SELECT count(*) FROM {t})" for b, m in PREFIX_TABLES.items() for t in dict.fromkeys(m.values()) if t in TABLES) + "}"
 _PREFIX_MAP = "MAP {" + ", ".join(f"'{b}|{p}': '{t}'" for b, m in PREFIX_TABLES.items() for p, t in m.items()) + "}"
 
 
@@ -341,7 +347,7 @@ _PREFIX_MAP = "MAP {" + ", ".join(f"'{b}|{p}': '{t}'" for b, m in PREFIX_TABLES.
     ),
 )
 def _(spark, folder):
-    return X.column_magnitudes(P.relation_columns(plan_files(spark, folder)))
+    return X.column_magnitudes(P.relation_columns(plan_files(spark, folder)), benchmark_rows(spark, folder))
 
 
 @query(
@@ -487,7 +493,7 @@ def _digits(items: str, width: str) -> str:
 )
 def _(spark, folder):
     plans = materialize(line_vectors(spark, folder))
-    magnitudes = X.column_magnitudes(P.relation_columns(plan_files(spark, folder)))
+    magnitudes = X.column_magnitudes(P.relation_columns(plan_files(spark, folder)), benchmark_rows(spark, folder))
     widths = X.list_widths(plans)
     sizes = X._as_map(magnitudes, F.col("name"), F.col("magnitude"))
     rows = plans.select("plan_key", "benchmark", F.posexplode_outer("vectors").alias("node_id", "v")).withColumn("_s", sizes)
@@ -612,18 +618,14 @@ def _(spark, folder):
     return G.forest_offsets(sizes)
 
 
-def prefix_counts(benchmark="tpch"):
-    tables = TABLE_ROWS[benchmark]
-    return {p: tables[t] for p, t in PREFIX_TABLES[benchmark].items() if t in tables}
-
-
 def plan_features(spark, folder):
     """Numeric trees of the whole plan log, all benchmarks at one width."""
     files = plan_files(spark, folder)
     relations = materialize(P.relation_columns(files))
     plans = materialize(X.node_vectors(expanded(spark, folder), X.known_columns(relations)))
     hist = H.nest(profile(spark, folder))
-    flat = X.flat_features(plans, X.operator_ids(plans), X.column_magnitudes(relations), hist, prefix_counts())
+    rows = benchmark_rows(spark, folder)
+    flat = X.flat_features(plans, X.operator_ids(plans), X.column_magnitudes(relations, rows), hist, rows)
     return materialize(flat)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
 from lakewright.functions.catalog import SWEEP
+from lakewright.operators import features as X
 from lakewright.operators import learning as M
 from lakewright.operators import pooling as E
 from lakewright.operators import recommend as R
@@ -27,13 +28,12 @@ from lakewright.sources.tables import table
 _BASE = (Q.RAW, Q.ACCEPTED, Q.REPAIRED, Q.STATS, Q.SPLIT)
 _TEST = (*_BASE, Q.workloads("test", 50, 8))
 WEIGHTS = [3.0, -5.0, 7.0, 2.0, 11.0, -4.0]
-WIDTH = len(WEIGHTS)
 
 _SCORED = f"""dense AS (SELECT benchmark, query_id, row_number() OVER (ORDER BY benchmark, query_id) - 1 AS q_idx FROM ids),
-qemb AS (SELECT benchmark, query_id, embedding FROM dense JOIN embeddings ON vec_id = q_idx),
+qemb AS (SELECT benchmark, query_id, embedding FROM dense JOIN embeddings ON vec_id = q_idx % (SELECT count(*) FROM embeddings)),
 gates AS (SELECT benchmark, query_id, list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS engine_star,
   list_position(embedding[4:6], list_max(embedding[4:6])) - 1 AS lake_star FROM qemb),
-scored AS (SELECT *, {" + ".join(f"{w} * coalesce(config[{i + 1}], 0)" for i, w in enumerate(WEIGHTS))} AS pred FROM repaired),
+scored AS (SELECT *, list_sum(list_transform(config, lambda x, i: x * list_extract({WEIGHTS}, (i - 1) % {len(WEIGHTS)} + 1))) AS pred FROM repaired),
 chosen AS (
   SELECT s.*, engine_star, lake_star, bool_or(engine_id = engine_star AND lake_id = lake_star) OVER (PARTITION BY benchmark, query_id) AS has_match
   FROM scored s JOIN gates USING (benchmark, query_id)),
@@ -45,11 +45,13 @@ picks AS (
 
 
 def query_vectors(spark, folder, queries):
-    """One vector per query: the base table's vector with the query's dense id."""
+    """One vector per query: the base table's vector with the query's dense id, used in turn."""
     vectors = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("q_idx"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").alias("place"), F.col("embedding").cast("array<double>").alias("embedding")
     )
-    return T.dense_ids(queries).join(vectors, "q_idx").select(*T.QUERY, "embedding")
+    n = vectors.agg(F.count("*")).scalar()
+    placed = T.dense_ids(queries).withColumn("place", F.pmod("q_idx", n))
+    return placed.join(vectors, "place").select(*T.QUERY, "embedding")
 
 
 def chosen_combos(spark, folder, queries):
@@ -209,7 +211,7 @@ _PAIRS = ", ".join(f"('{b}', '{s}')" for b, s in SWEEP)
 )
 def _(spark, folder):
     rows, stats = picks(spark, folder)
-    scale = F.substring_index(F.substring("query_id", 3, 1000), "_", 1)
+    scale = F.substring_index(F.expr("substring(query_id, 3)"), "_", 1)
     pair = F.array(*[F.lit(f"{b}|{s}") for b, s in SWEEP])
     queries = stats.select(*T.QUERY, scale.alias("sf")).distinct()
     queries = queries.where(F.array_contains(pair, F.concat("benchmark", F.lit("|"), "sf")))
@@ -221,9 +223,8 @@ def _(spark, folder):
 
 
 def _tree_embeddings(spark, folder):
-    flat = plan_features(spark, folder)
-    width = 80
-    trees = flat.withColumn("features", F.transform("features", lambda v: S.pad(v, width)))
+    trees = materialize(X.common_width(plan_features(spark, folder)))
+    width = trees.agg(F.max(F.size(F.get("features", F.lit(0))))).first()[0] or 0
     layers = seeded_layers([3 * width, 256, 128, KERNELS * width])
     return trees, layers
 
@@ -233,7 +234,7 @@ def _(spark, folder):
     trees, layers = _tree_embeddings(spark, folder)
     augmented = G.augment(trees.withColumn("parents", _parents(F.col("children"))), copies=1)
     named = augmented.select(F.col("tree_key").alias("plan_key"), "features", "children")
-    return plan_embeddings(named, layers).select("plan_key", S.fixed_point(F.slice("embedding", 1, 8)).alias("head"))
+    return plan_embeddings(named, layers).select("plan_key", S.fixed_point(F.col("embedding")).alias("embedding"))
 
 
 def _parents(children):
@@ -250,7 +251,7 @@ def _(spark, folder):
     queries = trees.select(F.lit("all").alias("benchmark"), F.col("plan_key").alias("query_id"), "plan_key")
     zero = queries.limit(0).select(*T.QUERY, F.array(F.lit(0.0)).alias("own_embedding"))
     merged = with_fallback(queries, embeddings, zero)
-    return merged.select("query_id", F.size("embedding").alias("dim"), S.fixed_point(F.slice("embedding", 1, 8)).alias("head"))
+    return merged.select("query_id", F.size("embedding").alias("dim"), S.fixed_point(F.col("embedding")).alias("embedding"))
 
 
 def _model_input(spark, folder):
@@ -259,33 +260,40 @@ def _model_input(spark, folder):
     stats = materialize(W.combo_stats(trials))
     vectors = query_vectors(spark, folder, stats.select(*T.QUERY).distinct())
     records = lookup(W.quantile_sample(trials), vectors, T.QUERY, "inner")
-    return records.withColumn("config", S.pad(F.col("config"), WIDTH)), stats, trials
+    width = config_width(trials)
+    return records.withColumn("config", S.pad(F.col("config"), width)), stats, trials, width
 
 
-def _router():
-    return Router.seeded(emb_dim=64, conf_dim=WIDTH)
+def config_width(trials):
+    """The widest configuration of the log."""
+    return T.max_width(trials).first()[0] or 0
+
+
+def _router(width):
+    return Router.seeded(emb_dim=64, conf_dim=width)
 
 
 @query("m3_config_encoding")
 def _(spark, folder):
-    trials = repaired(spark, folder).select("conf", *T.COMBO, "config").distinct()
-    padded = trials.withColumn("config", S.pad(F.col("config"), WIDTH))
-    encoded = encode_config(padded, _router(), "config")
-    return encoded.select("conf", *T.COMBO, F.size("encoded").alias("dim"), S.fixed_point(F.slice("encoded", 1, 8)).alias("head"))
+    trials = materialize(repaired(spark, folder).select("conf", *T.COMBO, "config").distinct())
+    width = config_width(trials)
+    padded = trials.withColumn("config", S.pad(F.col("config"), width))
+    encoded = encode_config(padded, _router(width), "config")
+    return encoded.select("conf", *T.COMBO, F.size("encoded").alias("dim"), S.fixed_point(F.col("encoded")).alias("encoded"))
 
 
 @query("m4_soft_routed_score")
 def _(spark, folder):
-    records, _, _ = _model_input(spark, folder)
-    return score_soft(records, _router(), "embedding", "config").select(
+    records, _, _, width = _model_input(spark, folder)
+    return score_soft(records, _router(width), "embedding", "config").select(
         *T.RECORD, "conf", F.round("scored.pred", 4).alias("pred"), S.fixed_point(F.col("scored.engine_logits")).alias("engine_logits")
     )
 
 
 @query("m5_hard_routed_score")
 def _(spark, folder):
-    records, _, _ = _model_input(spark, folder)
-    router = _router()
+    records, _, _, width = _model_input(spark, folder)
+    router = _router(width)
     gated = gate_choice(records, router, "embedding")
     scored = score_routed(gated, router, "embedding", "config", S.argmax(F.col("engine_logits")), S.argmax(F.col("lake_logits")))
     return scored.select(*T.RECORD, "conf", F.round("pred", 4).alias("pred"))
@@ -293,8 +301,8 @@ def _(spark, folder):
 
 @query("m6_oracle_routed_score")
 def _(spark, folder):
-    records, _, _ = _model_input(spark, folder)
-    scored = score_routed(records, _router(), "embedding", "config", F.col("engine_id"), F.col("lake_id"))
+    records, _, _, width = _model_input(spark, folder)
+    scored = score_routed(records, _router(width), "embedding", "config", F.col("engine_id"), F.col("lake_id"))
     return scored.select(*T.RECORD, "conf", F.round("pred", 4).alias("pred"))
 
 
@@ -316,9 +324,9 @@ def _(spark, folder):
 
 @query("m8_expert_training")
 def _(spark, folder):
-    records, stats, _ = _model_input(spark, folder)
+    records, stats, _, width = _model_input(spark, folder)
     rows = materialize(W.with_ratio(records, W.query_best(stats)))
-    features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), WIDTH)
+    features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), width)
     model = M.train_expert(rows, features, weight="copies", max_iter=5)
     scored = model.transform(rows.withColumn("features", features))
     return scored.groupBy(*T.COMBO).agg(
@@ -332,10 +340,11 @@ def _(spark, folder):
     """Per query: gates and experts of the router choose among all its records."""
     trials = materialize(repaired(spark, folder))
     vectors = materialize(query_vectors(spark, folder, T.query_ids(trials)))
-    router = _router()
+    width = config_width(trials)
+    router = _router(width)
     chosen = gate_choice(vectors, router, "embedding")
     chosen = R.choose_combo(chosen, F.col("engine_logits"), F.col("lake_logits"))
-    records = lookup(trials, vectors, T.QUERY, "inner").withColumn("config", S.pad(F.col("config"), WIDTH))
+    records = lookup(trials, vectors, T.QUERY, "inner").withColumn("config", S.pad(F.col("config"), width))
     scored = score_routed(records, router, "embedding", "config", F.col("engine_id"), F.col("lake_id")).drop("embedding", "config")
     return R.pick_per_query(scored, chosen).select(
         *T.QUERY, "pick_engine_id", "pick_lake_id", "pick_conf", "fallback", F.round("ratio", 4).alias("ratio")

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from lakewright.operators.ranks import not_in, with_rank
+from lakewright.operators.skew import lookup
 from lakewright.plans.registry import query
 from lakewright.sources.tables import table
 
@@ -203,10 +204,12 @@ def _(spark, folder):
         & F.col("p_size").isin(3, 9, 14, 19, 23, 36, 45, 49)
     )
     bad = table(spark, folder, "supplier").where("s_acctbal < 0")
-    pairs = table(spark, folder, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    kinds = ["p_brand", "p_type", "p_size"]
+    wanted = part.select(F.col("p_partkey").alias("l_partkey"), *kinds)
+    lines = lookup(table(spark, folder, "lineitem").select("l_partkey", "l_suppkey"), wanted, ["l_partkey"], "inner")
+    pairs = lines.select(*kinds, "l_suppkey").distinct()
     return (
         not_in(pairs, "l_suppkey", bad, "s_suppkey")
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("p_brand", "p_type", "p_size")
         .agg(F.countDistinct("l_suppkey").alias("supplier_cnt"))
         .orderBy(F.desc("supplier_cnt"), "p_brand", "p_type", "p_size")
@@ -223,10 +226,11 @@ def _(spark, folder):
     part = table(spark, folder, "part").where(F.col("p_brand").isin("Brand#3", "Brand#5", "Brand#13"))
     lines = table(spark, folder, "lineitem")
     # A part's lines collapse to one row per quantity, from which the average and the sum below it follow.
+    wanted = part.select(F.col("p_partkey").alias("l_partkey"))
     by_quantity = (
-        lines.groupBy("l_partkey", "l_quantity")
+        lookup(lines.select("l_partkey", "l_quantity", "l_extendedprice"), wanted, ["l_partkey"], "inner")
+        .groupBy("l_partkey", "l_quantity")
         .agg(F.count("*").alias("n"), F.sum("l_extendedprice").alias("price"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     )
     averages = by_quantity.groupBy("l_partkey").agg(
         (0.4 * F.sum(F.col("l_quantity") * F.col("n")) / F.sum("n")).alias("bound")

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from lakewright.sources.derived import LOGS_SQL, PLANS_SQL, TRIALS_SQL
 
 
+# Tables that several later ones read; DuckDB would otherwise compute them once per reader.
+_SHARED = "accepted|repaired|stats|ids|splits|pool_ids|drawn|cand|cover|wl|nodes|sect|ops"
+
+
 def with_(*ctes: str, select: str) -> str:
-    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
+    tables = re.sub(rf"(?m)(^|, ?)({_SHARED}) AS \(", r"\1\2 AS MATERIALIZED (", ",\n".join(ctes))
+    return "WITH RECURSIVE " + tables + "\n" + select
 
 
 def fixed(expr: str, digits: int = 4) -> str:

@@ -307,9 +307,9 @@ def _(spark, folder):
 )
 def _(spark, folder):
     raw = trials_raw(spark, folder)
-    main = T.normalise(raw.where("benchmark = 'tpch'"))
-    supply = T.normalise(raw.where("benchmark = 'ssb' AND sf <> '10'")).withColumn("benchmark", F.lit("tpch"))
-    return _pooled(T.pool([main, supply]))
+    supply = raw.where("benchmark = 'ssb' AND sf <> '10'").withColumn("benchmark", F.lit("tpch_supply"))
+    root = trial_csv.write_trials(raw.where("benchmark = 'tpch'").unionByName(supply), ["tpch", "tpch_supply"])
+    return _pooled(T.normalise(trial_csv.read_pooled(spark, root, ["tpch"], use_supply=True)))
 
 
 def _pooled(trials):

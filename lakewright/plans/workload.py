@@ -76,10 +76,11 @@ def _(spark, folder):
 )
 def _(spark, folder):
     trials, _, members = sampled(spark, folder)
+    reduced = trials.groupBy(*T.RECORD).agg(F.count("*").alias("n"), F.min("latency").alias("latency"))
     return (
-        W.workload_records(members, trials)
+        W.workload_records(members, reduced)
         .groupBy("workload_id", *T.COMBO)
-        .agg(F.count("*").alias("n_records"), F.round(F.min("latency"), 4).alias("min_latency"))
+        .agg(F.sum("n").alias("n_records"), F.round(F.min("latency"), 4).alias("min_latency"))
     )
 
 
@@ -183,13 +184,13 @@ def _(spark, folder):
 def _(spark, folder):
     trials, stats, members = sampled(spark, folder, "test", 50, 8)
     records = W.with_ratio(W.quantile_sample(trials), W.query_best(stats))
+    reduced = records.groupBy(*T.RECORD).agg(
+        F.sum("copies").alias("copies"), F.sum(F.col("ratio") * F.col("copies")).alias("target")
+    )
     return (
-        W.workload_records(members, records)
+        W.workload_records(members, reduced)
         .groupBy("workload_id", *T.COMBO)
-        .agg(
-            F.sum("copies").alias("n_records"),
-            F.round(F.sum(F.col("ratio") * F.col("copies")) / F.sum("copies"), 4).alias("mean_target"),
-        )
+        .agg(F.sum("copies").alias("n_records"), F.round(F.sum("target") / F.sum("copies"), 4).alias("mean_target"))
     )
 
 

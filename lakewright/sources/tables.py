@@ -12,12 +12,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """A scan with fewer splits than cores, rewritten with one split per core.
+    """A scan with fewer splits than cores, rewritten with one split per core, if the session asks for it.
 
-    For work bound by CPU on small tables. Written out, because filters move below a mere
-    repartition and would then run on the few original splits. Large tables have more splits
-    than cores and pass through unchanged. Only for plain scans: counting splits runs no job.
+    For work bound by CPU on small tables: setting ``spark.lakewright.spread``, by default on in local
+    mode and off on a cluster. Written out, because filters move below a mere repartition and would then
+    run on the few original splits. Only for plain scans: counting splits runs no job.
     """
+    spark = scan.sparkSession
+    default = "true" if spark.sparkContext.master.startswith("local[") else "false"
+    if spark.conf.get("spark.lakewright.spread", default) != "true":
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan

@@ -27,10 +27,16 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def capture_plan(df: DataFrame) -> str:
-    """Text of a live DataFrame's optimized and physical plan, in the captured layout."""
-    execution = df._jdf.queryExecution()
-    optimized = execution.optimizedPlan().toString().rstrip("\n")
-    physical = execution.executedPlan().toString()
+    """Text of a live DataFrame's optimized and physical plan, in the captured layout, whole lists included."""
+    conf, setting = df.sparkSession.conf, "spark.sql.debug.maxToStringFields"
+    before = conf.get(setting, None)
+    conf.set(setting, str((1 << 31) - 1))
+    try:
+        execution = df._jdf.queryExecution()
+        optimized = execution.optimizedPlan().toString().rstrip("\n")
+        physical = execution.executedPlan().toString()
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
     return f"== Optimized Logical Plan ==\n{optimized}\n\n== Physical Plan ==\n{physical}\n"
 
 

@@ -44,13 +44,19 @@ def _by_header(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _by_file_header(spark: SparkSession, folder: str) -> DataFrame:
-    wide = _csv(spark).option("header", False).csv(folder)
+    lines = _csv(spark).text(folder)
+    # No line has more cells than commas and one, so no cell of the widest file is lost.
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    width = (lines.agg(F.max(commas)).first()[0] or 0) + 1
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    wide = _csv(spark).schema(schema).option("header", False).csv(folder)
     rows = wide.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.array(*wide.columns).alias("cells"),
     )
-    is_header = F.array_contains("cells", "query name") & F.array_contains("cells", "latency")
+    # An empty cell is null, and a list with a null does not say that a name is missing.
+    is_header = F.coalesce(F.array_contains("cells", "query name") & F.array_contains("cells", "latency"), F.lit(False))
     headers = rows.where(is_header).select("file_path", F.col("cells").alias("names"))
     body = lookup(rows.where(~is_header), headers, ["file_path"], "inner")
     picked = [
@@ -61,17 +67,17 @@ def _by_file_header(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_trials(
-    spark: SparkSession, root: str, benchmark: str, supply: bool = False, mixed_headers: bool = False
+    spark: SparkSession, root: str, benchmark: str, supply: bool = False, one_header: bool = False
 ) -> DataFrame:
     """All CSV rows of a benchmark as text; an absent directory gives an empty table.
 
-    Columns are matched by header name. Files are expected to share one header, a differing one
-    is an error; ``mixed_headers`` reads the files by their own headers, with one more scan.
+    Columns are matched by the header of each file. ``one_header`` saves the scan that reads the
+    headers where all files share one; a differing one is then an error.
     """
     folder = benchmark_dir(spark, root, benchmark, supply)
     if folder is None:
         return spark.createDataFrame([], RAW_SCHEMA)
-    rows = _by_file_header(spark, folder) if mixed_headers else _by_header(spark, folder)
+    rows = _by_header(spark, folder) if one_header else _by_file_header(spark, folder)
     return rows.select(F.lit(benchmark).alias("benchmark"), "file_name", *COLUMNS)
 
 

@@ -11,7 +11,7 @@ from lakewright.operators import features as X
 from lakewright.operators import plan_lines as P
 from lakewright.operators import trees as G
 from lakewright.operators.mapping import map_queries
-from lakewright.operators.treeconv import Layer, convolve, mlp, plan_embeddings, seeded_layers
+from lakewright.operators.treeconv import Layer, binary, convolve, mlp, plan_embeddings, seeded_layers
 from lakewright.sources.text_files import capture_plan, plan_table, read_logs, read_texts
 from lakewright.sources.tree_cache import load_trees, save_trees
 
@@ -162,7 +162,7 @@ def test_augmentation_share_zero_is_identity(random_trees):
 def recursive_embedding(node, features, kids, layers, kernels):
     if not kids[node]:
         return np.tile(features[node], (kernels, 1))
-    parts = [recursive_embedding(k, features, kids, layers, kernels) for k in kids[node][:2]]
+    parts = [recursive_embedding(k, features, kids, layers, kernels) for k in kids[node]]
     left, right = parts[0], parts[1] if len(parts) > 1 else np.zeros_like(parts[0])
     width = features.shape[1]
     rows = []
@@ -237,3 +237,50 @@ def test_tree_cache_settings(spark, tmp_path):
 def test_one_hot_and_digits(spark):
     row = spark.range(1).select(S.one_hot(F.lit(1), 3).alias("h"), S.digit_count(F.lit(15000)).alias("d")).first()
     assert row.h == [0.0, 1.0, 0.0] and row.d == 5
+
+
+def test_every_leaf_reaches_the_root():
+    """Nodes with three and more children: a change of any leaf changes the embedding of the root."""
+    kids = [[1, 2, 3, 6], [], [], [4, 5], [], [], [7, 8, 9], [], [], []]
+    rng = np.random.default_rng(2)
+    features = rng.normal(size=(len(kids), 3))
+    layers = seeded_layers([9, 16, 6])
+    root = convolve(features, kids, layers, 2)[0]
+    for leaf in (i for i, k in enumerate(kids) if not k):
+        changed = features.copy()
+        changed[leaf] += 1.0
+        assert not np.allclose(convolve(changed, kids, layers, 2)[0], root), leaf
+
+
+def test_binary_children():
+    pairs, level = binary([[1, 2, 3, 4], [], [], [], [5], []])
+    assert pairs == [[1, 7], [], [], [], [5], [], [3, 4], [2, 6]]
+    assert level.tolist() == [4, 0, 0, 0, 1, 0, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("((a#1 = 1 AND b#2 = 2) OR c#3 = 3)", [(0, "OR"), (1, "AND"), (2, "a"), (2, "b"), (1, "c")]),
+        ("(a#1 = 1 AND b#2 = 2 OR c#3 = 3)", [(0, "OR"), (1, "AND"), (2, "a"), (2, "b"), (1, "c")]),
+        ("(a#1 = 1 OR b#2 = 2 AND NOT (c#3 = 3 OR d#4 = 4 AND e#5 = 5))",
+         [(0, "OR"), (1, "a"), (1, "AND"), (2, "b"), (2, "NOT OR"), (3, "c"), (3, "AND"), (4, "d"), (4, "e")]),
+        ("a#1 = 1 AND b#2 = 2", [(0, "AND"), (1, "a"), (1, "b")]),
+        ("(a#1 = 1)", [(0, "a")]),
+    ],
+)
+def test_and_binds_closer_than_or(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string").select(P.predicate_nodes(F.col("t")).alias("n"))
+    got = [(n.level, ("NOT " if n.negated else "") + (n.text.split("#")[0] if n.text else n.kind)) for n in df.first().n]
+    assert got == expected
+
+
+def test_wide_relations_are_captured_whole(spark):
+    df = spark.range(3).select(*[(F.col("id") + i).alias(f"col_{i}") for i in range(40)])
+    df.write.mode("overwrite").saveAsTable("wide_relation")
+    try:
+        text = capture_plan(spark.table("wide_relation").where("col_39 > 1"))
+    finally:
+        spark.sql("DROP TABLE wide_relation")
+    assert "more fields" not in text and all(f"col_{i}#" in text for i in range(40))
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == "25"

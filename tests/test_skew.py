@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakewright.operators.ranks import not_in, with_rank
@@ -97,3 +98,21 @@ def test_release_deletes_written_tables(spark):
         assert not path.exists()
     finally:
         session._written[:] = kept
+
+
+@pytest.mark.parametrize("kind", ["rank", "dense_rank", "percent_rank"])
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranks_keep_nulls(spark, kind, descending):
+    data = [("a", 1.0), ("a", None), ("a", 1.0), ("a", 3.0), (None, 2.0), (None, None), (None, 5.0), ("b", None)]
+    df = spark.createDataFrame(data, "g string, o double")
+    order = F.desc("o") if descending else F.asc("o")
+    window = Window.partitionBy("g").orderBy(order)
+    expected = df.withColumn("r", getattr(F, kind)().over(window))
+    got = with_rank(df, ["g"], "o", kind, "r", descending)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_split_scan_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), (None, 3)], "g string, o int")
+    got = split_scan(df, ["g"], ["o"], out="start", total="n").collect()
+    assert sorted((r.g or "", r.o, r.start, r.n) for r in got) == [("", 1, 0, 3), ("", 2, 1, 3), ("", 3, 2, 3), ("a", 1, 0, 1)]

@@ -18,7 +18,7 @@ def test_equal_height_ranges_with_hot_value(spark):
     rng = random.Random(2)
     values = [7.0] * 400 + [round(rng.uniform(0, 100), 1) for _ in range(603)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    got = H.build(H.column_counts(df, ["v"], []), few_values=5).orderBy("lo", "hi").collect()
+    got = H.build(H.column_counts(df, ["v"], []), few_values=5).orderBy("lo", "hi", "avg", "height").collect()
     ordered = sorted(values)
     base, extra = divmod(len(ordered), 10)
     at, expected = 0, []
@@ -186,3 +186,23 @@ def test_best_so_far_ties(spark):
 def test_out_of_range_dates_give_no_rows(spark, folder):
     orders = spark.read.parquet(f"{folder}/orders.parquet")
     assert orders.where("o_orderdate >= '2023-01-01' AND o_orderdate <= '2023-12-31'").count() == 0
+
+
+def test_text_columns_with_many_values_have_ranges(spark):
+    names = [f"name, {i:03d}" for i in range(100)]
+    df = spark.createDataFrame([(n, float(i % 7)) for i, n in enumerate(names) for _ in range(1 + i % 3)], "t string, x double")
+    hist = H.build(H.column_counts(df, ["x"], ["t"]), buckets=5)
+    ranges = hist.where("column = 't'").orderBy("lo_text").collect()
+    assert len(ranges) == 5 and sum(r.height for r in ranges) == pytest.approx(1)
+    assert (ranges[0].lo_text, ranges[-1].hi_text) == (names[0], names[-1])
+    parsed = H.parse_text(H.to_text(hist))
+    again = sorted((r.lo_text, r.hi_text) for r in parsed.where("column = 't'").collect())
+    assert again == [(r.lo_text, r.hi_text) for r in ranges]
+    predicates = spark.createDataFrame(
+        [("t", "<", [names[50]], False), ("t", ">=", [names[0]], False), ("t", "=", [names[10]], False)],
+        '"column" string, op string, "values" array<string>, negated boolean'.replace('"', "`"),
+    )
+    rows = spark.createDataFrame([("t", 1000)], "prefix string, n_rows long")
+    got = {r.op: r.estimated for r in H.estimate(predicates, H.nest(parsed), rows).collect()}
+    assert got[">="] == pytest.approx(1000, abs=1) and got["="] == pytest.approx(200, abs=20)
+    assert 350 <= got["<"] <= 500

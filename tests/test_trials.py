@@ -110,7 +110,7 @@ def test_csv_layout(spark, tmp_path):
     (tmp_path / "my_bench" / "b.csv").write_text("latency,sf,conf,query name,datalake,engine\n3000,1,3|4,q2,hudi,trino\n")
     (tmp_path / "my_bench_supply").mkdir()
     (tmp_path / "my_bench_supply" / "c.csv").write_text("engine,datalake,query name,conf,sf,latency\npresto,delta,q3,1|2,1,2500\n")
-    mixed = trial_csv.read_trials(spark, str(tmp_path), "my_bench", mixed_headers=True)
+    mixed = trial_csv.read_trials(spark, str(tmp_path), "my_bench")
     got = sorted((r.engine, r.query_name, r.latency, r.file_name) for r in mixed.collect())
     assert got == [("spark", "q1", "2000", "a.csv"), ("trino", "q2", "3000", "b.csv")]
     supply = trial_csv.read_trials(spark, str(tmp_path), "my_bench", supply=True)
@@ -164,3 +164,14 @@ def test_quantile_sample_positions(spark, n):
         spots = {0, n - 1} | {min(i * step, n - 1) for i in range(1, 15)}
         expected = [lats[i] for i in sorted(spots)]
     assert got == expected
+
+
+def test_csv_files_of_different_widths(spark, tmp_path):
+    folder = tmp_path / "b" / "sf1"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text("engine,datalake,query name,conf,sf,latency\nspark,,q1,1|2,1,2000\nspark,delta,q2,1|2,1,\n")
+    (folder / "b.csv").write_text("x,y,engine,datalake,query name,conf,sf,latency\n1,,presto,hudi,q3,3;4,1,3000\n,,,,q4,,1,4000\n")
+    got = {(r.query_name, r.engine, r.latency) for r in trial_csv.read_trials(spark, str(tmp_path), "b").collect()}
+    assert got == {("q1", "spark", "2000"), ("q2", "spark", None), ("q3", "presto", "3000"), ("q4", None, "4000")}
+    pooled = trial_csv.read_pooled(spark, str(tmp_path), ["b", "absent"], use_supply=True)
+    assert pooled.count() == 4
