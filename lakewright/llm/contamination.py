@@ -89,7 +89,8 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     have no words; wordless items have no window. Items that share an id are one item; items without an
     id hit words but are not listed. Result columns replace columns of ``docs`` of the same name.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "items", "_k1", "_k2")])
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_words", "n_hit", "items")]
+    docs = docs.select(F.struct(*kept).alias("_row"), "text")
     windows, spots, postings = _index(docs, benchmark, window, anchors)
     lists = _meetings(postings, spots).groupBy("_k1", "_k2", "ik", "offset").agg(F.collect_set("q").alias("held"))
     ready = windows.groupBy("ik").agg(
@@ -103,15 +104,14 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, anc
     joined = lookup(_keyed(docs), claims, ["_k1", "_k2"], "left", limit_bytes=CANDIDATE_BYTES)
     phrase = "concat_ws(' ', slice(_words, c.at + 1, c.n))"
     true = f"c -> c.at + c.n <= size(_words) AND xxhash64({phrase}) = c.h1 AND xxhash64(1, {phrase}) = c.h2"
-    names = [F.col(f"`{c}`") for c in docs.columns]
     checked = joined.withColumn("_words", words(F.col("text"))).select(
-        *names, F.size("_words").alias("n_words"),
+        "_row", F.size("_words").alias("n_words"),
         F.expr(f"filter(coalesce(_claims, array()), {true})").alias("_true"),
     )
     hit = "size(array_distinct(flatten(transform(_true, c -> sequence(c.at, c.at + c.n - 1)))))"
     ids = "array_distinct(filter(transform(_true, c -> c.item_id), x -> x IS NOT NULL))"
     return checked.select(
-        *names, F.col("n_words").cast("long"), F.expr(hit).cast("long").alias("n_hit"), F.expr(ids).alias("items")
+        "_row.*", F.col("n_words").cast("long"), F.expr(hit).cast("long").alias("n_hit"), F.expr(ids).alias("items")
     )
 
 

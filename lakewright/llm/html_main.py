@@ -5,7 +5,7 @@ length and stop-word density, and by where they stand: what is in a menu, header
 notice, advert or comment area is never main text. Short blocks stay open. The second pass gives an open
 block the label of the nearest decided block of its own section (the innermost article, main or body);
 of two equally near ones the earlier decides, and a section without a decided block is main text only if
-it is an article or main element.
+it is an article or main element. In those a list of links decides for itself only, not for its neighbours.
 """
 
 from __future__ import annotations
@@ -185,7 +185,7 @@ def main_text(html: str) -> str:
     before: list[tuple[int, bool] | None] = []
     for i, (block, label) in enumerate(zip(blocks, first)):
         before.append(last.get(block.section))
-        if label is not None and not block.boiler:
+        if label is not None and not block.boiler and (label or not block.article):
             last[block.section] = (i, label)
     after: dict[int, tuple[int, bool]] = {}
     kept = []
@@ -202,7 +202,7 @@ def main_text(html: str) -> str:
             kept.append(block.text if label else "")
         else:
             kept.append(block.text if label else "")
-            if not block.boiler:
+            if not block.boiler and (label or not block.article):
                 after[block.section] = (i, label)
     return " ".join(t for t in reversed(kept) if t)
 

@@ -339,8 +339,8 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     losers = classes.select("row_hash").distinct().join(winners, "row_hash", "left_anti")
     repeated = classes.groupBy("row_hash").count().where("count > 1").join(winners, "row_hash", "left_semi")
     marks = losers.select("row_hash", F.lit(1).alias("_mark")).union(repeated.select("row_hash", F.lit(2)))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*names, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_row_hash"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_row_hash"))
     marked = lookup(rows, materialize(marks.withColumnRenamed("row_hash", "_row_hash")), ["_row_hash"], "left")
-    once = marked.where("_mark is null").select(*names)
-    return once.union(marked.where("_mark = 2").dropDuplicates(["_row_hash"]).select(*names))
+    once = marked.where("_mark is null").select("_row.*")
+    return once.union(marked.where("_mark = 2").dropDuplicates(["_row_hash"]).select("_row.*"))

@@ -168,10 +168,11 @@ def fit_rates(
     """Steps whose rates bring the expected tokens of the domains to their shares of ``tokens``.
 
     ``known`` has n_tokens and posterior; ``tokens`` is the wanted total (default: all there are, or as
-    many more as the domain ``whole`` needs to reach its share without losing any of its own). Rates are measured against a document's tokens, and the totals against the inverse of their Gram matrix, so
-    without the bound at zero one step arrives. Stops when every total is within ``tolerance`` of the
-    wanted total, or after ``rounds`` steps with the nearest totals that nonnegative rates came to. No
-    rows, or none with words, need no step.
+    many more as the domain ``whole`` needs to reach its share without losing any of its own). Rates are measured against a document's tokens, and the totals against the inverse Gram matrix of the documents
+    whose rate is not zero, so that a step arrives unless it brings more rates to zero. A step that makes the
+    distance larger is taken back for one in the metric of all documents, which cannot. Stops when every total
+    is within ``tolerance`` of the wanted total, or after ``rounds`` passes. No rows, or none with words, need
+    no step.
     """
     domains = list(targets)
     share = np.array([targets[d] for d in domains], float)
@@ -183,21 +184,36 @@ def fit_rates(
     present = float(sums["t"] or 0.0)
     if present == 0:
         return Mixture(domains, [], [0.0] * len(domains), [0.0] * len(domains))
-    gram = np.zeros((len(domains), len(domains)))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] / present
-    scale = np.linalg.inv(gram + 1e-6 * np.trace(gram) * np.eye(len(domains)))
+    def metric(row, prefix: str) -> np.ndarray:
+        gram = np.zeros((len(domains), len(domains)))
+        for i, j in pairs:
+            gram[i, j] = gram[j, i] = (row[f"{prefix}{i}_{j}"] or 0.0) / present
+        return np.linalg.inv(gram + 1e-6 * max(np.trace(gram), 1e-12) * np.eye(len(domains)))
+
     own = known.agg(F.sum(n * p[domains.index(whole)])).first()[0] / targets[whole] * share.sum() if whole else 0.0
     goal = share / share.sum() * (max(present, own) if tokens is None else tokens) / present
+    careful = metric(sums, "g")
     steps: list[list[float]] = []
-    while True:
+    before = None  # the miss that the last step came from, if that step was a bold one
+    for _ in range(rounds):
         r = rate(steps)
-        row = known.agg(*[F.sum(n * p[k] * r).alias(f"s{k}") for k in d]).first()
-        totals = np.array([row[f"s{k}"] for k in d]) / present
-        miss = totals - goal
-        if len(steps) >= rounds or np.abs(miss).max() <= tolerance * goal.sum():
-            return Mixture(domains, steps, (totals * present).tolist(), (goal * present).tolist())
-        steps.append((scale @ miss).tolist())
+        alive = F.when(r > 0, n)
+        row = known.agg(
+            *[F.sum(n * p[k] * r).alias(f"s{k}") for k in d], *[F.sum(alive * p[i] * p[j]).alias(f"a{i}_{j}") for i, j in pairs]
+        ).first()
+        totals = np.array([row[f"s{k}"] for k in d])
+        miss = totals / present - goal
+        if before is not None and np.linalg.norm(miss) > np.linalg.norm(before):
+            steps[-1] = (careful @ before).tolist()  # too bold: take the step that cannot overshoot
+            before = None
+            continue
+        if np.abs(miss).max() <= tolerance * goal.sum():
+            break
+        steps.append((metric(row, "a") @ miss).tolist())
+        before = miss
+    else:
+        totals = np.array(known.agg(*[F.sum(n * p[k] * rate(steps)) for k in d]).first())
+    return Mixture(domains, steps, totals.tolist(), (goal * present).tolist())
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:

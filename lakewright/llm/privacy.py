@@ -187,7 +187,7 @@ def sanitise(found: DataFrame) -> DataFrame:
 
     Where spans of different kinds overlap, the earlier start decides and the later one loses its label.
     """
-    ordered = "array_sort(transform(spans, s -> struct(s.start AS start, s.end AS end, s.label AS label)))"
+    ordered = "array_sort(transform(spans, s -> struct(CAST(s.start AS int) AS start, CAST(s.end AS int) AS end, s.label AS label)))"
     step = (
         "(a, s) -> named_struct('at', greatest(a.at, s.end), 'out', IF(s.start < a.at, a.out, "
         "concat(a.out, array(substr(text, a.at + 1, s.start - a.at), s.label))))"

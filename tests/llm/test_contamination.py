@@ -28,13 +28,13 @@ def brute(text, items, size=10):
 
 
 def check(spark, docs, items):
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("x")).withColumn("offset", F.lit(1))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit("x")).withColumn("offset", F.lit(1)).withColumn("_k1", F.lit("k"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1))
     got = phrase_hits(frame, bench).collect()
     assert len(got) == len(docs)
     for r in got:
         assert (r.n_words, r.n_hit, set(r["items"])) == brute(r.text, items), r.text
-        assert r.offset == 1
+        assert r.offset == 1 and r._k1 == "k"
 
 
 def test_hard_rows(spark):

@@ -46,6 +46,6 @@ def test_hard_rows(spark):
     got = [(r.page_id, r.text, r.n_chars) for r in extract(pages).collect()]
     assert got[0] == (1, "", 0) and got[1] == got[2] == (2, "", 0)
     assert got[3] == (None, "x" + " x" * 19999, 39999)
-    assert got[4] == (4, "a <b> &unknown; \U0001f600 &", 20)
+    assert got[4] == (4, "a <b> &unknown; \U0001f600 &", 19)
     assert got[5][1] in ("", "no markup <") and got[6] == (6, "", 0)
     assert extract(pages.limit(0)).count() == 0

@@ -84,7 +84,7 @@ def test_hard_rows(spark, model):
     assert by_text[7, False][0] == "de"
     kept = langid.keep_identified(spark.createDataFrame(rows, SCHEMA).withColumn("lang_pred", F.lit(1)), model)
     assert kept.columns == ["doc_id", "text", "lang", "lang_pred"]
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 5, 7, 8]
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 5, 5, 7]  # two stray bytes cost more than eight bits each
 
 
 def test_nothing_to_learn(spark):

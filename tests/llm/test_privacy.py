@@ -105,7 +105,7 @@ def brute_terms(texts, generalise_at=0.8, prior=2.0, support=2):
 
 
 def test_disclosing_terms(spark):
-    plain = [f"nothing here but words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    plain = [f"nothing here but the words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
     told = [
         "Dr Zarquon wrote from z@mail.org about the words", "the Zarquon address z@mail.org is here", "Zarquon, Zarquon! z@MAIL.org nothing",
         "zarquon z@mail.org words", "the words of z@mail.org", "other t@x.org words", "Zarquon alone without address but words",
