@@ -108,14 +108,26 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], epo
     return models
 
 
-def margins(dense: np.ndarray, features: list[np.ndarray], first: np.ndarray) -> np.ndarray:
-    """Weighted sums (texts x models) under dense weights (models x DIM), bias left out."""
+class Weights:
+    """The weights that are not zero, of several models over the same features."""
+
+    def __init__(self, models: list[tuple[np.ndarray, np.ndarray]]):
+        self.at = np.unique(np.concatenate([np.zeros(0, np.int64), *(at for at, _ in models)]))
+        self.values = np.zeros((len(models), len(self.at)))
+        for k, (at, weight) in enumerate(models):
+            self.values[k, np.searchsorted(self.at, at)] = weight
+        self.used = np.zeros(DIM + 1, bool)  # the last place answers for no feature
+        self.used[self.at] = True
+
+
+def margins(weights: Weights, features: list[np.ndarray], first: np.ndarray) -> np.ndarray:
+    """Weighted sums (texts x models), bias left out."""
     texts = len(first) - 1
-    used = np.append((dense != 0).any(axis=0), False)
     of = np.repeat(np.arange(texts), np.diff(first))
-    keys = [(of[hit] << DIM_BITS) | f[hit] for f in features for hit in [used[f]]]
+    keys = [(of[hit] << DIM_BITS) | f[hit] for f in features for hit in [weights.used[f]]]
     pairs, counts = np.unique(np.concatenate(keys), return_counts=True)
-    out = np.zeros((texts, len(dense)))
-    for k, w in enumerate(dense):
-        out[:, k] = np.bincount(pairs >> DIM_BITS, w[pairs & (DIM - 1)] * value(counts), texts)
+    place = np.searchsorted(weights.at, pairs & (DIM - 1))
+    out = np.zeros((texts, len(weights.values)))
+    for k, w in enumerate(weights.values):
+        out[:, k] = np.bincount(pairs >> DIM_BITS, w[place] * value(counts), texts)
     return out

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.linear import DIM, fit, margins, rows_of, shape_features, word_features
+from lakewright.llm.linear import Weights, fit, margins, rows_of, shape_features, word_features
 from lakewright.llm.textbatch import chunks, words_of
 from lakewright.llm.toxicity import labelled_sample
 from lakewright.session import materialize
@@ -111,13 +111,11 @@ def train(
 def _posteriors(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: DomainModel = shared.value
-        dense = np.zeros((len(model.domains), DIM))
-        for k, (at, weight) in enumerate(zip(model.at, model.weight)):
-            dense[k, at] = weight
+        weights = Weights(list(zip(model.at, model.weight)))
         for batch in batches:
             for row, data, offsets in chunks(batch.column("_text")):
                 kinds, first, tokens = _features(data, offsets)
-                z = margins(dense, kinds, first) + model.bias
+                z = margins(weights, kinds, first) + model.bias
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 p /= p.sum(axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays(

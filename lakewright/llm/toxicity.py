@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.langid import held_out
-from lakewright.llm.linear import DIM, fit, margins, rows_of, word_features
+from lakewright.llm.linear import Weights, fit, margins, rows_of, word_features
 from lakewright.llm.textbatch import chunks, words_of
 from lakewright.operators.skew import lookup
 
@@ -71,12 +71,11 @@ def train(
 def _score(shared, skips: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ToxicityModel = shared.value
-        dense = np.zeros((1, DIM))
-        dense[0, model.at] = model.weight
+        weights = Weights([(model.at, model.weight)])
         for batch in batches:
             for row, data, offsets in chunks(batch.column("text")):
                 words = words_of(data, offsets)
-                z = model.bias + margins(dense, word_features(words, skips), words.first)[:, 0]
+                z = model.bias + margins(weights, word_features(words, skips), words.first)[:, 0]
                 score = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
                 part = batch.slice(row, len(score))
                 yield pa.RecordBatch.from_arrays(

@@ -33,7 +33,7 @@ BLOCK = 512
 PIECE = 1 << 14
 SHARD_BYTES = 16 << 20
 END = 0
-CACHE = 1_000_000
+CACHE = 600_000
 JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakewright.llm import toxicity
-from lakewright.llm.linear import DIM, Ftrl, margins, rows_of, word_features
+from lakewright.llm.linear import DIM, Ftrl, Weights, margins, rows_of, word_features
 from lakewright.llm.textbatch import words_of
 from lakewright.sources.tables import table
 
@@ -25,10 +25,11 @@ def test_held_out_scores(spark, folder):
 def test_margins_match_rows():
     batch = words("a b c a b", "", "b", "x y z")
     kinds = word_features(batch)
-    dense = np.zeros((2, DIM))
-    dense[:, :] = np.random.default_rng(0).normal(size=(2, DIM)) * (np.arange(DIM) % 3 == 0)
+    dense = np.random.default_rng(0).normal(size=(2, DIM)) * (np.arange(DIM) % [[3], [2]] == 0)
+    weights = Weights([(np.flatnonzero(w), w[w != 0]) for w in dense])
     expected = [[w[at] @ x for w in dense] for at, x in rows_of(kinds, batch.first)]
-    assert np.allclose(margins(dense, kinds, batch.first), expected, atol=1e-5)
+    assert np.allclose(margins(weights, kinds, batch.first), expected, atol=1e-5)
+    assert margins(Weights([(np.zeros(0, int), np.zeros(0))]), kinds, batch.first).tolist() == [[0.0]] * 4
 
 
 def test_pairs_stay_in_their_text():
