@@ -335,17 +335,52 @@ def _(spark, folder):
     )
 
 
+def learned_gates(rows, test):
+    """Test queries with the engine and lake that gates trained on the workloads' best combos choose."""
+    out = test
+    for gate in ("engine", "lake"):
+        model = M.train_gate(rows, f"{gate}_id", 3 * 64, max_iter=20).setPredictionCol(f"{gate}_star")
+        features = M.array_to_vector("pooled")
+        out = model.setFeaturesCol("features").transform(out.withColumn("features", features))
+        out = out.withColumn(f"{gate}_star", F.col(f"{gate}_star").cast("int")).drop("features", "rawPrediction", "probability")
+    return out
+
+
+def learned_picks(spark, folder, depths=(3, 5)):
+    """(picks of the test queries, split of all queries): trained gates, candidates, trained expert, lowest prediction.
+
+    Gates learn from the training workloads, the expert from the sampled records of training queries. Of
+    the experts of these depths the one with the lowest mean ratio on the validation queries is taken.
+    """
+    trials, stats, members = sampled(spark, folder)
+    width = config_width(trials)
+    queries = stats.select(*T.QUERY).distinct()
+    splits = materialize(T.split_queries(queries))
+    vectors = materialize(query_vectors(spark, folder, queries))
+    best = W.workload_best(W.covered_combos(members, stats))
+    rows = materialize(E.mean_max_std(members.join(vectors, T.QUERY)).join(best, "workload_id"))
+    # A query to place is a workload of its own.
+    asked = splits.where("split <> 'train'").join(vectors, T.QUERY).withColumn("one", F.struct(*T.QUERY))
+    pooled = E.mean_max_std(asked, "one").select("one.*", "pooled")
+    chosen = materialize(learned_gates(rows, pooled).drop("pooled"))
+    train = splits.where("split = 'train'").select(*T.QUERY)
+    known = lookup(W.quantile_sample(trials), vectors.join(train, T.QUERY), T.QUERY, "inner")
+    known = materialize(W.with_ratio(known, W.query_best(stats)))
+    features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), width, F.col("embedding"))
+    open_trials = lookup(trials, vectors.join(chosen, T.QUERY).select(*T.QUERY, "embedding"), T.QUERY, "inner")
+    tried = []
+    for depth in depths:
+        expert = M.train_expert(known, features, weight="copies", max_iter=5, max_depth=depth)
+        scored = expert.transform(open_trials.withColumn("features", features)).withColumnRenamed("prediction", "pred")
+        found = materialize(R.pick_per_query(scored, chosen).join(splits, T.QUERY))
+        tried.append((found.where("split = 'valid'").agg(F.avg("ratio")).first()[0] or 0.0, depth, found))
+    return min(tried, key=lambda t: t[:2])[2].where("split = 'test'").drop("split"), splits
+
+
 @query("m9_learned_recommendation")
 def _(spark, folder):
-    """Per query: gates and experts of the router choose among all its records."""
-    trials = materialize(repaired(spark, folder))
-    vectors = materialize(query_vectors(spark, folder, T.query_ids(trials)))
-    width = config_width(trials)
-    router = _router(width)
-    chosen = gate_choice(vectors, router, "embedding")
-    chosen = R.choose_combo(chosen, F.col("engine_logits"), F.col("lake_logits"))
-    records = lookup(trials, vectors, T.QUERY, "inner").withColumn("config", S.pad(F.col("config"), width))
-    scored = score_routed(records, router, "embedding", "config", F.col("engine_id"), F.col("lake_id")).drop("embedding", "config")
-    return R.pick_per_query(scored, chosen).select(
+    """Per test query: engine, lake and configuration that trained gates and expert choose, and the regret."""
+    rows, _ = learned_picks(spark, folder)
+    return rows.select(
         *T.QUERY, "pick_engine_id", "pick_lake_id", "pick_conf", "fallback", F.round("ratio", 4).alias("ratio")
     )
