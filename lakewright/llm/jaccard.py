@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.components import components
-from lakewright.llm.textbatch import chunks, shingles_of, whole_groups, words_of
+from lakewright.llm.textbatch import chunks, shingles_of, small_batches, whole_groups, words_of
 from lakewright.operators.skew import lookup
 from lakewright.session import materialize
 
@@ -254,6 +254,7 @@ def jaccard_classes(
     doc_id. Rows repeat as they are given (each repeated row counts as a document); null doc_ids stay
     null. Columns other than doc_id and text are not looked at.
     """
+    small_batches(docs)
     bands, rows = choose_bands(threshold, recall, max_hashes)
     hashes = bands * rows
     # Below this estimate a pair at the threshold falls with a chance of under one in a million.

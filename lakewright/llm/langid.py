@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.textbatch import chunks
+from lakewright.llm.textbatch import chunks, small_batches
 from lakewright.session import materialize
 
 ORDER = 3
@@ -192,6 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     with score 0 if the text is null or has no letter, or if nothing was learned. ``score`` is the
     posterior of the language under equal priors. Rows come back as often as they are given.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), *_inputs())
     types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean"
@@ -208,6 +209,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, reject_bits: float =
     Rejected are texts without a letter, null texts, and texts that no language's tree codes in fewer
     than ``reject_bits`` bits a byte (8: no better than raw bytes).
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     inner = docs.schema.simpleString()

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.llm.linear import Weights, fit, margins, rows_of, shape_features, word_features
-from lakewright.llm.textbatch import chunks, words_of
+from lakewright.llm.textbatch import chunks, small_batches, words_of
 from lakewright.llm.toxicity import labelled_sample
 from lakewright.session import materialize
 
@@ -134,6 +134,7 @@ def _posteriors(shared):
 
 def posteriors(docs: DataFrame, model: DomainModel, columns: list[str] | None = None) -> DataFrame:
     """_row (the ``columns`` of each row, default all), n_tokens (words) and posterior of every row."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns if columns is None else columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])

@@ -12,7 +12,9 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+BATCH_ROWS = 1000
 CHUNK_BYTES = 1 << 18  # a chunk's arrays fit the cache, and a worker needs some tens of megabytes
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -24,6 +26,18 @@ LOWER = (_codes + 32 * _upper).astype(np.uint8)
 _tables = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let Arrow batches of this session hold ``BATCH_ROWS`` rows, unless it was set up for fewer.
+
+    Whole texts are large rows; the default of 10,000 takes tens of megabytes several times over in each
+    worker and its executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakewright.llm.langid import held_out
 from lakewright.llm.linear import Weights, fit, margins, rows_of, word_features
-from lakewright.llm.textbatch import chunks, words_of
+from lakewright.llm.textbatch import chunks, small_batches, words_of
 from lakewright.operators.skew import lookup
 
 
@@ -97,6 +97,7 @@ def score(docs: DataFrame, model: ToxicityModel, skips: int = 1) -> DataFrame:
     Null and empty texts get the score of the bias alone. Equal texts get equal scores. Rows come back
     as often as they are given.
     """
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
     types = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int"

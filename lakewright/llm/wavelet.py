@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewright.llm.files import write_file
-from lakewright.llm.textbatch import text_bytes
+from lakewright.llm.textbatch import small_batches, text_bytes
 from lakewright.session import materialize, scratch_path
 
 MAGIC = b"LWWM\x01"
@@ -333,6 +333,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     Documents are range-partitioned on doc_id and sorted in each shard (null ids first; equal ids by
     text), so file names ascend with the ids. The number of shards follows from the bytes of text.
     """
+    small_batches(docs)
     folder = folder or scratch_path(docs.sparkSession, "tokens")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // shard_bytes))
