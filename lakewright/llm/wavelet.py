@@ -31,9 +31,9 @@ from lakewright.session import materialize, scratch_path
 MAGIC = b"LWWM\x01"
 BLOCK = 512
 PIECE = 1 << 14
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 END = 0
-CACHE = 600_000
+CACHE = 300_000
 JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
@@ -54,7 +54,7 @@ def pieces_of(text: str) -> tuple[str, list[str]]:
 def _plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts in which every space follows a visible ASCII character or a two-byte letter or sign."""
     at = np.flatnonzero(data == 32)
-    one, two = data[at - 1], data[at - 2]
+    one, two = data[np.maximum(at - 1, 0)], data[np.maximum(at - 2, 0)]
     fine = ((one > 32) & (one < 127)) | ((one >= 128) & (two >= 0xC3) & (two <= 0xDF))
     row = np.searchsorted(offsets, at, "right") - 1
     fine &= at > offsets[row]
@@ -170,6 +170,16 @@ class Encoder:
         return out, n_ids
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this worker, kept from task to task with the pieces it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class WaveletMatrix:
     """Read access to a shard; unpacks what a call needs."""
 
@@ -309,9 +319,9 @@ class WaveletMatrix:
 
 def _write(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, doc_ids, ids, sizes, shard = None, [], [], [], 0
+        doc_ids, ids, sizes, shard = [], [], [], 0
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer)
+            encoder = encoder_of(tokenizer)
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 shard = part.column("shard")[0].as_py()
