@@ -93,14 +93,16 @@ def rows_of(features: list[np.ndarray], first: np.ndarray) -> list[tuple[np.ndar
     return out
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], epochs: int, min_texts: int) -> list[Ftrl]:
+def fit(
+    rows: list[tuple[np.ndarray, np.ndarray]], labels: list[np.ndarray], epochs: int, min_texts: int, l1: float = 6.0
+) -> list[Ftrl]:
     """One model per label vector, on the features that at least ``min_texts`` of the rows have.
 
     The order of the steps is a seeded shuffle.
     """
     held = np.bincount(np.concatenate([np.zeros(0, np.int32), *(at for at, _ in rows)]), minlength=DIM) >= min_texts
     rows = [(at[held[at]], x[held[at]]) for at, x in rows]
-    models = [Ftrl() for _ in labels]
+    models = [Ftrl(l1=l1) for _ in labels]
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)).tolist():
             for model, label in zip(models, labels):

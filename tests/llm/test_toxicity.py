@@ -22,6 +22,31 @@ def test_held_out_scores(spark, folder):
     assert ((scored.score >= 0.5) == (scored.predicted == 1)).all()
 
 
+def test_held_out_recall_per_language(spark, folder):
+    folder = folder.replace("0.001", "0.1")
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels)).where("held_out AND score IS NOT NULL")
+    got = scored.join(labels.where("toxic = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    recall = (got.predicted == 1).groupby(got.lang).mean()
+    assert set(recall.index) == {"de", "en", "es", "fr"}
+    assert recall.min() > 0.75, recall.to_dict()
+
+
+def test_rare_words_and_classes_reach_the_sample(spark):
+    rows = [(i, f"plain words number {i % 97} with friends", "en", 0) for i in range(3000)]
+    rows += [(10000 + i, f"plain words number {i} with palabrota", "es", 1) for i in range(9)]
+    rows += [(20000 + i, f"plain words number {i} with badword", "en", 1) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = frame.drop("toxic"), frame.select("doc_id", "toxic")
+    sample, shift = toxicity.toxic_first_sample(docs, labels, 400)
+    drawn = {(r["lang"], r["label"]): r["count"] for r in sample.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang", "label").count().collect()}
+    assert drawn["es", 1] == docs.where("lang = 'es'").where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert drawn["en", 1] > 150 and 130 < drawn["en", 0] < 270 and shift > 1
+    model = toxicity.train(docs, labels, rows=400)
+    probe = spark.createDataFrame([(1, "plain words number 5 with palabrota"), (2, "plain words number 5 with badword"), (3, "plain words number 5 with friends")], "doc_id long, text string")
+    assert [r.predicted for r in toxicity.score(probe, model).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def test_margins_match_rows():
     batch = words("a b c a b", "", "b", "x y z")
     kinds = word_features(batch)
