@@ -8,10 +8,10 @@ P(e) = df(e) / N and P(e|t) = (df(e, t) + k P(e)) / (df(t) + k), a term t disclo
 
 of its information content: 1 if every text with the term holds the entity, 0 if the term says nothing.
 The prior weight k keeps terms seen once or twice from looking certain. In texts where a term stands near
-an entity it discloses, terms above ``generalise_at`` are generalised and those above ``remove_at`` removed.
+an entity it discloses (with ``whole_texts``: in every text that holds it), terms above ``generalise_at`` are generalised and those above ``remove_at`` removed.
 
-Entities and terms are counted, never listed: df(e, t) looks at ``REACH`` characters on either side of an
-entity, so the pairs grow with the entities, and df(t) is one partial aggregate over all texts.
+Entities and terms are counted, never listed: df(e, t) looks at the whole text, or ``REACH`` characters on
+either side of an entity, so the pairs grow with the entities, and df(t) is one partial aggregate over all texts.
 """
 
 from __future__ import annotations
@@ -105,13 +105,25 @@ def _nearby(text: Column, start: Column, end: Column) -> Column:
     return _terms(F.concat(F.regexp_replace(left, EMAIL, " "), F.lit(" . "), F.regexp_replace(right, EMAIL, " ")))
 
 
+def _told(together: DataFrame, rows: DataFrame, texts: int, generalise_at: float, prior: float) -> DataFrame:
+    """(entity, term, score) of the pairs from the threshold on."""
+    words = rows.select("w", F.explode(_terms(F.col("text"))).alias("term"))
+    holding = lookup(words, together.select("term").distinct(), ["term"], "inner")
+    holding = holding.groupBy("term").agg(F.round(F.sum("w")).alias("with_term"))
+    chance = F.col("with_entity") / float(max(texts, 1))
+    given = (F.col("both") + prior * chance) / (F.col("with_term") + prior)
+    told = together.join(holding, "term").withColumn(
+        "score", F.when(chance < 1, F.log(given / chance) / -F.log(chance)).otherwise(F.lit(0.0))
+    )
+    return told.where(F.col("score") >= generalise_at).select("entity", "term", "score")
+
+
 def disclosing_terms(
-    keyed: DataFrame, found: DataFrame, generalise_at: float, min_support: int, prior: float
+    keyed: DataFrame, found: DataFrame, generalise_at: float, min_support: int, prior: float, whole_texts: bool
 ) -> DataFrame:
-    """(k1, k2, term, score): terms of a text that disclose an entity they stand near."""
+    """(k1, k2, term, score): terms of a text that disclose an entity, anywhere or one they stand near."""
     copies = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max(F.size("spans")).alias("m"))
     copies = materialize(copies)
-    texts = copies.count()
     entities = (
         found.where("size(spans) > 0")
         .select("k1", "k2", F.explode("spans").alias("s"))
@@ -121,6 +133,24 @@ def disclosing_terms(
         .agg(F.count(F.lit(1)).alias("with_entity"))
         .where(F.col("with_entity") >= min_support)
     )
+    # Each row of a text that n rows share counts 1 / n, so the sum counts distinct texts.
+    shared = copies.where("copies > 1").select("k1", "k2", "copies")
+    rows = lookup(keyed.select("k1", "k2", "text"), shared, ["k1", "k2"], "left")
+    rows = rows.select("k1", "k2", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"))
+    if whole_texts:
+        spans = found.where("size(spans) > 0").select("k1", "k2", F.explode("spans").alias("s"))
+        known = lookup(spans.select("k1", "k2", _entity(F.col("s")).alias("entity")), entities, ["entity"], "inner")
+        known = known.groupBy("k1", "k2").agg(F.collect_set(F.struct("entity", "with_entity")).alias("e"))
+        held = lookup(rows, known, ["k1", "k2"], "inner").select("w", F.explode("e").alias("e"), "text")
+        held = held.select("w", "e.*", F.explode(_terms(F.regexp_replace("text", EMAIL, " "))).alias("term"))
+        together = held.groupBy("entity", "term").agg(
+            F.round(F.sum("w")).alias("both"), F.first("with_entity").alias("with_entity")
+        )
+        together = materialize(together.where(F.col("both") >= min_support))
+        told = _told(together, rows, copies.count(), generalise_at, prior)
+        told = told.groupBy("term").agg(F.max("score").alias("score"))
+        words = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term"))
+        return lookup(words, told, ["term"], "inner").groupBy("k1", "k2", "term").agg(F.max("score").alias("score"))
     spans = found.where("size(spans) > 0").select("k1", "k2", "nearby", F.posexplode("spans").alias("i", "s"))
     spans = spans.select("k1", "k2", _entity(F.col("s")).alias("entity"), F.expr("nearby[i]").alias("near"))
     known = lookup(spans, entities, ["entity"], "inner")
@@ -133,24 +163,14 @@ def disclosing_terms(
         .where(F.col("both") >= min_support)
     )
     together = materialize(together)
-    # Each row of a text that n rows share counts 1 / n, so the sum counts distinct texts.
-    shared = copies.where("copies > 1").select("k1", "k2", "copies")
-    rows = lookup(keyed.select("k1", "k2", "text"), shared, ["k1", "k2"], "left")
-    words = rows.select((F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"), F.explode(_terms(F.col("text"))).alias("term"))
-    holding = lookup(words, together.select("term").distinct(), ["term"], "inner")
-    holding = holding.groupBy("term").agg(F.round(F.sum("w")).alias("with_term"))
-    chance = F.col("with_entity") / float(max(texts, 1))
-    given = (F.col("both") + prior * chance) / (F.col("with_term") + prior)
-    told = together.join(holding, "term").withColumn(
-        "score", F.when(chance < 1, F.log(given / chance) / -F.log(chance)).otherwise(F.lit(0.0))
-    )
-    told = told.where(F.col("score") >= generalise_at).select("entity", "term", "score")
+    told = _told(together, rows, copies.count(), generalise_at, prior)
     near = lookup(pairs.select("k1", "k2", "entity", "term"), told, ["entity", "term"], "inner")
     return near.groupBy("k1", "k2", "term").agg(F.max("score").alias("score"))
 
 
 def find(
-    docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.9, min_support: int = 2, prior: float = 2.0
+    docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.9, min_support: int = 2, prior: float = 2.0,
+    whole_texts: bool = False,
 ) -> DataFrame:
     """doc_id, text, spans (kind, start, end, label) of every row, by kind, then start.
 
@@ -158,15 +178,18 @@ def find(
     name, ``[TERM]`` for a generalised and nothing for a removed term. Null texts are empty and have no
     spans. Copies of a text count once in the statistics and are treated alike; an entity or a pair in
     fewer than ``min_support`` distinct texts is no evidence. Terms inside another span are not listed.
+    With ``whole_texts``, co-occurrence counts per whole text and disclosing terms are listed in every text
+    that holds them; else only within ``REACH`` characters of the entity.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("k1", F.xxhash64("text"))
     keyed = keyed.withColumn("k2", F.xxhash64(F.lit(1), "text"))
     spotted = keyed.select("doc_id", "k1", "k2", "text", base_spans(F.col("text")).alias("spans"))
     nearby = F.transform("spans", lambda s: _nearby(F.col("text"), s["start"], s["end"]))
-    found = materialize(spotted.select("doc_id", "k1", "k2", "spans", nearby.alias("nearby")))
+    nearby = [] if whole_texts else [nearby.alias("nearby")]
+    found = materialize(spotted.select("doc_id", "k1", "k2", "spans", *nearby))
     flags = (
-        disclosing_terms(keyed, found, generalise_at, min_support, prior)
+        disclosing_terms(keyed, found, generalise_at, min_support, prior, whole_texts)
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("term", "score")).alias("flags"))
     )

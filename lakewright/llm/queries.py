@@ -66,7 +66,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op6_privacy_spans")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data and disclosing terms of every document."""
-    found = privacy.find(table(spark, folder, "documents"))
+    found = privacy.find(table(spark, folder, "documents"), whole_texts=True)
 
     def written(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _kind_name(s), s["start"], s["end"])), ",")

@@ -127,6 +127,16 @@ def test_disclosing_terms(spark):
     assert "other [EMAIL] words" in clean
 
 
+def test_disclosing_terms_of_whole_texts(spark):
+    plain = [f"nothing here but the words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+    far = "the words " * 60
+    told = [f"Zarquon {far} z@mail.org {i * 'x'}xx" for i in range(4)]
+    rows = list(enumerate([*plain, *told, told[0], "Zarquon alone without address but words", None]))
+    found = privacy.find(spark.createDataFrame(rows, "doc_id long, text string"), whole_texts=True).collect()
+    listed = {(r.text, r.text[s.start : s.end]) for r in found for s in r.spans if s.kind == 4}
+    assert listed == {(t, "Zarquon") for t in [*told, "Zarquon alone without address but words"]}
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string, k1 string, spans int")
     assert privacy.find(none).count() == 0
