@@ -254,12 +254,12 @@ def _(spark, folder):
     return merged.select("query_id", F.size("embedding").alias("dim"), S.fixed_point(F.col("embedding")).alias("embedding"))
 
 
-def _model_input(spark, folder):
-    """Sampled records with the vector of their query and a padded configuration."""
+def _model_input(spark, folder, sample=False):
+    """All records, or the sampled ones, with the vector of their query and a padded configuration."""
     trials = materialize(repaired(spark, folder))
     stats = materialize(W.combo_stats(trials))
     vectors = query_vectors(spark, folder, stats.select(*T.QUERY).distinct())
-    records = lookup(W.quantile_sample(trials), vectors, T.QUERY, "inner")
+    records = lookup(W.quantile_sample(trials) if sample else trials, vectors, T.QUERY, "inner")
     width = config_width(trials)
     return records.withColumn("config", S.pad(F.col("config"), width)), stats, trials, width
 
@@ -324,7 +324,7 @@ def _(spark, folder):
 
 @query("m8_expert_training")
 def _(spark, folder):
-    records, stats, _, width = _model_input(spark, folder)
+    records, stats, _, width = _model_input(spark, folder, sample=True)
     rows = materialize(W.with_ratio(records, W.query_best(stats)))
     features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), width)
     model = M.train_expert(rows, features, weight="copies", max_iter=5)
