@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import ann, contamination, html_main, jaccard, langid, mixing, privacy, toxicity, warc, wavelet
+from lakewright.llm import ann, contamination, html_main, jaccard, langid, mixing, privacy, resample, toxicity, warc, wavelet
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,50 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """A record per page, written to archives and read back."""
     folder = warc.write_archives(table(spark, folder, "pages"))
     return warc.page_records(warc.read_archives(spark, folder, payloads=False))
+
+
+@_query(
+    "op12_importance_resampling",
+    f"""
+WITH steps AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i)) AS step),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT {_WORDS} AS w FROM benchmark),
+runs AS (
+  SELECT doc_id, w, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+wanted AS (SELECT list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM b),
+df AS (SELECT doc_id, f, count(*) AS n FROM (SELECT doc_id, unnest(f) AS f FROM runs) GROUP BY ALL),
+bf AS (SELECT f, count(*) AS n FROM (SELECT unnest(f) AS f FROM wanted) GROUP BY f),
+names AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+codes AS (
+  SELECT f, xor(list_reduce(range(0, length(h) // 2), lambda c, i: xor(c >> 8, step[1 + (xor(c,
+    strpos('0123456789ABCDEF', h[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', h[2 * i + 2]) - 17) & 255)]),
+    4294967295), 4294967295) % 10000 AS bucket FROM names, steps),
+s AS (SELECT bucket, sum(n) AS n FROM df JOIN codes USING (f) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS n FROM bf JOIN codes USING (f) GROUP BY bucket),
+sizes AS (
+  SELECT coalesce((SELECT sum(n) FROM s), 0) + 10000 AS all_s, coalesce((SELECT sum(n) FROM t), 0) + 10000 AS all_t),
+gain AS (
+  SELECT s.bucket, floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(all_s AS DOUBLE)
+    / (CAST(s.n + 1 AS DOUBLE) * CAST(all_t AS DOUBLE)))) AS g
+  FROM s LEFT JOIN t USING (bucket), sizes),
+weights AS (
+  SELECT doc_id, CAST(floor(sum(g * n) / sum(n)) AS BIGINT) AS weight FROM df JOIN codes USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+draws AS (
+  SELECT doc_id, len(w) AS n_words, CAST(len(f) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    list_reduce(range(1, 9), lambda v, i: v * 16 + strpos('0123456789abcdef', x[i]) - 1, 0) AS h
+  FROM (SELECT *, sha256('7:' || doc_id) AS x FROM runs) LEFT JOIN weights USING (doc_id)),
+scores AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM draws),
+places AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+  FROM scores WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+FROM scores LEFT JOIN places USING (doc_id)
+""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark texts, with every document's weight."""
+    drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.drop("n_words")
