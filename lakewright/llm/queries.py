@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import ann, contamination, html_main, jaccard, langid, mixing, privacy, resample, toxicity, warc, wavelet
+from lakewright.llm import alignment, ann, contamination, html_main, jaccard, langid, mixing, privacy, resample, toxicity, warc, wavelet
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _query(name: str, sql: str | None = None):
@@ -25,10 +26,10 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 @_query("op1_language_id")
@@ -166,6 +167,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return warc.page_records(warc.read_archives(spark, folder, payloads=False))
 
 
+@_query("op11_tokenizer_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level and piece tokens of every document, aligned, with the corpus counts of their links."""
+    return alignment.align(table(spark, folder, "documents"), tokenizer_path(), tokenizer_path(PIECES))
+
+
 @_query(
     "op12_importance_resampling",
     f"""
