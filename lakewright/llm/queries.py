@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.llm import alignment, ann, contamination, html_main, jaccard, langid, mixing, privacy, resample, toxicity, warc, wavelet
+from lakewright.llm import alignment, ann, contamination, html_main, jaccard, langid, mixing, privacy, repeats, resample, toxicity, warc, wavelet
 from lakewright.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,24 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     """A quarter of the documents, drawn towards the benchmark texts, with every document's weight."""
     drawn = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return drawn.drop("n_words")
+
+
+@_query(
+    "op13_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+wins AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h FROM places),
+lows AS (SELECT h, min(doc_id) AS low FROM wins GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM wins JOIN lows USING (h) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without passages of 50 words that a document of smaller id has too."""
+    return repeats.remove_repeats(table(spark, folder, "documents"))
