@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
+from lakewright.operators.regression import dot, fit_ridge
+from lakewright.operators.routing import CLASSES
 from lakewright.operators.trials import QUERY
 
 _SCALED = r"^sf\d+_(.+)$"
@@ -53,9 +55,46 @@ def map_queries(queries: DataFrame, plan_keys: DataFrame) -> DataFrame:
     return queries.select(*QUERY).join(found, QUERY, "left")
 
 
+def latency_profiles(stats: DataFrame) -> DataFrame:
+    """(benchmark, query_id, profile): 1, then the query's log of the best latency on each combo, centred.
+
+    A combo the query was never run on has the mean over the queries, 0 after centring. The means are nine
+    numbers, whatever the log's size.
+    """
+    cells = [(e, k) for e in range(CLASSES) for k in range(CLASSES)]
+
+    def best(e: int, k: int) -> Column:
+        return F.min(F.when((F.col("engine_id") == e) & (F.col("lake_id") == k), F.log("best_lat")))
+
+    wide = stats.groupBy(*QUERY).agg(*[best(e, k).alias(f"c{e}{k}") for e, k in cells])
+    means = wide.agg(*[F.avg(f"c{e}{k}") for e, k in cells]).first()
+    centred = [F.coalesce(F.col(f"c{e}{k}") - F.lit(m), F.lit(0.0)) for (e, k), m in zip(cells, means)]
+    return wide.select(*QUERY, F.array(F.lit(1.0), *centred).alias("profile"))
+
+
+def fallback_vectors(profiles: DataFrame, known: DataFrame, penalty: float = 1.0) -> DataFrame:
+    """(benchmark, query_id, own_embedding) of the queries without a plan, estimated from their trials.
+
+    Ridge least squares from latency profiles to the embeddings of the queries with a plan; the model has ten
+    rows of an embedding's length, solved from summed products.
+    """
+    both = profiles.join(known.select(*QUERY, "embedding"), QUERY).withColumn("all", F.lit(0))
+    model = fit_ridge(both, ["all"], F.col("profile"), F.col("embedding"), penalty=penalty).select("coefficients")
+    missing = profiles.join(known.select(*QUERY), QUERY, "left_anti")
+    # One row, as large as ten embeddings.
+    return missing.crossJoin(F.broadcast(model)).select(
+        *QUERY, F.transform("coefficients", lambda row: dot(F.col("profile"), row)).alias("own_embedding")
+    )
+
+
 def with_fallback(queries: DataFrame, plan_embeddings: DataFrame, own: DataFrame) -> DataFrame:
-    """Per query: the embedding of its plan, else its own row; normalised per vector."""
-    joined = queries.join(plan_embeddings, "plan_key", "left").join(own, QUERY, "left")
+    """Per query: the embedding of its plan, else its own row; normalised per vector.
+
+    Queries without a plan key join under a key of their own, so they do not meet in one task.
+    """
+    alone = F.concat(F.lit("\0"), F.col("benchmark"), F.lit("\0"), F.col("query_id"))
+    keyed = queries.withColumn("_k", F.coalesce("plan_key", alone))
+    joined = keyed.join(plan_embeddings.withColumnRenamed("plan_key", "_k"), "_k", "left").join(own, QUERY, "left")
     return joined.select(
         *QUERY,
         F.col("embedding").isNull().alias("is_fallback"),

@@ -32,18 +32,23 @@ class Router:
     post: list[Layer]
 
     @classmethod
-    def seeded(cls, emb_dim: int, conf_dim: int, seed: int = 42) -> Router:
+    def seeded(cls, emb_dim: int, conf_dim: int, seed: int = 42, width: int | None = None) -> Router:
+        """Untrained weights; ``width`` makes every hidden layer and the experts' output that wide."""
         seeds = iter(range(seed, seed + 100))
-        gate = [emb_dim, *GATE_HIDDEN, CLASSES]
-        expert = [emb_dim + CONF_DIM + CLASSES, *EXPERT_HIDDEN, EXPERT_DIM]
+        conf, out, gates, experts, post = CONF_DIM, EXPERT_DIM, GATE_HIDDEN, EXPERT_HIDDEN, POST_HIDDEN
+        if width is not None:
+            conf = out = width
+            gates = experts = post = [width]
+        gate = [emb_dim, *gates, CLASSES]
+        expert = [emb_dim + conf + CLASSES, *experts, out]
         new = lambda sizes: seeded_layers(sizes, next(seeds), 1.0)
         return cls(
-            new([conf_dim, CONF_DIM, CONF_DIM, CONF_DIM]),
+            new([conf_dim, conf, conf, conf] if width is None else [conf_dim, conf, conf]),
             new(gate),
             new(gate),
             [new(expert) for _ in range(CLASSES)],
             [new(expert) for _ in range(CLASSES)],
-            new([2 * EXPERT_DIM, *POST_HIDDEN, 1]),
+            new([2 * out, *post, 1]),
         )
 
     def gates(self, emb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

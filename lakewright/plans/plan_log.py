@@ -48,8 +48,8 @@ _PLANS = (Q.PLAN_FILES, SECT)
 _NODES = (*_PLANS, NODES)
 
 
-def lines(spark, folder):
-    return P.plan_lines(P.corpus(plan_files(spark, folder)))
+def lines(spark, folder, files=None):
+    return P.plan_lines(P.corpus(plan_files(spark, folder) if files is None else files))
 
 
 def line_trees(spark, folder):
@@ -57,8 +57,8 @@ def line_trees(spark, folder):
     return G.with_paths(plans, F.transform("nodes", lambda n: n["depth"]))
 
 
-def expanded(spark, folder):
-    plans = P.with_join_keys(P.plan_nodes(lines(spark, folder)))
+def expanded(spark, folder, files=None):
+    plans = P.with_join_keys(P.plan_nodes(lines(spark, folder, files)))
     return G.with_paths(plans, F.transform("nodes", lambda n: n["depth"]))
 
 
@@ -618,11 +618,11 @@ def _(spark, folder):
     return G.forest_offsets(sizes)
 
 
-def plan_features(spark, folder):
-    """Numeric trees of the whole plan log, all benchmarks at one width."""
-    files = plan_files(spark, folder)
+def plan_features(spark, folder, files=None):
+    """Numeric trees of the whole plan log, or of these plan texts."""
+    files = plan_files(spark, folder) if files is None else files
     relations = materialize(P.relation_columns(files))
-    plans = materialize(X.node_vectors(expanded(spark, folder), X.known_columns(relations)))
+    plans = materialize(X.node_vectors(expanded(spark, folder, files), X.known_columns(relations)))
     hist = H.nest(profile(spark, folder))
     rows = benchmark_rows(spark, folder)
     flat = X.flat_features(plans, X.operator_ids(plans), X.column_magnitudes(relations, rows), hist, rows)

@@ -13,9 +13,8 @@ from lakewright.operators import recommend as R
 from lakewright.operators import trees as G
 from lakewright.operators import trials as T
 from lakewright.operators import workloads as W
-from lakewright.operators.mapping import with_fallback
-from lakewright.operators.routing import Router, encode_config, gate_choice, score_routed, score_soft
-from lakewright.operators.skew import lookup, split_scan
+from lakewright.operators.routing import Router, encode_config
+from lakewright.operators.skew import split_scan
 from lakewright.operators.treeconv import KERNELS, plan_embeddings, seeded_layers
 from lakewright.plans import sqltext as Q
 from lakewright.plans.plan_log import plan_features
@@ -244,26 +243,6 @@ def _parents(children):
     )
 
 
-@query("m2_plan_embeddings")
-def _(spark, folder):
-    trees, layers = _tree_embeddings(spark, folder)
-    embeddings = plan_embeddings(trees, layers)
-    queries = trees.select(F.lit("all").alias("benchmark"), F.col("plan_key").alias("query_id"), "plan_key")
-    zero = queries.limit(0).select(*T.QUERY, F.array(F.lit(0.0)).alias("own_embedding"))
-    merged = with_fallback(queries, embeddings, zero)
-    return merged.select("query_id", F.size("embedding").alias("dim"), S.fixed_point(F.col("embedding")).alias("embedding"))
-
-
-def _model_input(spark, folder, sample=False):
-    """All records, or the sampled ones, with the vector of their query and a padded configuration."""
-    trials = materialize(repaired(spark, folder))
-    stats = materialize(W.combo_stats(trials))
-    vectors = query_vectors(spark, folder, stats.select(*T.QUERY).distinct())
-    records = lookup(W.quantile_sample(trials) if sample else trials, vectors, T.QUERY, "inner")
-    width = config_width(trials)
-    return records.withColumn("config", S.pad(F.col("config"), width)), stats, trials, width
-
-
 def config_width(trials):
     """The widest configuration of the log."""
     return T.max_width(trials).first()[0] or 0
@@ -282,30 +261,6 @@ def _(spark, folder):
     return encoded.select("conf", *T.COMBO, F.size("encoded").alias("dim"), S.fixed_point(F.col("encoded")).alias("encoded"))
 
 
-@query("m4_soft_routed_score")
-def _(spark, folder):
-    records, _, _, width = _model_input(spark, folder)
-    return score_soft(records, _router(width), "embedding", "config").select(
-        *T.RECORD, "conf", F.round("scored.pred", 4).alias("pred"), S.fixed_point(F.col("scored.engine_logits")).alias("engine_logits")
-    )
-
-
-@query("m5_hard_routed_score")
-def _(spark, folder):
-    records, _, _, width = _model_input(spark, folder)
-    router = _router(width)
-    gated = gate_choice(records, router, "embedding")
-    scored = score_routed(gated, router, "embedding", "config", S.argmax(F.col("engine_logits")), S.argmax(F.col("lake_logits")))
-    return scored.select(*T.RECORD, "conf", F.round("pred", 4).alias("pred"))
-
-
-@query("m6_oracle_routed_score")
-def _(spark, folder):
-    records, _, _, width = _model_input(spark, folder)
-    scored = score_routed(records, _router(width), "embedding", "config", F.col("engine_id"), F.col("lake_id"))
-    return scored.select(*T.RECORD, "conf", F.round("pred", 4).alias("pred"))
-
-
 @query("m7_gate_training")
 def _(spark, folder):
     _, stats, members = sampled(spark, folder)
@@ -320,67 +275,3 @@ def _(spark, folder):
         out = model.setFeaturesCol("features").setPredictionCol(f"{gate}_pred").transform(out.withColumn("features", features))
         out = out.drop("features", "rawPrediction", "probability")
     return out.select("workload_id", *T.COMBO, F.col("engine_pred").cast("int").alias("engine_pred"), F.col("lake_pred").cast("int").alias("lake_pred"))
-
-
-@query("m8_expert_training")
-def _(spark, folder):
-    records, stats, _, width = _model_input(spark, folder, sample=True)
-    rows = materialize(W.with_ratio(records, W.query_best(stats)))
-    features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), width)
-    model = M.train_expert(rows, features, weight="copies", max_iter=5)
-    scored = model.transform(rows.withColumn("features", features))
-    return scored.groupBy(*T.COMBO).agg(
-        F.sum("copies").alias("n_records"),
-        F.round(F.avg((F.col("prediction") - F.col("ratio")) ** 2), 4).alias("mse"),
-    )
-
-
-def learned_gates(rows, test):
-    """Test queries with the engine and lake that gates trained on the workloads' best combos choose."""
-    out = test
-    for gate in ("engine", "lake"):
-        model = M.train_gate(rows, f"{gate}_id", 3 * 64, max_iter=20).setPredictionCol(f"{gate}_star")
-        features = M.array_to_vector("pooled")
-        out = model.setFeaturesCol("features").transform(out.withColumn("features", features))
-        out = out.withColumn(f"{gate}_star", F.col(f"{gate}_star").cast("int")).drop("features", "rawPrediction", "probability")
-    return out
-
-
-def learned_picks(spark, folder, depths=(3, 5)):
-    """(picks of the test queries, split of all queries): trained gates, candidates, trained expert, lowest prediction.
-
-    Gates learn from the training workloads, the expert from the sampled records of training queries. Of
-    the experts of these depths the one with the lowest mean ratio on the validation queries is taken.
-    """
-    trials, stats, members = sampled(spark, folder)
-    width = config_width(trials)
-    queries = stats.select(*T.QUERY).distinct()
-    splits = materialize(T.split_queries(queries))
-    vectors = materialize(query_vectors(spark, folder, queries))
-    best = W.workload_best(W.covered_combos(members, stats))
-    rows = materialize(E.mean_max_std(members.join(vectors, T.QUERY)).join(best, "workload_id"))
-    # A query to place is a workload of its own.
-    asked = splits.where("split <> 'train'").join(vectors, T.QUERY).withColumn("one", F.struct(*T.QUERY))
-    pooled = E.mean_max_std(asked, "one").select("one.*", "pooled")
-    chosen = materialize(learned_gates(rows, pooled).drop("pooled"))
-    train = splits.where("split = 'train'").select(*T.QUERY)
-    known = lookup(W.quantile_sample(trials), vectors.join(train, T.QUERY), T.QUERY, "inner")
-    known = materialize(W.with_ratio(known, W.query_best(stats)))
-    features = M.expert_features(F.col("config"), F.col("engine_id"), F.col("lake_id"), width, F.col("embedding"))
-    open_trials = lookup(trials, vectors.join(chosen, T.QUERY).select(*T.QUERY, "embedding"), T.QUERY, "inner")
-    tried = []
-    for depth in depths:
-        expert = M.train_expert(known, features, weight="copies", max_iter=5, max_depth=depth)
-        scored = expert.transform(open_trials.withColumn("features", features)).withColumnRenamed("prediction", "pred")
-        found = materialize(R.pick_per_query(scored, chosen).join(splits, T.QUERY))
-        tried.append((found.where("split = 'valid'").agg(F.avg("ratio")).first()[0] or 0.0, depth, found))
-    return min(tried, key=lambda t: t[:2])[2].where("split = 'test'").drop("split"), splits
-
-
-@query("m9_learned_recommendation")
-def _(spark, folder):
-    """Per test query: engine, lake and configuration that trained gates and expert choose, and the regret."""
-    rows, _ = learned_picks(spark, folder)
-    return rows.select(
-        *T.QUERY, "pick_engine_id", "pick_lake_id", "pick_conf", "fallback", F.round("ratio", 4).alias("ratio")
-    )

@@ -7,6 +7,7 @@ the result of a Spark job can be checked by an independent SQL engine.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakewright.sources.tables import spread, table
 
@@ -85,8 +86,8 @@ Filter (isnotnull(total#31) AND (total#31 > @K@.00))
    +- Join LeftSemi, (c_custkey#34L = o_custkey#35L)
       :- RelationV2[c_custkey#34L, c_acctbal#33, c_mktsegment#32] spark_catalog.tpch_iceberg_10g.customer
       +- Project [o_custkey#35L]
-         +- Filter (((isnotnull(o_orderpriority#36) AND StartsWith(o_orderpriority#36, @P@)) AND NOT o_comment#37 LIKE %special%requests%) AND isnotnull(o_custkey#35L))
-            +- RelationV2[o_custkey#35L, o_orderpriority#36, o_comment#37] spark_catalog.tpch_iceberg_10g.orders
+         +- Filter (((isnotnull(o_orderpriority#36) AND StartsWith(o_orderpriority#36, @P@)) AND NOT o_clerk#37 LIKE %night%shift%) AND isnotnull(o_custkey#35L))
+            +- RelationV2[o_custkey#35L, o_orderpriority#36, o_clerk#37] spark_catalog.tpch_iceberg_10g.orders
 
 == Physical Plan ==
 Filter (total#31 > @K@.00)
@@ -105,14 +106,14 @@ Project [c_custkey#41L, c_acctbal#42]
 === Physical Plan ===
 """,
     """== Optimized Logical Plan ==
-Window [rank(cs_sales_price#51) windowspecdefinition(cs_order_number#52L, cs_sales_price#51 DESC NULLS LAST, specifiedwindowframe(RowFrame, unboundedpreceding$(), currentrow$())) AS price_rank#53], [cs_order_number#52L], [cs_sales_price#51 DESC NULLS LAST]
-+- Project [cs_order_number#52L, cs_sales_price#51]
-   +- Join Inner, (cast(cs_item_sk#54 as bigint) = i_item_sk#55L)
-      :- Filter (isnotnull(cs_sales_price#51) AND (cs_sales_price#51 > @N@.00))
-      :  +- RelationV2[cs_item_sk#54, cs_order_number#52L, cs_sales_price#51] spark_catalog.tpcds_iceberg_10g.catalog_sales
-      +- Project [i_item_sk#55L]
-         +- Filter (i_category#56 IN (Books,@P@) OR (i_current_price#57 = @N@.5))
-            +- RelationV2[i_item_sk#55L, i_category#56, i_current_price#57] spark_catalog.tpcds_iceberg_10g.item
+Window [sum(sr_return_amt#51) windowspecdefinition(sr_store_sk#52L, sr_returned_date_sk#53L ASC NULLS FIRST, specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())) AS returned_so_far#54], [sr_store_sk#52L], [sr_returned_date_sk#53L ASC NULLS FIRST]
++- Project [sr_store_sk#52L, sr_returned_date_sk#53L, sr_return_amt#51]
+   +- Join Inner, (cast(sr_reason_sk#55 as bigint) = r_reason_sk#56L)
+      :- Filter (isnotnull(sr_return_amt#51) AND (sr_return_amt#51 > @N@.00))
+      :  +- RelationV2[sr_reason_sk#55, sr_store_sk#52L, sr_returned_date_sk#53L, sr_return_amt#51] spark_catalog.tpcds_iceberg_10g.store_returns
+      +- Project [r_reason_sk#56L]
+         +- Filter (r_reason_desc#57 IN (Damaged,@P@) OR (r_reason_weight#58 = @N@.5))
+            +- RelationV2[r_reason_sk#56L, r_reason_desc#57, r_reason_weight#58] spark_catalog.tpcds_iceberg_10g.reason
 
 == Physical Plan ==
 AdaptiveSparkPlan isFinalPlan=false
@@ -166,6 +167,15 @@ PLAN_COLUMNS = {
     "text": _filled(_case("o_orderkey % 8", PLAN_TEMPLATES)),
 }
 
+# One plan per query of the trial log, under the name its query is mapped to; a fifth of the queries has none.
+_NO = "(o_custkey % 60 + 1)"
+QUERY_PLAN_KEY = (
+    f"CASE WHEN o_orderkey % 4 = 0 THEN 'tpch_0_q' || {_text(_NO)} WHEN o_orderkey % 4 = 1 THEN 'tpcds_q' || {_text(_NO)} "
+    f"WHEN o_orderkey % 4 = 2 THEN 'ssb_Q' || {_text(_NO + ' % 5 + 1')} || '.' || {_text(_NO + ' % 3 + 1')} "
+    f"ELSE 'job_' || {_text(_NO)} || 'a' END"
+)
+QUERY_PLAN_FILTER = f"{_NO} % 5 <> 0"
+
 _CENTS = "cast(round(value * 100) as bigint)"
 
 
@@ -211,6 +221,14 @@ def plan_files(spark: SparkSession, folder: str) -> DataFrame:
     return spread(orders, "o_orderkey").selectExpr(*_select(PLAN_COLUMNS))
 
 
+def query_plan_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Plan texts named after queries of the trial log: that of the least order of each name."""
+    orders = table(spark, folder, "orders").where(QUERY_PLAN_FILTER)
+    named = orders.selectExpr(f"{QUERY_PLAN_KEY} AS plan_key", "o_orderkey", "o_custkey", "o_orderpriority")
+    first = named.groupBy("plan_key").agg(F.min(F.struct("o_orderkey", "o_custkey", "o_orderpriority")).alias("o"))
+    return first.select("plan_key", "o.*").selectExpr("plan_key || '_plan.txt' AS file_name", f"{PLAN_COLUMNS['text']} AS text")
+
+
 def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     columns = {k: v.replace("//", "div") for k, v in LOG_COLUMNS.items()}
     return table(spark, folder, "events").selectExpr(*_select(columns))
@@ -219,3 +237,8 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
 TRIALS_SQL = _sql("lineitem", TRIAL_COLUMNS, TRIAL_FILTER)
 PLANS_SQL = _sql("orders", PLAN_COLUMNS)
 LOGS_SQL = _sql("events", LOG_COLUMNS)
+QUERY_PLANS_SQL = (
+    f"SELECT plan_key || '_plan.txt' AS file_name, {PLAN_COLUMNS['text']} AS text FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY plan_key ORDER BY o_orderkey, o_custkey, o_orderpriority) AS no FROM (SELECT {QUERY_PLAN_KEY} AS plan_key, o_orderkey, "
+    f"o_custkey, o_orderpriority FROM orders WHERE {QUERY_PLAN_FILTER})) WHERE no = 1"
+)

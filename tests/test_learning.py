@@ -1,5 +1,4 @@
 import random
-from unittest import mock
 
 from pyspark.sql import functions as F
 
@@ -7,18 +6,6 @@ from lakewright.operators import learning as M
 from lakewright.operators import recommend as R
 from lakewright.operators import trials as T
 from lakewright.operators import workloads as W
-from lakewright.plans import recommendation as P
-from lakewright.plans.recommendation import learned_picks
-
-
-def test_learned_recommendation_is_for_test_queries(spark, folder):
-    """The log's latencies are random numbers, so nothing is asked of the ratio but its bound."""
-    picks, splits = learned_picks(spark, folder, depths=(3,))
-    rows = picks.collect()
-    split = {(r.benchmark, r.query_id): r.split for r in splits.collect()}
-    assert rows and {split[r.benchmark, r.query_id] for r in rows} == {"test"}
-    assert len(rows) == sum(s == "test" for s in split.values())
-    assert all(r.ratio >= 1 for r in rows)
 
 
 def test_trained_expert_beats_a_random_pick(spark):
@@ -41,13 +28,3 @@ def test_trained_expert_beats_a_random_pick(spark):
     at_random = trials.where(is_test).groupBy(*T.QUERY).agg((F.avg("latency") / F.min("latency")).alias("r"))
     assert len(picks) == 8 and min(picks) >= 1
     assert sum(picks) < 0.6 * sum(r.r for r in at_random.collect())
-
-
-def test_routed_scores_cover_the_whole_log(spark):
-    """Of a hot query and combo every record is scored, not a sample of it."""
-    rows = [("b", "q", 0, 0, f"c{i % 3}", [float(i % 3)], 2000.0 + i) for i in range(60)]
-    log = spark.createDataFrame(rows, "benchmark string, query_id string, engine_id int, lake_id int, conf string, config array<double>, latency double")
-    vectors = spark.createDataFrame([("b", "q", [0.0] * 64)], "benchmark string, query_id string, embedding array<double>")
-    with mock.patch.object(P, "repaired", lambda *_: log), mock.patch.object(P, "query_vectors", lambda *_: vectors):
-        assert P._model_input(spark, "")[0].count() == 60
-        assert P._model_input(spark, "", sample=True)[0].count() <= W.SAMPLE_LIMIT
