@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from lakewright.llm.files import filesystem, write_file
 from lakewright.llm.fm_index import FMIndex
 from lakewright.llm.textbatch import CHUNK_BYTES, _powers, chunks, mix, small_batches
-from lakewright.operators.skew import lookup
 from lakewright.session import materialize, scratch_path
 
 WINDOW = 50
@@ -36,6 +35,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _GAP = re.compile(rb"[ \t-\r]")
 _FACTORS = [np.uint64(0x9E3779B97F4A7C15 * (2 * j + 3) & (1 << 64) - 1) for j in range(64)]
 _HOT_BITS = 1 << 20
+SALTS = 4
 
 
 def blocks(raw: bytes) -> Iterator[bytes]:
@@ -248,14 +248,18 @@ def _shards(folder: str, pieces: DataFrame, window: int, shard_words: int) -> Da
     return materialize(dealt.select("p1", "p2", "doc_id", "words", "shard").mapInArrow(_build(folder, window), schema))
 
 
-def window_holders(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(k1, k2, found): per text key the windows that texts of two doc_ids may share, each with its least doc_id.
+def _join(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join on keys of which one may hold a third of ``big``, at every size alike: keys are salted a little."""
+    salted = big.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
-    ``found`` lists (start, runs) pairs; a run is (at, n, least): the windows start + at and the n - 1 after
-    it are first held by the document ``least``. Windows outside all runs are in one doc_id alone. Texts
-    without a doc_id take no part.
+
+def shared_texts(docs: DataFrame, window: int, hot: int) -> tuple[DataFrame, np.ndarray]:
+    """(k1, k2, least_id, text, runs): texts with windows that two doc_ids may share; and the bits of hot hashes.
+
+    Equal texts are one row with their least doc_id; texts without a doc_id take no part.
     """
-    small_batches(docs)
     keyed = _keyed(docs.where("doc_id IS NOT NULL"))
     schema = "k1 long, k2 long, doc_id long, hash long, start long, n long"
     sampled = materialize(keyed.mapInArrow(_sample(window), schema))
@@ -267,51 +271,80 @@ def window_holders(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_
     bits = np.zeros(_HOT_BITS, np.uint8)
     for (bit,) in shared.where("hot").select(F.col("hash") % _HOT_BITS).distinct().collect():
         bits[bit] = 1
-    runs = lookup(sampled, shared, ["hash"], "inner").groupBy("k1", "k2").agg(
-        F.min("doc_id").alias("least_id"), F.collect_set(F.struct("hash", "start", "n", "hot")).alias("runs")
+    runs = _join(sampled.drop("doc_id"), shared, ["hash"], "inner").groupBy("k1", "k2").agg(
+        F.collect_set(F.struct("hash", "start", "n", "hot")).alias("runs")
     )
-    texts = lookup(keyed, runs, ["k1", "k2"], "inner").where("doc_id = least_id").select("k1", "k2", "doc_id", "text", "runs")
+    # Copies of a text become one row before they are sent.
+    texts = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.first("text").alias("text"))
+    return materialize(texts.join(runs, ["k1", "k2"])), bits
+
+
+def window_holders(texts: DataFrame, bits: np.ndarray, window: int, shard_words: int) -> DataFrame:
+    """(k1, k2, found): per text its shared windows, each with the least doc_id that holds it.
+
+    ``found`` lists (start, runs) pairs; a run is (at, n, least): the windows start + at and the n - 1 after
+    it are first held by the document ``least``. Windows outside all runs are in one doc_id alone.
+    """
     schema = "k1 long, k2 long, doc_id long, route long, start long, n long, words string"
-    pieces = texts.mapInArrow(_pieces(window, bits), schema)
+    rows = texts.select("k1", "k2", F.col("least_id").alias("doc_id"), "text", "runs")
+    pieces = rows.mapInArrow(_pieces(window, bits), schema)
     pieces = materialize(pieces.withColumn("p1", F.xxhash64("words")).withColumn("p2", F.xxhash64(F.lit(1), "words")))
-    folder = scratch_path(docs.sparkSession, "passages")
+    folder = scratch_path(texts.sparkSession, "passages")
     distinct = _shards(folder, pieces, window, shard_words)
     found = distinct.mapInArrow(_search(folder), "p1 long, p2 long, found array<struct<at: long, n: long, least: long>>")
-    placed = lookup(pieces.select("k1", "k2", "start", "p1", "p2"), found, ["p1", "p2"], "inner")
+    placed = _join(pieces.select("k1", "k2", "start", "p1", "p2"), materialize(found), ["p1", "p2"], "inner")
     return placed.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "found")).alias("found"))
 
 
+def _kept(text: str | None, spans: np.ndarray) -> tuple[int, int, str]:
+    """Words of a text, how many of them lie in spans, and the digest of the others."""
+    digest, n_words, n_left = hashlib.sha256(), 0, 0
+    for block in blocks((text or "").encode()):
+        left = words = block.split()
+        if len(spans):
+            gone = _covered(spans, n_words, len(words))
+            left = [w for w, g in zip(words, gone.tolist()) if not g]
+        n_words += len(words)
+        if left:
+            digest.update((b" " if n_left else b"") + b" ".join(left))
+        n_left += len(left)
+    return n_words, n_words - n_left, digest.hexdigest()
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row with the number and the digest of all its words."""
+    nothing = np.zeros((0, 2), np.int64)
+    for batch in batches:
+        facts = [_kept(t.as_py(), nothing) for t in batch.column("text")]
+        columns = [pa.array([f[0] for f in facts], pa.int64()), pa.array([f[2] for f in facts], pa.string())]
+        names = ["doc_id", "k1", "k2"]
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + columns, [*names, "n_words", "sha_all"])
+
+
 def _remove(window: int):
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    """Per text what is left of it in the document of its least id and in later ones."""
+    names = ["k1", "k2", "least_id", "n_first", "sha_first", "n_later", "sha_later"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, found in zip(batch.column("doc_id"), batch.column("text"), batch.column("found")):
-                doc, found = doc.as_py(), found.as_py() or []
-                spans = _merged(
-                    [
-                        (f["start"] + r["at"], f["start"] + r["at"] + r["n"] + window - 1)
-                        for f in found
-                        for r in f["found"]
-                        if doc is not None and r["least"] < doc
-                    ]
-                )
-                digest, n_words, n_removed, kept = hashlib.sha256(), 0, 0, 0
-                for block in blocks((text.as_py() or "").encode()):
-                    words = block.split()
-                    left = words
-                    if len(spans):
-                        gone = _covered(spans, n_words, len(words))
-                        left = [w for w, g in zip(words, gone.tolist()) if not g]
-                    n_words += len(words)
-                    n_removed += len(words) - len(left)
-                    if left:
-                        digest.update((b" " if kept else b"") + b" ".join(left))
-                    kept += len(left)
-                out.append((doc, n_words, n_removed, digest.hexdigest()))
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names)
+            rows = (batch.column(c) for c in ("least_id", "text", "found"))
+            for least, text, found in zip(*rows):
+                least, found = least.as_py(), found.as_py()
+                spans = [
+                    (f["start"] + r["at"], f["start"] + r["at"] + r["n"] + window - 1, r["least"])
+                    for f in found
+                    for r in f["found"]
+                ]
+                facts = []
+                for earlier in (least, None):  # a later document finds every window in the least one
+                    gone = _merged([s[:2] for s in spans if earlier is None or s[2] < earlier])
+                    facts += _kept(text.as_py(), gone)[1:]
+                out.append((least, *facts))
+            kinds = pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()
+            columns = [batch.column("k1"), batch.column("k2"), *(pa.array(list(c), k) for c, k in zip(zip(*out), kinds))]
+            if out:
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -346,6 +379,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, shard_
     neither read nor returned.
     """
     small_batches(docs)
-    found = window_holders(docs, window, hot, shard_words)
-    rows = lookup(_keyed(docs), found, ["k1", "k2"], "left").select("doc_id", "text", "found")
-    return rows.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    texts, bits = shared_texts(docs, window, hot)
+    found = texts.drop("runs").join(window_holders(texts, bits, window, shard_words), ["k1", "k2"])
+    schema = "k1 long, k2 long, least_id long, n_first long, sha_first string, n_later long, sha_later string"
+    left = materialize(found.mapInArrow(_remove(window), schema))
+    rows = _keyed(docs).mapInArrow(_whole, "doc_id long, k1 long, k2 long, n_words long, sha_all string")
+    joined = _join(rows, left, ["k1", "k2"], "left")
+    first, later = F.col("doc_id") == F.col("least_id"), F.col("doc_id") > F.col("least_id")
+    return joined.select(
+        "doc_id",
+        "n_words",
+        F.when(first, F.col("n_first")).when(later, F.col("n_later")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.when(first, F.col("sha_first")).when(later, F.col("sha_later")).otherwise(F.col("sha_all")).alias("kept_sha256"),
+    )
