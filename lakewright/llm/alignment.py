@@ -18,13 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewright.llm.textbatch import small_batches
-from lakewright.llm.wavelet import pieces_of
+from lakewright.llm.textbatch import small_batches, text_bytes
+from lakewright.llm.wavelet import _RISKY, _plain_rows, pieces_of
 from lakewright.operators.skew import lookup
 from lakewright.session import materialize
 
-UNITS = 150_000  # units of text that a worker remembers
+UNITS = 250_000  # units of text that a worker remembers
 UNIT_BYTES = 16 << 20  # bytes of text in them
+JOINED = 500  # new units encoded as one text
 STEP = 64  # documents aligned at once
 _WORD_START = "▁"
 
@@ -88,34 +89,54 @@ class Aligner:
         self.codes = np.zeros(0, np.int64)
         self.groups: list[str] = []
 
-    def _ids(self, units: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both tokenizers and whether the tokens' bytes are the unit's."""
+    def _alone(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """Ids of both tokenizers, tokens of each unit and whether their bytes are the unit's; one text per unit."""
         v = self.vocabulary
         whole = [" " + u for u in units]
         a = [e.ids for e in v.a.encode_batch_fast(whole, add_special_tokens=False)]
         b = v.b.encode(units, num_threads=1)
         if "" in units:  # a lone space: an empty text would get no token
             b[units.index("")] = [v.b.piece_to_id(_WORD_START)]
-        fits = np.ones(len(units), bool)
+        fits = np.ones(len(units), np.int64)
         for i, (text, x, y) in enumerate(zip(whole, a, b)):
             raw = text.encode()
             if b"".join([v.bytes_b[t] for t in y]) != raw or b"".join([v.bytes_a[t] for t in x]) != raw:
-                fits[i] = False
+                fits[i] = 0
                 a[i] = b[i] = []
-        return a, b, fits
+        counts = (np.array(list(map(len, x)), np.int64) for x in (a, b))
+        return *(np.array([t for ids in x for t in ids], np.int64) for x in (a, b)), *counts, fits
 
-    def _learn(self, units: list[str]) -> None:
-        a, b, fits = self._ids(units)
+    def _together(self, units: list[str]) -> tuple[np.ndarray, ...]:
+        """As ``_alone`` of units that end in a safe character: encoded as one text, cut at the bytes where units end."""
+        v = self.vocabulary
+        text = " ".join(units)
+        a = v.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = v.b.encode(text)
+        raw = b" " + text.encode()
+        if b"".join([v.bytes_a[t] for t in a]) != raw or b"".join([v.bytes_b[t] for t in b]) != raw:
+            return self._alone(units)
+        wanted = np.cumsum([1 + len(u.encode()) for u in units])
+        ids, counts = [np.array(x, np.int64) for x in (a, b)], []
+        for x, size in zip(ids, (v.size_a, v.size_b)):
+            ends = np.cumsum(size[x])
+            cut = np.searchsorted(ends, wanted)
+            if (ends[cut] != wanted).any():
+                return self._alone(units)
+            counts.append(np.diff(cut, prepend=-1))
+        return *ids, *counts, np.ones(len(units), np.int64)
+
+    def _learn(self, safe: list[str], others: list[str]) -> None:
+        runs = [self._together(safe[i : i + JOINED]) for i in range(0, len(safe), JOINED)]
+        runs += [self._alone(others)] if others else []
+        ids_a, ids_b, count_a, count_b, fits = (np.concatenate(x) for x in zip(*runs))
         v = self.vocabulary
-        count_a, count_b = np.array(list(map(len, a)), np.int64), np.array(list(map(len, b)), np.int64)
-        ids_a, ids_b = (np.array([t for ids in x for t in ids], np.int64) for x in (a, b))
         ends_a, ends_b = np.cumsum(v.size_a[ids_a]), np.cumsum(v.size_b[ids_b])
-        cuts = np.union1d(ends_a, ends_b)
-        common = np.intersect1d(ends_a, ends_b)
+        at_a, at_b = (np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, bool) for _ in range(2))
+        at_a[ends_a] = at_b[ends_b] = True
+        cuts, common = np.flatnonzero(at_a | at_b), np.flatnonzero(at_a & at_b)
         # Between two neighbouring cuts lies the overlap of exactly one token of each side.
         codes = ids_a[np.searchsorted(ends_a, cuts)] * self.n_b + ids_b[np.searchsorted(ends_b, cuts)]
-        last_a, last_b = np.cumsum(count_a), np.cumsum(count_b)
-        stop = np.concatenate([[0], ends_a])[last_a]  # byte at which each unit ends
+        stop = np.concatenate([[0], ends_a])[np.cumsum(count_a)]  # byte at which each unit ends
         links, groups = (np.diff(np.searchsorted(x, stop, "right"), prepend=0) for x in (cuts, common))
         first = len(self.codes) + np.cumsum(links) - links
         self.facts = np.concatenate([self.facts, np.column_stack([count_a, count_b, groups, links, first, fits])])
@@ -132,22 +153,29 @@ class Aligner:
 
     def _numbers(self, units: list[str]) -> np.ndarray:
         known = self.known
-        new = list(dict.fromkeys(u for u in units if u not in known))
+        new = list(dict.fromkeys([u for u in units if u not in known]))
         if new:
-            old = len(known)
-            known.update(zip(new, range(old, old + len(new))))
+            safe = [u for u in new if u and not _RISKY.match(u[-1])]
+            others = [u for u in new if not u or _RISKY.match(u[-1])]
+            for u in (*safe, *others):
+                known[u] = len(known)
             self.bytes += sum(map(len, new))
-            self._learn(new)
+            self._learn(safe, others)
         return np.fromiter(map(known.__getitem__, units), np.int64, len(units))
 
     def align(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
         """Per text: (A ids, B ids, groups, links), pair codes, links of each code, digest of the groups."""
         if len(self.known) > UNITS or self.bytes > UNIT_BYTES:
             self._clear()
+        spaced = [" " + text if text else "" for text in texts]
+        plain = _plain_rows(*text_bytes(pa.array([text[1:] for text in spaced], pa.string())))
         parts: list[list[str]] = []
-        for text in texts:
-            head, rest = pieces_of(" " + text) if text else ("", [])
-            parts.append([head[1:], *rest] if text else [])
+        for text, simple in zip(spaced, plain.tolist()):
+            if simple:
+                parts.append(text.split(" ")[1:])
+            else:
+                head, rest = pieces_of(text)
+                parts.append([head[1:], *rest])
         numbers = self._numbers([u for units in parts for u in units])
         at = 0
         for units in parts:
