@@ -37,6 +37,7 @@ CACHE = 300_000
 JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
+_MARKED = re.compile(r"([A-Za-z]+)([.,;:!?]+)")
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
@@ -88,6 +89,7 @@ class Encoder:
             self.n_bytes[i] = len(word)  # one character per byte
         self.dtype = np.uint16 if len(self.n_bytes) <= 1 << 16 else np.uint32
         self.known = _Numbers()
+        self.marks: dict[str, np.ndarray] = {}
         self.flat = np.zeros(1 << 16, self.dtype)
         self.used = 0
         self.begin, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
@@ -121,10 +123,31 @@ class Encoder:
             return self._code([" " + p for p in pieces])
         return ids, np.diff(cut, prepend=-1)
 
+    def _marks(self, marks: str) -> np.ndarray:
+        """Ids of a run of punctuation marks after a word."""
+        if marks not in self.marks:
+            if len(self.marks) > JOINED:
+                self.marks.clear()
+            self.marks[marks] = self._code([marks])[0]
+        return self.marks[marks]
+
     def _add(self, keys: list[str | tuple[str]]) -> None:
-        single = [isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in keys]
-        alone, rest = np.flatnonzero(single), np.flatnonzero(~np.array(single))
-        runs = [(alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)]))]
+        old = len(self.size)
+        runs, fresh = [], []
+        for i, key in enumerate(keys):
+            # A word and the marks after it are separate tokens, so a known word need not be encoded again.
+            found = _MARKED.fullmatch(key) if isinstance(key, str) else None
+            number = self.known.get(found[1], old) if found else old
+            if number < old:
+                a = self.begin[number]
+                ids = np.concatenate([self.flat[a : a + self.size[number]], self._marks(found[2])])
+                runs.append((np.array([i]), (ids, np.array([len(ids)]))))
+            else:
+                fresh.append(i)
+        single = np.array([isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in map(keys.__getitem__, fresh)], bool)
+        fresh = np.array(fresh, np.int64)
+        alone, rest = fresh[single], fresh[~single]
+        runs.append((alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)])))
         for a in range(0, len(rest), JOINED):
             part = rest[a : a + JOINED]
             runs.append((part, self._together([keys[i] for i in part.tolist()])))
@@ -341,7 +364,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     """Encode every text, append the end id and write one file per shard; returns the folder.
 
     Documents are range-partitioned on doc_id and sorted in each shard (null ids first; equal ids by
-    text), so file names ascend with the ids. The number of shards follows from the bytes of text.
+    text), so file names ascend with the ids; rows that share an id may go on in the next shard. The number
+    of shards follows from the bytes of text. Null and empty texts have the end id alone, repeated rows come
+    as often as given, an empty table has no shard, and columns other than these two are not read.
     """
     small_batches(docs)
     folder = folder or scratch_path(docs.sparkSession, "tokens")

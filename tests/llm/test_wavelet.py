@@ -81,3 +81,12 @@ def test_hard_rows(spark, tokenizer):
     assert sorted((tuple(r) for r in read.collect()), key=lambda r: r[1]) == expected_rows(tokenizer, order)
     none = spark.createDataFrame([], "doc_id long, text string, shard string")
     assert wavelet.read_shards(spark, wavelet.write_shards(none, tokenizer_path())).count() == 0
+
+
+def test_a_known_word_before_marks(tokenizer):
+    encoder = Encoder(tokenizer_path())
+    texts = ["word other Word thing don", "word, other... Word!? thing; don't: don. wor.d other.", "other.,;:!? x. other.\nnew"]
+    for text in texts:
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+    assert encoder.marks
