@@ -11,6 +11,8 @@ File: magic, length of the header, header (JSON: counts, levels, place of each s
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -340,8 +342,19 @@ class WaveletMatrix:
         return now
 
 
+def _give_back() -> None:
+    """Return memory that earlier tasks of this worker freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it keeps what it has
+        pass
+
+
 def _write(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         doc_ids, ids, sizes, shard = [], [], [], 0
         for batch in batches:
             encoder = encoder_of(tokenizer)
