@@ -385,7 +385,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str | None = None, sha
     folder = folder or scratch_path(docs.sparkSession, "tokens")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // shard_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Rows that share an id are cut by their text's beginning; whole texts would all be sampled for the ranges.
+    dealt = dealt.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     rows = dealt.withColumn("shard", F.spark_partition_id())
     rows.mapInArrow(_write(folder, tokenizer), "shard long, docs long, tokens long").write.format("noop").mode(
         "overwrite"

@@ -90,3 +90,14 @@ def test_a_known_word_before_marks(tokenizer):
         ids, _ = encoder.encode(pa.array([text]))
         assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
     assert encoder.marks
+
+
+def test_rows_without_id_fill_many_shards(spark, tokenizer):
+    rows = [(None if i % 3 == 0 else i, f"text {i * 7919 % 600} of " + "words " * 60) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = wavelet.write_shards(docs, tokenizer_path(), shard_bytes=10_000)
+    sizes = [len(WaveletMatrix(f.content).documents()[0]) for f in spark.read.format("binaryFile").load(folder).select("content").collect()]
+    assert len(sizes) > 15 and max(sizes) < 100
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted((tuple(r) for r in wavelet.read_shards(spark, folder).collect()), key=lambda r: r[1])
+    assert got == expected_rows(tokenizer, order)
