@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lakewright.llm.textbatch import chunks, small_batches
+from lakewright.llm.textbatch import chunks, quoted, small_batches
 from lakewright.session import materialize
 
 ORDER = 3
@@ -211,9 +212,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, reject_bits: float =
     """
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    inner = docs.schema.simpleString()
-    told = docs.select(row, *_inputs()).mapInArrow(
-        _predict(shared), f"_row {inner}, lang_pred string, score double, bits_per_byte double"
-    )
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), *_inputs())
+    found = T.StructType().add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    told = rows.mapInArrow(_predict(shared), T.StructType([rows.schema["_row"], *found]))
     return told.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < reject_bits)).select("_row.*")

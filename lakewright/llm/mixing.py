@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakewright.llm.linear import Weights, fit, margins, rows_of, shape_features, word_features
-from lakewright.llm.textbatch import chunks, small_batches, words_of
+from lakewright.llm.textbatch import chunks, quoted, small_batches, words_of
 from lakewright.llm.toxicity import labelled_sample
 from lakewright.session import materialize
 
@@ -94,9 +95,12 @@ def train(
     domains: list[str],
     rows: int = 8000,
     epochs: int = 5,
-    min_texts: int = 8,
+    min_texts: int = 1,
 ) -> DomainModel:
-    """Fit on about ``rows`` documents of ``labelled`` (doc_id, place of the domain); one task holds them."""
+    """Fit on about ``rows`` documents of ``labelled`` (doc_id, place of the domain); one task holds them.
+
+    Every feature of the sample learns; the L1 term decides which keep a weight.
+    """
     sample = labelled_sample(docs, labelled, "domain", rows).repartition(1).sortWithinPartitions("doc_id")
     got = sample.select("label", "text").mapInArrow(
         _fit(len(domains), epochs, min_texts), "domain long, feature long, weight double"
@@ -137,10 +141,10 @@ def posteriors(docs: DataFrame, model: DomainModel, columns: list[str] | None =
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns if columns is None else columns
-    row = F.struct(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(quoted(c)) for c in names])
     rows = docs.select(row.alias("_row"), F.col("text").alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(_posteriors(shared), f"_row {kind}, n_tokens long, posterior array<double>")
+    told = T.StructType().add("n_tokens", "long").add("posterior", T.ArrayType(T.DoubleType()))
+    return rows.mapInArrow(_posteriors(shared), T.StructType([rows.schema["_row"], *told]))
 
 
 def rate(steps: list[list[float]]) -> Column:

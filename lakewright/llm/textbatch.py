@@ -38,6 +38,11 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_ROWS))
 
 
+def quoted(column: str) -> str:
+    """A column's name for use in expressions, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):

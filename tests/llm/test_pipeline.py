@@ -46,3 +46,17 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([2, 5, 5, 6, 8])
     assert jaccard.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_odd_columns_and_empty_tables(spark, folder):
+    """Extra columns of any name and nested type pass through every stage; no rows give no rows."""
+    docs = table(spark, folder, "documents").limit(60)
+    odd = docs.withColumns({"my col": F.lit(1), "a:b": F.struct(F.lit("x").alias("in: ner")), "rate": F.lit("r"), "label": F.lit(2)})
+    for start in (materialize(odd), materialize(odd.limit(0))):
+        kept = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = materialize(stage(spark, kept, folder))
+            assert kept.columns == odd.columns
+        tokens = corpus_pipeline.STAGES[-1][1](spark, kept, folder)
+        assert tokens.count() == kept.count()
+        assert (kept.count() > 0) == (start.count() > 0)
