@@ -8,6 +8,8 @@ filter below, which would compute them twice.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -380,3 +382,22 @@ def relation_columns(files: DataFrame) -> DataFrame:
         .select(F.concat(bench, F.lit("_"), F.col("m.name")).alias("table_name"), F.explode(_names(F.col("m.cols"))).alias("column"))
         .distinct()
     )
+
+
+def with_table_prefix(plans: DataFrame, benchmarks: Sequence[str] = ("job", "ssb")) -> DataFrame:
+    """Plans of these benchmarks with predicate columns under the initials of the table their filter reads.
+
+    A filter reads a table where the next node after its predicates is a scan; other filters keep their
+    columns. Columns of the other benchmarks carry their table's prefix already.
+    """
+    logic = ["AND", "OR", "Predicate"]
+
+    def named(node: Column, i: Column) -> Column:
+        below = F.get(F.filter(F.slice("nodes", i + 2, F.size("nodes")), lambda n: ~n["operator"].isin(logic)), F.lit(0))
+        scanned = F.when(below["operator"] == "Scan", below["table"])
+        prefix = F.concat(S.table_initials(scanned), F.lit("_"))
+        column = F.coalesce(F.concat(prefix, node["pred"]["col"]), node["pred"]["col"])
+        return F.when(node["pred"].isNotNull(), node.withField("pred.col", column)).otherwise(node)
+
+    applies = F.col("benchmark").isin(*benchmarks)
+    return plans.withColumn("nodes", F.when(applies, F.transform("nodes", named)).otherwise(F.col("nodes")))

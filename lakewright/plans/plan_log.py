@@ -19,7 +19,7 @@ from lakewright.plans.trial_log import accepted
 from lakewright.session import materialize, scratch_path
 from lakewright.sources.derived import plan_files
 from lakewright.sources.tables import table
-from lakewright.sources.tree_cache import load_trees, save_trees
+from lakewright.sources.tree_cache import cached_trees
 
 _OPT = r"(?s){m} Optimized Logical Plan {m}\n(.*?)\n{m} Physical Plan {m}"
 SECT = f"""sect AS (
@@ -52,8 +52,8 @@ def lines(spark, folder, files=None):
     return P.plan_lines(P.corpus(plan_files(spark, folder) if files is None else files))
 
 
-def line_trees(spark, folder):
-    plans = P.line_nodes(lines(spark, folder))
+def line_trees(spark, folder, files=None):
+    plans = P.line_nodes(lines(spark, folder, files))
     return G.with_paths(plans, F.transform("nodes", lambda n: n["depth"]))
 
 
@@ -315,6 +315,25 @@ def _(spark, folder):
     return scans.select("table_name", S.table_initials(F.col("table_name")).alias("initials"), "n")
 
 
+@query(
+    "p17_prefixed_predicates",
+    Q.with_(
+        *_NODES,
+        r"""below AS (SELECT *, lead(operator) OVER w AS next_operator, lead(table_name) OVER w AS next_table FROM ops WINDOW w AS (PARTITION BY plan_key ORDER BY node_id)),
+        filters AS (SELECT plan_key, regexp_replace(body, 'cast\(([^()]*) as \w+\)', '\1', 'g') AS body,
+          CASE WHEN benchmark IN ('job', 'ssb') AND next_operator = 'Scan' THEN array_to_string(list_transform(string_split(next_table, '_'),
+            lambda w: CASE WHEN w = 'char' THEN 'ch' ELSE left(w, 1) END), '') || '_' ELSE '' END AS prefix FROM below WHERE word = 'Filter'),
+        found AS (
+          SELECT plan_key, prefix, regexp_extract(unnest(regexp_extract_all(body, '\w+#\d+L? (?:>=|<=|>|<|=|LIKE|IN) ')), '^(\w+)#', 1) AS col FROM filters
+          UNION ALL SELECT plan_key, prefix, regexp_extract(unnest(regexp_extract_all(body, '(?:StartsWith|isnotnull)\([^()]*\)')), '\((\w+)#', 1) FROM filters)""",
+        select="SELECT plan_key, prefix || col AS col, count(*) AS n FROM found GROUP BY ALL",
+    ),
+)
+def _(spark, folder):
+    rows = _rows(P.with_table_prefix(P.plan_nodes(lines(spark, folder)))).where("pred IS NOT NULL")
+    return rows.groupBy("plan_key", F.col("pred.col").alias("col")).agg(F.count("*").alias("n"))
+
+
 _RELATIONS = r"""mentions AS (
   SELECT unnest(regexp_extract_all(text, 'RelationV2\[([^\]]*)\] ?((?:\w+\.)*)(\w+)', 1)) AS cols,
     unnest(regexp_extract_all(text, 'RelationV2\[([^\]]*)\] ?((?:\w+\.)*)(\w+)', 2)) AS db,
@@ -360,13 +379,17 @@ def _(spark, folder):
 
 @query(
     "t14_numeric_cleaning",
-    "SELECT o_orderkey, 0.0::double AS a, round(o_totalprice, 2) AS b FROM orders",
+    """SELECT o_orderkey, coalesce(try_cast(trim(t) AS double), 0.0::double) AS a FROM (SELECT o_orderkey, CASE o_orderkey % 5
+      WHEN 0 THEN o_orderpriority WHEN 1 THEN ' ' || cast(o_custkey AS varchar) || '.5 ' WHEN 2 THEN cast(o_custkey AS varchar) || 'x'
+      WHEN 3 THEN '-' || cast(o_custkey AS varchar) ELSE '' END AS t FROM orders)""",
 )
 def _(spark, folder):
-    clean = lambda c: F.coalesce(S.to_number(F.col(c).cast("string")), F.lit(0.0))
-    return table(spark, folder, "orders").select(
-        "o_orderkey", clean("o_orderpriority").alias("a"), F.round(clean("o_totalprice"), 2).alias("b")
-    )
+    kind, number = F.col("o_orderkey") % 5, F.col("o_custkey").cast("string")
+    text = (
+        F.when(kind == 0, F.col("o_orderpriority")).when(kind == 1, F.concat(F.lit(" "), number, F.lit(".5 ")))
+        .when(kind == 2, F.concat(number, F.lit("x"))).when(kind == 3, F.concat(F.lit("-"), number)).otherwise("")
+    )
+    return table(spark, folder, "orders").select("o_orderkey", F.coalesce(S.to_number(text), F.lit(0.0)).alias("a"))
 
 
 @query(
@@ -553,7 +576,16 @@ def _(spark, folder):
     return rows.withColumn("hops", F.array_join(F.transform("hops", lambda x: x.cast("string")), ","))
 
 
-@query("g4_roots", Q.with_(*_TREES, select="SELECT plan_key, node_id AS root_id FROM nodes ANTI JOIN parents USING (plan_key, node_id)"))
+@query(
+    "g4_roots",
+    Q.with_(
+        *_NODES,
+        # A node has a parent if an earlier node of its plan is one level shallower: the depths seen so far as bits.
+        """seen AS (SELECT plan_key, node_id, depth, bit_or(1::hugeint << depth::int) OVER (PARTITION BY plan_key ORDER BY node_id
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS depths FROM nodes)""",
+        select="SELECT plan_key, node_id AS root_id FROM seen WHERE depth = 0 OR coalesce(depths, 0) & (1::hugeint << (depth - 1)::int) = 0",
+    ),
+)
 def _(spark, folder):
     return G.roots(line_trees(spark, folder))
 
@@ -643,21 +675,52 @@ def _(spark, folder):
     )
 
 
-@query("j11_tree_cache_merge", Q.with_(*_PLANS, select="SELECT benchmark, count(*) AS n_plans FROM sect WHERE benchmark IN ('tpch', 'ssb') GROUP BY 1"))
+@query(
+    "j11_tree_cache_merge",
+    Q.with_(*_PLANS, select="SELECT benchmark, count(*) AS n_plans, count(DISTINCT plan_key) AS n_keys, true AS same_width FROM sect GROUP BY 1"),
+)
 def _(spark, folder):
+    """Trees of every benchmark, each padded for itself, united at the widest one's width."""
     flat = plan_features(spark, folder)
-    parts = [flat.where(F.col("benchmark") == b) for b in ("tpch", "ssb")]
-    merged = X.common_width(parts[0].unionByName(parts[1]))
-    return merged.groupBy("benchmark").agg(F.count("*").alias("n_plans"))
+    widths = X.common_width(flat).withColumn("width", F.size(F.get("features", F.lit(0))))
+    widest = flat.agg(F.max(F.size(F.get("features", F.lit(0))))).scalar()
+    return widths.groupBy("benchmark").agg(
+        F.count("*").alias("n_plans"),
+        F.countDistinct("plan_key").alias("n_keys"),
+        (F.min("width") == F.max("width")).alias("one_width"),
+        F.max("width").alias("width"),
+    ).select("benchmark", "n_plans", "n_keys", (F.col("one_width") & (F.col("width") == widest)).alias("same_width"))
 
 
-@query("s7_tree_cache", Q.with_(*_PLANS, select="SELECT benchmark, count(*) * 3 AS n_trees FROM sect GROUP BY 1"))
+def swapped_trees(spark, folder, files, copies=2):
+    """Children lists of each plan and of its copies with swapped sides."""
+    trees = G.augment(line_trees(spark, folder, files).select("plan_key", "benchmark", "parents"), copies=copies)
+    return trees.select("benchmark", "plan_key", "tree_key", "children")
+
+
+@query(
+    "s7_tree_cache",
+    Q.with_(*_NODES, select="""SELECT benchmark, count(DISTINCT plan_key) * 3 AS n_trees, count(*) * 3 AS n_nodes,
+      count(DISTINCT plan_key) FILTER (plan_key LIKE '%3' OR plan_key LIKE '%7') * 3 AS n_computed FROM nodes GROUP BY 1"""),
+)
 def _(spark, folder):
-    trees = G.augment(line_trees(spark, folder).select("plan_key", "benchmark", "parents"), copies=2)
+    """Two runs over one cache: the second has new plans and changed texts, and computes those only."""
     root = scratch_path(spark, "trees")
-    save_trees(trees.select("tree_key", "benchmark", "children"), root, num_augment=2, source=folder)
-    cached = load_trees(spark, root, num_augment=2, source=folder)
-    return cached.groupBy("benchmark").agg(F.count("*").alias("n_trees"))
+    files = P.corpus(plan_files(spark, folder)).withColumn("plan_key", F.split_part("file_name", F.lit("_plan"), F.lit(1)))
+    files = files.withColumn("benchmark", F.split_part("file_name", F.lit("_"), F.lit(1)))
+    files = materialize(files.where(P.optimized_section(F.col("text")).isNotNull()))
+    changed = F.when(F.col("plan_key").endswith("3"), F.concat("text", F.lit("\n"))).otherwise(F.col("text"))
+
+    def build(missing):
+        return swapped_trees(spark, folder, missing)
+
+    cached_trees(files.where(~F.col("plan_key").endswith("7")), root, build, "copies=2", "first")
+    trees = cached_trees(files.withColumn("text", changed), root, build, "copies=2", "second")
+    return trees.groupBy("benchmark").agg(
+        F.count("*").alias("n_trees"),
+        F.sum(F.size("children")).alias("n_nodes"),
+        F.count_if(F.col("run") == "second").alias("n_computed"),
+    )
 
 
 _J5 = r"""q AS (SELECT DISTINCT benchmark, query_id, regexp_replace(query_id, '^sf\d+_', '') AS base FROM accepted),

@@ -1,21 +1,75 @@
-"""Parquet cache of plan trees, partitioned by benchmark."""
+"""Parquet cache of plan trees, partitioned by benchmark and keyed by what they were built from.
+
+A tree's key is a hash of its plan text and of the settings of the build. A run computes the trees whose key
+is not in the cache, and rewrites only the benchmarks in which a tree is new or no longer asked for.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def save_trees(trees: DataFrame, root: str, num_augment: int, source: str) -> None:
-    """Write trees together with the settings they were built from."""
-    keyed = trees.withColumn("num_augment", F.lit(num_augment)).withColumn("source", F.lit(source))
-    keyed.write.mode("overwrite").partitionBy("benchmark").parquet(root)
+from lakewright.session import materialize
 
 
-def load_trees(spark: SparkSession, root: str, num_augment: int, source: str) -> DataFrame | None:
-    """Cached trees built from the same settings, None without a cache or with other settings."""
+def _exists(spark: SparkSession, root: str) -> bool:
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def content_key(text: str, settings: str):
+    """Hash of a plan text and the settings its tree is built with."""
+    return F.sha2(F.concat(F.lit(settings), F.lit("\0"), F.coalesce(text, F.lit(""))), 256)
+
+
+def load_trees(spark: SparkSession, root: str, wanted: DataFrame | None = None) -> DataFrame | None:
+    """Cached trees, or those of ``wanted`` (benchmark, plan_key, content); None without a cache."""
+    if not _exists(spark, root):
         return None
-    trees = spark.read.parquet(root).where((F.col("num_augment") == num_augment) & (F.col("source") == source))
-    return None if trees.isEmpty() else trees.drop("num_augment", "source")
+    trees = spark.read.parquet(root)
+    return trees if wanted is None else trees.join(wanted, ["benchmark", "plan_key", "content"], "left_semi")
+
+
+def cached_trees(
+    files: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], settings: str, run: str = ""
+) -> DataFrame:
+    """Trees of ``files`` (benchmark, plan_key, text and other columns), from the cache or built.
+
+    ``build`` gets the files whose trees are missing and returns rows with benchmark and plan_key, any number
+    per plan. Built rows carry ``content`` and ``run``. Of several texts with one plan_key each has its own
+    trees. The cache keeps the trees of ``files`` only: benchmarks without files lose theirs.
+    """
+    spark = files.sparkSession
+    keyed = files.withColumn("content", content_key("text", settings))
+    wanted = materialize(keyed.select("benchmark", "plan_key", "content").distinct())
+    have = load_trees(spark, root)
+    if have is None:
+        missing, stale, kept = wanted, wanted.limit(0), None
+    else:
+        held = have.select("benchmark", "plan_key", "content").distinct()
+        on = ["benchmark", "plan_key", "content"]
+        missing, stale = materialize(wanted.join(held, on, "left_anti")), materialize(held.join(wanted, on, "left_anti"))
+        kept = load_trees(spark, root, wanted)
+    changed = missing.select("benchmark").union(stale.select("benchmark")).distinct()
+    touched = [r.benchmark for r in changed.collect()]  # a row per benchmark
+    if not touched and have is not None:
+        return have
+    todo = keyed.join(missing, ["benchmark", "plan_key", "content"], "left_semi")
+    built = build(todo.drop("content")).join(missing, ["benchmark", "plan_key"]).withColumn("run", F.lit(run))
+    if kept is not None:
+        built = built.unionByName(kept.where(F.col("benchmark").isin(touched)))
+    # Written aside first: the rows come from the folder that is about to be replaced.
+    rows = materialize(built)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("benchmark").parquet(root)
+    _drop_empty(spark, root, touched, rows)
+    return spark.read.schema(rows.schema).parquet(root)
+
+
+def _drop_empty(spark: SparkSession, root: str, touched: list[str], rows: DataFrame) -> None:
+    """A benchmark that has no tree left has no rows to overwrite its folder with."""
+    left = {r.benchmark for r in rows.select("benchmark").distinct().collect()}
+    for benchmark in set(touched) - left:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/benchmark={benchmark}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from lakewright.operators import trees as G
 from lakewright.operators.mapping import map_queries
 from lakewright.operators.treeconv import Layer, binary, convolve, mlp, plan_embeddings, seeded_layers
 from lakewright.sources.text_files import capture_plan, plan_table, read_logs, read_texts
-from lakewright.sources.tree_cache import load_trees, save_trees
+from lakewright.sources.tree_cache import cached_trees, load_trees
 
 
 def nodes_of(spark, text):
@@ -225,13 +225,35 @@ def test_live_plan_round_trip(spark, folder, tmp_path):
     assert read_logs(spark, str(tmp_path)).count() == 2
 
 
-def test_tree_cache_settings(spark, tmp_path):
-    trees = spark.createDataFrame([("t", "tpch", [[1], []])], "tree_key string, benchmark string, children array<array<int>>")
-    root = str(tmp_path / "cache")
-    assert load_trees(spark, root, 5, "d") is None
-    save_trees(trees, root, 5, "d")
-    assert load_trees(spark, root, 5, "d").count() == 1
-    assert load_trees(spark, root, 2, "d") is None and load_trees(spark, root, 5, "e") is None
+def test_tree_cache_computes_what_changed(spark, tmp_path):
+    root, built = str(tmp_path / "trees"), []
+
+    def run(texts, settings="s", label=""):
+        def build(missing):
+            rows = missing.select("benchmark", "plan_key", "text").collect()
+            built.append(sorted(r.plan_key for r in rows))
+            out = [(r.benchmark, r.plan_key, f"{r.plan_key}_{i}", len(r.text or "")) for r in rows for i in range(2)]
+            return spark.createDataFrame(out, "benchmark string, plan_key string, tree_key string, n int")
+
+        files = spark.createDataFrame([(b, k, t) for (b, k), t in texts.items()], "benchmark string, plan_key string, text string")
+        got = cached_trees(files, root, build, settings, label).collect()
+        assert {(r.benchmark, r.plan_key) for r in got} == set(texts) and len(got) == 2 * len(texts)
+        assert all(r.n == len(texts[r.benchmark, r.plan_key] or "") for r in got)
+        return built.pop() if built else []
+
+    assert load_trees(spark, root) is None
+    texts = {("a", "a_1"): "x", ("a", "a_2"): "yy", ("b", "b_1"): None, ("c", "c_1"): "zzzz"}
+    assert run(texts) == ["a_1", "a_2", "b_1", "c_1"]
+    before = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "trees").glob("benchmark=*/*.parquet")}
+    assert run(texts) == []
+    texts["a", "a_2"] = "changed"
+    assert run(texts, label="2") == ["a_2"]
+    after = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "trees").glob("benchmark=[bc]/*.parquet")}
+    assert after.items() <= before.items()  # other benchmarks stay as they are
+    texts["d", "d_1"] = "new"
+    del texts["c", "c_1"], texts["a", "a_1"]
+    assert run(texts) == ["d_1"]
+    assert run(texts, settings="other") == sorted(k for _, k in texts)
 
 
 def test_one_hot_and_digits(spark):
