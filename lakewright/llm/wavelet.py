@@ -39,7 +39,8 @@ CACHE = 300_000
 JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
-_MARKED = re.compile(r"([A-Za-z]+)([.,;:!?]+)")
+_MARKS = ".,;:!?"
+_MARKED = re.compile(rf"([A-Za-z]+)([{_MARKS}]+)")
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
@@ -133,26 +134,35 @@ class Encoder:
             self.marks[marks] = self._code([marks])[0]
         return self.marks[marks]
 
+    def _joined(self, words: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words, each followed by its marks, and their number."""
+        size, more = self.size[words], np.array(list(map(len, marks)), np.int64)
+        counts = size + more
+        first = np.cumsum(counts) - counts
+        out = np.empty(int(counts.sum()), self.dtype)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        out[np.repeat(first, size) + step] = self.flat[np.repeat(self.begin[words], size) + step]
+        step = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
+        out[np.repeat(first + size, more) + step] = np.concatenate(marks)
+        return out, counts
+
     def _add(self, keys: list[str | tuple[str]]) -> None:
         old = len(self.size)
-        runs, fresh = [], []
-        for i, key in enumerate(keys):
-            # A word and the marks after it are separate tokens, so a known word need not be encoded again.
-            found = _MARKED.fullmatch(key) if isinstance(key, str) else None
-            number = self.known.get(found[1], old) if found else old
-            if number < old:
-                a = self.begin[number]
-                ids = np.concatenate([self.flat[a : a + self.size[number]], self._marks(found[2])])
-                runs.append((np.array([i]), (ids, np.array([len(ids)]))))
-            else:
-                fresh.append(i)
-        single = np.array([isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in map(keys.__getitem__, fresh)], bool)
-        fresh = np.array(fresh, np.int64)
-        alone, rest = fresh[single], fresh[~single]
-        runs.append((alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)])))
+        # A word and the marks after it are separate tokens, so a known word need not be encoded again.
+        marked = [(i, _MARKED.fullmatch(k)) for i, k in enumerate(keys) if k and k[-1] in _MARKS and isinstance(k, str)]
+        marked = [(i, self.known.get(m[1], old), m[2]) for i, m in marked if m]
+        marked = [x for x in marked if x[1] < old]
+        fresh = np.ones(len(keys), bool)
+        fresh[[i for i, _, _ in marked]] = False
+        single = np.array([isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in keys], bool)
+        alone, rest = np.flatnonzero(fresh & single), np.flatnonzero(fresh & ~single)
+        runs = [(alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)]))]
         for a in range(0, len(rest), JOINED):
             part = rest[a : a + JOINED]
             runs.append((part, self._together([keys[i] for i in part.tolist()])))
+        if marked:
+            at, words, marks = zip(*marked)
+            runs.append((np.array(at), self._joined(np.array(words), [self._marks(m) for m in marks])))
         order = np.concatenate([at for at, _ in runs])
         ids, counts = np.concatenate([r[1][0] for r in runs]), np.concatenate([r[1][1] for r in runs])
         if self.used + len(ids) > len(self.flat):
