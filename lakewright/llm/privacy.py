@@ -1,17 +1,21 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Patterns find the protected entities: mail addresses, IP addresses, card and phone numbers. Corpus
-co-occurrence then tells which words near an entity give it away. With df the number of distinct texts,
+Patterns find the protected entities: mail addresses, IP addresses, card and phone numbers. Each stands for
+itself and for what it belongs to: the domain of an address, the network of an IP address, the digits of a
+number but for the last four. So a text that is the only one with an address still tells something about the
+words beside it, if other texts hold addresses of the same domain.
+
+Corpus co-occurrence then tells which words give an entity away. With df the number of distinct texts,
 P(e) = df(e) / N and P(e|t) = (df(e, t) + k P(e)) / (df(t) + k), a term t discloses of entity e the share
 
     log(P(e|t) / P(e)) / -log P(e)
 
 of its information content: 1 if every text with the term holds the entity, 0 if the term says nothing.
-The prior weight k keeps terms seen once or twice from looking certain. In texts where a term stands near
-an entity it discloses (with ``whole_texts``: in every text that holds it), terms above ``generalise_at`` are generalised and those above ``remove_at`` removed.
+The prior weight k keeps terms seen once or twice from looking certain. In every text that holds them, terms
+above ``generalise_at`` are generalised and those above ``remove_at`` removed.
 
-Entities and terms are counted, never listed: df(e, t) looks at the whole text, or ``REACH`` characters on
-either side of an entity, so the pairs grow with the entities, and df(t) is one partial aggregate over all texts.
+Entities and terms are counted, never listed: pairs come from the texts that hold an entity, merged before
+they are sent, and df(t) is one partial aggregate over all texts.
 """
 
 from __future__ import annotations
@@ -29,8 +33,7 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){15,}+"  # shorter runs could not pass the check of the digits
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TERM = r"\p{L}{3,}"
-REACH = 200
+TERM = r"\p{L}+"
 _SPANS = "array<struct<kind:int,start:int,end:int,value:string>>"
 _FLAGS = "array<struct<term:string,score:double>>"
 
@@ -86,25 +89,23 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _entity(span: Column) -> Column:
-    """What a span protects, whatever its writing."""
-    value = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"])
-    return F.concat(span["kind"].cast("string"), F.lit(":"), value.otherwise(_digits(span["value"])))
+def _entities(span: Column) -> Column:
+    """What a span protects, whatever its writing: itself, and the domain, network or number range it is in."""
+    digits = _digits(span["value"])
+    whole = F.when(span["kind"] == 0, F.lower(span["value"])).when(span["kind"] == 1, span["value"]).otherwise(digits)
+    range_of = (
+        F.when(span["kind"] == 0, F.substring_index(F.lower(span["value"]), "@", -1))
+        .when(span["kind"] == 1, F.substring_index(span["value"], ".", 3))
+        .otherwise(F.left(digits, F.length(digits) - 4))
+    )
+    kind = span["kind"].cast("string")
+    return F.array(F.concat(kind, F.lit(":"), whole), F.concat(kind, F.lit("*"), range_of))
 
 
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _nearby(text: Column, start: Column, end: Column) -> Column:
-    """Whole words within ``REACH`` characters of a span, without those of mail addresses."""
-    left = F.substr(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH)))
-    left = F.when(start > REACH, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
-    right = F.substr(text, end + 1, F.lit(REACH))
-    right = F.when(F.length(right) == REACH, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-    return _terms(F.concat(F.regexp_replace(left, EMAIL, " "), F.lit(" . "), F.regexp_replace(right, EMAIL, " ")))
-
-
 def _told(together: DataFrame, rows: DataFrame, texts: int, generalise_at: float, prior: float) -> DataFrame:
     """(entity, term, score) of the pairs from the threshold on."""
     words = rows.select("w", F.explode(_terms(F.col("text"))).alias("term"))
@@ -118,59 +119,32 @@ def _told(together: DataFrame, rows: DataFrame, texts: int, generalise_at: float
     return told.where(F.col("score") >= generalise_at).select("entity", "term", "score")
 
 
-def disclosing_terms(
-    keyed: DataFrame, found: DataFrame, generalise_at: float, min_support: int, prior: float, whole_texts: bool
-) -> DataFrame:
-    """(k1, k2, term, score): terms of a text that disclose an entity, anywhere or one they stand near."""
-    copies = found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.max(F.size("spans")).alias("m"))
-    copies = materialize(copies)
-    entities = (
-        found.where("size(spans) > 0")
-        .select("k1", "k2", F.explode("spans").alias("s"))
-        .select("k1", "k2", _entity(F.col("s")).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("with_entity"))
-        .where(F.col("with_entity") >= min_support)
-    )
+def disclosing_terms(keyed: DataFrame, found: DataFrame, generalise_at: float, min_support: int, prior: float) -> DataFrame:
+    """(k1, k2, term, score): the terms of each text that disclose an entity, with their highest score."""
+    copies = materialize(found.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")))
     # Each row of a text that n rows share counts 1 / n, so the sum counts distinct texts.
     shared = copies.where("copies > 1").select("k1", "k2", "copies")
     rows = lookup(keyed.select("k1", "k2", "text"), shared, ["k1", "k2"], "left")
     rows = rows.select("k1", "k2", "text", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"))
-    if whole_texts:
-        spans = found.where("size(spans) > 0").select("k1", "k2", F.explode("spans").alias("s"))
-        known = lookup(spans.select("k1", "k2", _entity(F.col("s")).alias("entity")), entities, ["entity"], "inner")
-        known = known.groupBy("k1", "k2").agg(F.collect_set(F.struct("entity", "with_entity")).alias("e"))
-        held = lookup(rows, known, ["k1", "k2"], "inner").select("w", F.explode("e").alias("e"), "text")
-        held = held.select("w", "e.*", F.explode(_terms(F.regexp_replace("text", EMAIL, " "))).alias("term"))
-        together = held.groupBy("entity", "term").agg(
-            F.round(F.sum("w")).alias("both"), F.first("with_entity").alias("with_entity")
-        )
-        together = materialize(together.where(F.col("both") >= min_support))
-        told = _told(together, rows, copies.count(), generalise_at, prior)
-        told = told.groupBy("term").agg(F.max("score").alias("score"))
-        words = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term"))
-        return lookup(words, told, ["term"], "inner").groupBy("k1", "k2", "term").agg(F.max("score").alias("score"))
-    spans = found.where("size(spans) > 0").select("k1", "k2", "nearby", F.posexplode("spans").alias("i", "s"))
-    spans = spans.select("k1", "k2", _entity(F.col("s")).alias("entity"), F.expr("nearby[i]").alias("near"))
-    known = lookup(spans, entities, ["entity"], "inner")
-    pairs = materialize(
-        known.select("k1", "k2", "entity", "with_entity", F.explode("near").alias("term")).distinct()
-    )
-    together = (
-        pairs.groupBy("entity", "term")
-        .agg(F.count(F.lit(1)).alias("both"), F.first("with_entity").alias("with_entity"))
-        .where(F.col("both") >= min_support)
+    spans = found.where("size(spans) > 0").select("k1", "k2", F.explode("spans").alias("s"))
+    held = spans.select("k1", "k2", F.explode(_entities(F.col("s"))).alias("entity")).distinct()
+    held = materialize(held)
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    entities = entities.where(F.col("with_entity") >= min_support)
+    known = lookup(held, entities, ["entity"], "inner").groupBy("k1", "k2").agg(F.collect_set(F.struct("entity", "with_entity")).alias("e"))
+    pairs = lookup(rows, known, ["k1", "k2"], "inner").select("w", F.explode("e").alias("e"), "text")
+    pairs = pairs.select("w", "e.*", F.explode(_terms(F.regexp_replace("text", EMAIL, " "))).alias("term"))
+    together = pairs.groupBy("entity", "term").agg(
+        F.round(F.sum("w")).alias("both"), F.first("with_entity").alias("with_entity")
     )
-    together = materialize(together)
-    told = _told(together, rows, copies.count(), generalise_at, prior)
-    near = lookup(pairs.select("k1", "k2", "entity", "term"), told, ["entity", "term"], "inner")
-    return near.groupBy("k1", "k2", "term").agg(F.max("score").alias("score"))
+    together = materialize(together.where(F.col("both") >= min_support))
+    told = _told(together, rows, copies.count(), generalise_at, prior).groupBy("term").agg(F.max("score").alias("score"))
+    words = rows.select("k1", "k2", F.explode(_terms(F.col("text"))).alias("term"))
+    return lookup(words, told, ["term"], "inner").groupBy("k1", "k2", "term").agg(F.max("score").alias("score"))
 
 
 def find(
-    docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.9, min_support: int = 2, prior: float = 2.0,
-    whole_texts: bool = False,
+    docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.9, min_support: int = 2, prior: float = 2.0
 ) -> DataFrame:
     """doc_id, text, spans (kind, start, end, label) of every row, by kind, then start.
 
@@ -178,18 +152,16 @@ def find(
     name, ``[TERM]`` for a generalised and nothing for a removed term. Null texts are empty and have no
     spans. Copies of a text count once in the statistics and are treated alike; an entity or a pair in
     fewer than ``min_support`` distinct texts is no evidence. Terms inside another span are not listed.
-    With ``whole_texts``, co-occurrence counts per whole text and disclosing terms are listed in every text
-    that holds them; else only within ``REACH`` characters of the entity.
+    Texts of any length are searched whole; an empty table gives no row; other columns are neither read nor
+    returned, whatever their names.
     """
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text")).withColumn("k1", F.xxhash64("text"))
     keyed = keyed.withColumn("k2", F.xxhash64(F.lit(1), "text"))
     spotted = keyed.select("doc_id", "k1", "k2", "text", base_spans(F.col("text")).alias("spans"))
-    nearby = F.transform("spans", lambda s: _nearby(F.col("text"), s["start"], s["end"]))
-    nearby = [] if whole_texts else [nearby.alias("nearby")]
-    found = materialize(spotted.select("doc_id", "k1", "k2", "spans", *nearby))
+    found = materialize(spotted.select("doc_id", "k1", "k2", "spans"))
     flags = (
-        disclosing_terms(keyed, found, generalise_at, min_support, prior, whole_texts)
+        disclosing_terms(keyed, found, generalise_at, min_support, prior)
         .groupBy("k1", "k2")
         .agg(F.collect_list(F.struct("term", "score")).alias("flags"))
     )

@@ -79,62 +79,87 @@ def test_documents(spark, folder):
         assert r.spans == listed or r.spans.startswith(listed)
 
 
+def brute_entities(kind, value):
+    if kind == 0:
+        return [(0, value.lower()), ("domain", value.lower().rpartition("@")[2])]
+    if kind == 1:
+        return [(1, value), ("network", ".".join(value.split(".")[:3]))]
+    return [(kind, digits(value)), (kind, "range", digits(value)[:-4])]
+
+
 def brute_terms(texts, generalise_at=0.8, prior=2.0, support=2):
-    """Scores of (text, term) by plain counting over distinct texts."""
+    """Score of each disclosing term by plain counting over distinct texts."""
     texts = sorted(set(texts))
     entities, pairs, words = {}, {}, {}
     for t in texts:
-        for w in set(re.findall(r"[^\W\d_]{3,}", t.lower())):
+        for w in set(re.findall(r"[^\W\d_]+", t.lower())):
             words.setdefault(w, set()).add(t)
+        beside = set(re.findall(r"[^\W\d_]+", re.sub(PATTERNS[0][0], " ", t).lower()))
         for k, a, b in brute(t):
-            e = (k, t[a:b].lower() if k == 0 else t[a:b] if k == 1 else digits(t[a:b]))
-            entities.setdefault(e, set()).add(t)
-            near = t[max(0, a - privacy.REACH) : a] + " . " + t[b : b + privacy.REACH]
-            near = re.sub(PATTERNS[0][0], " ", near)
-            for w in set(re.findall(r"[^\W\d_]{3,}", near.lower())):
-                pairs.setdefault((e, w), set()).add(t)
+            for e in brute_entities(k, t[a:b]):
+                entities.setdefault(e, set()).add(t)
+                for w in beside:
+                    pairs.setdefault((e, w), set()).add(t)
     out = {}
     for (e, w), both in pairs.items():
         if len(entities[e]) >= support and len(both) >= support:
             p = len(entities[e]) / len(texts)
             score = math.log((len(both) + prior * p) / (len(words[w]) + prior) / p) / -math.log(p) if p < 1 else 0.0
             if score >= generalise_at:
-                for t in both:
-                    out[t, w] = max(score, out.get((t, w), 0))
+                out[w] = max(score, out.get(w, 0))
     return out
 
 
+def check_terms(spark, rows):
+    """The registered mode against plain counting; returns the disclosing terms."""
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = brute_terms([t or "" for _, t in rows])
+    found = privacy.find(frame).collect()
+    for r in found:
+        base = [(a, b) for _, a, b in brute(r.text)]
+        wanted = [m for m in re.finditer(r"[^\W\d_]+", r.text) if m[0].lower() in expected]
+        wanted = [m for m in wanted if not any(a < m.end() and m.start() < b for a, b in base)]
+        spans = [s for s in r.spans if s.kind == 4]
+        assert [(s.start, s.end) for s in spans] == [m.span() for m in wanted]
+        assert [s.label for s in spans] == ["" if expected[m[0].lower()] >= 0.9 else "[TERM]" for m in wanted]
+    return set(expected), found
+
+
+PLAIN = [f"nothing here but the words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
+
+
 def test_disclosing_terms(spark):
-    plain = [f"nothing here but the words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
     told = [
         "Dr Zarquon wrote from z@mail.org about the words", "the Zarquon address z@mail.org is here", "Zarquon, Zarquon! z@MAIL.org nothing",
         "zarquon z@mail.org words", "the words of z@mail.org", "other t@x.org words", "Zarquon alone without address but words",
     ]
-    rows = [(i, t) for i, t in enumerate([*plain, *told, told[0], None])]
-    found = privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    expected = brute_terms([t or "" for _, t in rows])
-    assert {w for _, w in expected} == {"zarquon"}
-    for r in found:
-        terms = [r.text[s.start : s.end] for s in r.spans if s.kind == 4]
-        wanted = {w for (t, w) in expected if t == r.text}
-        assert terms == [m[0] for m in re.finditer(r"[^\W\d_]+", r.text) if m[0].lower() in wanted]
-        for s in r.spans:
-            if s.kind == 4:
-                assert s.label == ("" if expected[r.text, "zarquon"] >= 0.9 else "[TERM]")
+    terms, found = check_terms(spark, [(i, t) for i, t in enumerate([*PLAIN, *told, told[0], None])])
+    assert terms == {"zarquon"}
     clean = {r.text for r in privacy.sanitise(spark.createDataFrame(found)).collect()}
     assert any(t.startswith("Dr ") and "[EMAIL] about the words" in t and "Zarquon" not in t for t in clean)
-    assert "Zarquon alone without address but words" in clean
-    assert "other [EMAIL] words" in clean
+    assert not any("Zarquon" in t for t in clean) and "other [EMAIL] words" in clean
+
+
+def test_names_of_any_length_and_script(spark):
+    """Names planted beside addresses: short ones, other scripts, far away in the text, addresses of one domain each."""
+    names = ["Bo", "李明", "Zarquon", "Ærø", "Ivanovic"]
+    rows = list(PLAIN)
+    for k, name in enumerate(names):
+        rows += [f"{name} of {'the words ' * (40 if i % 2 else 1)} person{i}@home{k}.example.org" for i in range(6)]
+        rows += [f"call {name} {'but the words ' * i} at +49 30 5550{k}1{i:03d}" for i in range(2)]
+        rows.append(f"{name} with nothing else")
+    terms, found = check_terms(spark, list(enumerate(rows)))
+    assert terms >= {n.lower() for n in names}
+    planted = [r for r in found if any(n in r.text for n in names)]
+    caught = [any(s.kind == 4 for s in r.spans) for r in planted]
+    assert sum(caught) >= 0.9 * len(planted)
+    clean = [r for r in found if r.text in PLAIN]
+    assert sum(not r.spans for r in clean) >= 0.99 * len(clean)
 
 
-def test_disclosing_terms_of_whole_texts(spark):
-    plain = [f"nothing here but the words number {chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(300)]
-    far = "the words " * 60
-    told = [f"Zarquon {far} z@mail.org {i * 'x'}xx" for i in range(4)]
-    rows = list(enumerate([*plain, *told, told[0], "Zarquon alone without address but words", None]))
-    found = privacy.find(spark.createDataFrame(rows, "doc_id long, text string"), whole_texts=True).collect()
-    listed = {(r.text, r.text[s.start : s.end]) for r in found for s in r.spans if s.kind == 4}
-    assert listed == {(t, "Zarquon") for t in [*told, "Zarquon alone without address but words"]}
+def test_documents_have_disclosing_terms(spark, folder):
+    rows = [(r.doc_id, r.text) for r in table(spark, folder.replace("0.001", "0.01"), "documents").collect()]
+    check_terms(spark, rows)
 
 
 def test_empty_table(spark):
@@ -142,7 +167,7 @@ def test_empty_table(spark):
     assert privacy.find(none).count() == 0
 
 
-@pytest.mark.parametrize("column", ["spans", "flags", "nearby", "k1"])
+@pytest.mark.parametrize("column", ["spans", "flags", "entity", "k1"])
 def test_clashing_names(spark, column):
     frame = spark.createDataFrame([(1, "a@b.cd", "x")], f"doc_id long, text string, {column} string")
     assert len(privacy.find(frame).first().spans) == 1
