@@ -30,7 +30,7 @@ from lakewright.plans import sqltext as Q
 from lakewright.plans.plan_log import plan_features
 from lakewright.plans.registry import query
 from lakewright.plans.trial_log import repaired
-from lakewright.session import materialize
+from lakewright.session import materialize, written_by
 from lakewright.sources.derived import QUERY_PLANS_SQL, query_plan_files
 
 PROBES = 4  # one of so many configurations is a probe run
@@ -75,12 +75,12 @@ class Setup:
         return self.splits.where(F.col("split").isin(*parts)).select(*T.QUERY)
 
 
-_setups: dict[tuple[str, str], Setup] = {}
+_setups: dict[tuple, Setup] = {}
 
 
 def setup(spark, folder: str, files: DataFrame | None = None) -> Setup:
     """Kept per session and folder, as several queries start from it; plan texts of one's own are not kept."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (*written_by(spark), folder)
     if files is None and key in _setups:
         return _setups[key]
     used = materialize(query_plan_files(spark, folder)) if files is None else files
@@ -345,12 +345,12 @@ def mixture_picks(s: Setup, router: Router, runs: DataFrame, part: str) -> DataF
     return R.pick_per_query(score_routed(runs, router, "sketch", "knobs", F.col("engine_id"), F.col("lake_id")), chosen)
 
 
-_fits: dict[tuple[str, str], tuple[Router, list[Epoch]]] = {}
+_fits: dict[tuple, tuple[Router, list[Epoch]]] = {}
 
 
 def fitted(spark, folder: str) -> tuple[Router, list[Epoch]]:
     """The fitted mixture and its epochs, kept per session and folder."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (*written_by(spark), folder)
     if key not in _fits:
         s = setup(spark, folder)
         runs = materialize(open_runs(s, "valid"))

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_releases = 0
 
 
 def build_session(app: str = "lakewright", master: str | None = None, **conf: str) -> SparkSession:
@@ -58,8 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written_by(spark: SparkSession) -> tuple[str, int]:
+    """What frames on written tables may be remembered under: the application and the number of releases so far."""
+    return spark.sparkContext.applicationId, _releases
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this process wrote to the shared folder; frames built on them end here."""
+    global _releases
+    _releases += 1
     conf = spark._jsc.hadoopConfiguration()
     n = len(_written)
     while _written:
