@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from lakewright.functions import scalars as S
 from lakewright.functions.catalog import MATCH_SHARE, PREFIX_TABLES
-from lakewright.operators.skew import split_scan
+from lakewright.operators.skew import BROADCAST_BYTES, in_memory_bytes, lookup, split_scan
+from lakewright.session import materialize
 from lakewright.sources.tables import table
 
 FEW_VALUES = 25
@@ -191,6 +192,41 @@ def selectivity(buckets: Column, op: Column, values: Column, compat: bool = Fals
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + one(v))
 
 
+def bucket_hits(rows: DataFrame, hist: DataFrame, value: str, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Add ``n_buckets`` and ``height`` to rows (column, value): the range buckets that hold the value, both ends included.
+
+    Histograms up to ``limit_bytes`` go to every task. Larger ones are met in order: a bucket holds a value
+    if it begins at or before it and does not end before it, so its hits are the running sum, over bucket
+    starts, distinct values and bucket ends sorted together, of what began less what ended. That is one split
+    scan, whatever the number of buckets, and a value that very many rows have is one row of it.
+    """
+    rows = rows.drop("n_buckets", "height")
+    ranges = materialize(hist.where("lo IS NOT NULL").select("column", "lo", "hi", "height"))
+    known = rows.join(F.broadcast(ranges.select("column").distinct()), "column", "left_semi")  # a row per column of the schema
+    if in_memory_bytes(ranges) <= limit_bytes:
+        nested = ranges.groupBy("column").agg(F.collect_list(F.struct("lo", "hi", "height")).alias("_b"))
+        hit = F.filter("_b", lambda b: F.col(value).between(b["lo"], b["hi"]))
+        found = known.join(F.broadcast(nested), "column").withColumn("_hit", hit)
+        height = F.aggregate("_hit", F.lit(0.0), lambda acc, b: acc + b["height"])
+        found = found.withColumn("n_buckets", F.size("_hit").cast("bigint")).withColumn("height", height)
+        return found.drop("_b", "_hit")
+    at = F.col(value).cast("double")
+    values = known.select("column", at.alias("x")).where("x IS NOT NULL").distinct()
+    events = values.select("column", "x", F.lit(1).alias("kind"), F.lit(0).alias("n"), F.lit(0.0).alias("h"))
+    events = events.unionByName(ranges.select("column", F.col("lo").alias("x"), F.lit(0).alias("kind"), F.lit(1).alias("n"), F.col("height").alias("h")))
+    events = events.unionByName(ranges.select("column", F.col("hi").alias("x"), F.lit(2).alias("kind"), F.lit(-1).alias("n"), (-F.col("height")).alias("h")))
+    # Buckets with the same start (or end) are added up first, so no sort key has many rows.
+    merged = events.groupBy("column", "x", "kind").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+    order = ["x", "kind"]
+    counted = split_scan(merged, ["column"], order, F.col("n").cast("bigint"), out="n_buckets")
+    summed = split_scan(counted, ["column"], order, F.col("h"), out="height")
+    found = summed.where("kind = 1").select("column", F.col("x").alias("_x"), "n_buckets", "height")
+    joined = lookup(known.withColumn("_x", at), found, ["column", "_x"])
+    # No bucket holds a missing value.
+    none = [F.coalesce("n_buckets", F.lit(0)).alias("n_buckets"), F.coalesce("height", F.lit(0.0)).alias("height")]
+    return joined.select(*rows.columns, *none)
+
+
 def prefix_rows(table_rows: DataFrame, benchmark: str) -> DataFrame:
     """(prefix, rows) from (table, rows); as many rows as the benchmark has tables."""
     prefixes = S.literal_map(PREFIX_TABLES[benchmark])
@@ -204,15 +240,11 @@ def prefix_rows(table_rows: DataFrame, benchmark: str) -> DataFrame:
 def estimate(predicates: DataFrame, nested: DataFrame, rows: DataFrame, compat: bool = False) -> DataFrame:
     """Add ``estimated`` rows to predicates (column, op, values, negated).
 
-    ``nested`` has one row per profiled column and ``rows`` one per table; both are catalogs of
-    the schema, independent of the data volume.
+    ``nested`` has one row per profiled column and ``rows`` one per table; both are measured before they
+    are sent to all tasks.
     """
     prefix = F.substring_index("column", "_", 1)
-    joined = (
-        predicates.withColumn("prefix", prefix)
-        .join(F.broadcast(rows), "prefix", "left")
-        .join(F.broadcast(nested), "column", "left")
-    )
+    joined = lookup(lookup(predicates.withColumn("prefix", prefix), rows, ["prefix"]), nested, ["column"])
     op = F.when(F.col("op") == "IN", "=").otherwise(F.col("op"))
     total = F.coalesce("n_rows", F.lit(1)).cast("double")
     by_buckets = F.when(F.col("buckets").isNotNull(), selectivity(F.col("buckets"), op, F.col("values"), compat) * total)

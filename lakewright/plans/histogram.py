@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakewright.operators import histograms as H
+from lakewright.operators.skew import lookup
 from lakewright.plans import sqltext as Q
 from lakewright.plans.registry import query
 from lakewright.session import materialize, scratch_path
@@ -166,7 +167,7 @@ def _sel_query(name, compat, hits, ops):
         preds = preds.where(~F.exists("values", lambda v: F.contains(v, F.lit("#"))))
         op = F.when(F.col("op") == "IN", "=").otherwise(F.col("op"))
         sel = F.coalesce(H.selectivity(F.col("buckets"), op, F.col("values"), compat), F.lit(0.0))
-        joined = preds.join(F.broadcast(nested), "column", "left")
+        joined = lookup(preds, nested, ["column"])
         return joined.select("pred_id", "column", "op", F.round(sel, 4).alias("selectivity"))
 
 
@@ -216,12 +217,7 @@ _row_query("h6_column_comparison_estimate", ["="], "contains(first, '#')")
     ),
 )
 def _(spark, folder):
-    nested = H.nest(profile(spark, folder).where("column = 'l_extendedprice'"))
-    value = F.col("l_extendedprice")
-    prices = table(spark, folder, "lineitem").withColumn("column", F.lit("l_extendedprice"))
-    hit = F.filter("buckets", lambda b: value.between(b["lo"], b["hi"]))
-    height = F.aggregate(hit, F.lit(0.0), lambda acc, b: acc + b["height"])
-    return prices.join(F.broadcast(nested), "column").select(
-        "l_orderkey", "l_linenumber", "l_extendedprice",
-        F.size(hit).cast("bigint").alias("n_buckets"), F.round(height, 4).alias("height"),
-    )
+    hist = profile(spark, folder).where("column = 'l_extendedprice'")
+    prices = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.lit("l_extendedprice").alias("column"))
+    hits = H.bucket_hits(prices, hist, "l_extendedprice")
+    return hits.select("l_orderkey", "l_linenumber", "l_extendedprice", "n_buckets", F.round("height", 4).alias("height"))

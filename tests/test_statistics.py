@@ -206,3 +206,25 @@ def test_text_columns_with_many_values_have_ranges(spark):
     got = {r.op: r.estimated for r in H.estimate(predicates, H.nest(parsed), rows).collect()}
     assert got[">="] == pytest.approx(1000, abs=1) and got["="] == pytest.approx(200, abs=20)
     assert 350 <= got["<"] <= 500
+
+
+@pytest.mark.parametrize("n", [10, 100_000])
+def test_bucket_hits_in_order_equal_broadcast(spark, n):
+    """The same hits with few and with many buckets, on shared edges, buckets of one value, hot and missing values."""
+    hist = spark.range(n).select(
+        F.lit("p").alias("column"), (F.col("id") * 2.0).alias("lo"),
+        F.when(F.col("id") % 5 == 3, F.col("id") * 2.0).otherwise(F.col("id") * 2.0 + 2.0).alias("hi"), F.lit(1.0 / n).alias("height"),
+    )
+    hist = hist.union(spark.createDataFrame([("p", 4.0, 4.0, 0.5), ("p", 4.0, 4.0, 0.25), ("q", 0.0, 1.0, 1.0), ("p", None, None, 1.0)], "column string, lo double, hi double, height double"))
+    rows = spark.range(3000).select(
+        "id", F.when(F.col("id") % 3 == 0, 4.0).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 97 * 0.5 - 1).alias("v"),
+        F.when(F.col("id") % 10 < 8, "p").otherwise("r").alias("column"), F.lit("x").alias("n_buckets"),
+    )
+    small, large = (
+        {r.id: (r.n_buckets, round(r.height, 9)) for r in H.bucket_hits(rows, hist.where("lo IS NULL OR lo < 120"), "v", limit).collect()}
+        for limit in (1 << 40, 0)
+    )
+    assert small == large and len(small) == 2400
+    whole = {r.id: (r.n_buckets, round(r.height, 9)) for r in H.bucket_hits(rows, hist, "v", 0).collect()}
+    assert whole == large
+    assert large[0][0] == 4 if n == 10 else True
