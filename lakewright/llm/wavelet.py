@@ -40,7 +40,7 @@ JOINED = 500
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
 _MARKS = ".,;:!?"
-_MARKED = re.compile(rf"([A-Za-z]+)([{_MARKS}]+)")
+_VISIBLE = frozenset(map(chr, range(0x21, 0x7F)))
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
@@ -118,9 +118,11 @@ class Encoder:
 
     def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_code`` of pieces after a space, encoded as one text and cut at the bytes where pieces end."""
-        ids, _ = self._code([" " + " ".join(pieces)])
+        text = " " + " ".join(pieces)
+        ids, _ = self._code([text])
         ends = np.cumsum(self.n_bytes[ids])
-        wanted = np.cumsum([1 + len(p.encode()) for p in pieces])
+        sizes = list(map(len, pieces if text.isascii() else map(str.encode, pieces)))
+        wanted = np.cumsum(sizes) + np.arange(1, len(sizes) + 1)  # a space before each
         cut = np.minimum(np.searchsorted(ends, wanted), max(len(ends) - 1, 0))
         if len(ends) == 0 or (ends[cut] != wanted).any():
             return self._code([" " + p for p in pieces])
@@ -149,12 +151,18 @@ class Encoder:
     def _add(self, keys: list[str | tuple[str]]) -> None:
         old = len(self.size)
         # A word and the marks after it are separate tokens, so a known word need not be encoded again.
-        marked = [(i, _MARKED.fullmatch(k)) for i, k in enumerate(keys) if k and k[-1] in _MARKS and isinstance(k, str)]
-        marked = [(i, self.known.get(m[1], old), m[2]) for i, m in marked if m]
-        marked = [x for x in marked if x[1] < old]
+        marked = []
+        for i, k in enumerate(keys):
+            if k and k[-1] in _MARKS and isinstance(k, str):
+                word = k.rstrip(_MARKS)
+                if self.known.get(word, old) < old and word.isascii() and word.isalpha():
+                    marked.append((i, self.known[word], k[len(word) :]))
         fresh = np.ones(len(keys), bool)
         fresh[[i for i, _, _ in marked]] = False
-        single = np.array([isinstance(k, tuple) or not k or _RISKY.match(k[-1]) is not None for k in keys], bool)
+        single = [
+            isinstance(k, tuple) or not k or (k[-1] not in _VISIBLE and _RISKY.match(k[-1]) is not None) for k in keys
+        ]
+        single = np.array(single, bool)
         alone, rest = np.flatnonzero(fresh & single), np.flatnonzero(fresh & ~single)
         runs = [(alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)]))]
         for a in range(0, len(rest), JOINED):
