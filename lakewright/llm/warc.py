@@ -5,8 +5,11 @@ Writer: records with equal payloads are found by digest and length; the one of t
 own, each task writes one file.
 
 Salvage reader: reads record by record and checks each (gzip checksum, version line, length, payload
-digest). After a failed check it looks for the next valid gzip member, or in an uncompressed file the
-next version line, goes on from there, and reports the bytes in between as a quarantined gap.
+digest). After a failed check it looks for the next gzip member or version line, whichever comes first,
+goes on from there, and reports the bytes in between as a quarantined gap. A member may hold several
+records; they are read by the same search. What a broken member gave before its fault is searched too,
+but a record is believed only with a digest of its own and another record after it; the last one before
+the fault stays quarantined, as the member's checksum failed.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 _DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 64 << 20
 STEP = 1 << 14
+_LINE = re.compile(rb"WARC/\d{1,3}\.\d{1,3}\r\n")
+_START = re.compile(re.escape(GZIP) + b"|" + _LINE.pattern)
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -117,12 +122,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
 def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the record that begins at ``at`` and the place of its block."""
-    line_end = data.find(b"\r\n", at, at + 64)
-    end = data.find(b"\r\n\r\n", at)
-    if not data.startswith(b"WARC/1.", at) or line_end < 0 or end < 0:
+    version = _LINE.match(data, at)
+    end = data.find(b"\r\n\r\n", at) if version else -1
+    if end < 0:
         return None
     fields = {}
-    for line in data[line_end + 2 : end].split(b"\r\n"):
+    for line in data[version.end() : end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -130,8 +135,8 @@ def _head(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     return (fields, end + 4) if fields.get("content-length", "").isdigit() else None
 
 
-def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
-    """The record at ``at`` and the place after it, or why it fails."""
+def _parse(data: bytes, at: int, proof: bool = False) -> tuple[dict, int] | str:
+    """The record at ``at`` and the place after it, or why it fails; with ``proof`` it must name a digest."""
     head = _head(data, at)
     if head is None:
         return "no valid record head"
@@ -142,6 +147,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
     block = data[start:end]
     if fields.get("warc-block-digest", f"sha1:{base32_sha1(block)}") != f"sha1:{base32_sha1(block)}":
         return "block digest differs"
+    if proof and "warc-block-digest" not in fields:
+        return "no block digest"
     http, _, payload = block.partition(b"\r\n\r\n")
     kind = fields.get("warc-type", "")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -159,49 +166,90 @@ def _parse(data: bytes, at: int) -> tuple[dict, int] | str:
     }, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content of the gzip member at ``at`` and the place after it, or why it fails."""
+def _inflate(data: bytes, at: int, stop: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` holds up to ``stop``, the place after it, why it fails (empty if whole)."""
     unpack, parts = zlib.decompressobj(31), []
     try:
-        while not unpack.eof and at < len(data):
-            step = data[at : at + STEP]
+        while not unpack.eof and at < stop:
+            step = data[at : min(at + STEP, stop)]
             parts.append(unpack.decompress(step))
             at += len(step)
     except zlib.error as error:
-        return f"gzip: {error}"
-    if not unpack.eof:
-        return "gzip: the member is cut off"
-    return b"".join(parts), at - len(unpack.unused_data)
+        # The step with the fault once more in small bits, for what comes before the fault.
+        unpack = zlib.decompressobj(31)
+        for part in range(at - len(parts) * STEP, at, STEP):
+            unpack.decompress(data[part : part + STEP])
+        try:
+            for i in range(at, at + len(step)):
+                parts.append(unpack.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(parts), at, f"gzip: {error}"
+    return b"".join(parts), at - len(unpack.unused_data), "" if unpack.eof else "gzip: the member is cut off"
+
+
+def _records(data: bytes, proof: bool) -> tuple[list[dict], str]:
+    """Every valid record of unpacked bytes, and why others fail (empty if there is nothing else)."""
+    records, why, at = [], "", 0
+    while at < len(data):
+        found = _parse(data, at, proof)
+        if isinstance(found, tuple) and (not proof or _LINE.match(data, found[1])):
+            records.append(found[0])
+            at = found[1]
+            continue
+        why = why or (found if isinstance(found, str) else "nothing after the record")
+        later = _LINE.search(data, at + 1)
+        at = later.start() if later else len(data)
+    return records, why or ("" if records else "no valid record head")
+
+
+def _quarantine(data: bytes, bad: int, stop: int, why: str, broken: list[int]) -> Iterator[tuple]:
+    """The records in the heads of the broken members of a gap, once each, and the gap."""
+    seen = []
+    for at in broken:
+        for fields in _records(_inflate(data, at, stop)[0], proof=True)[0]:
+            if fields not in seen:  # an unpacked block of one member may hold the next one
+                seen.append(fields)
+                yield "record", at, 0, fields
+    yield "gap", bad, stop - bad, why
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
-    """("record", offset, length, fields) and ("gap", offset, length, reason) in file order."""
-    packed = data.find(GZIP) != -1 and not data.startswith(b"WARC/")
-    at, bad, why = 0, None, ""
+    """("record", offset, length, fields) and ("gap", offset, length, reason) in file order.
+
+    Records of one gzip member have its offset and length; a whole member that holds bytes besides its
+    records is a gap of its own after them. A broken member is part of a gap, which ends at the next valid
+    record; the records of its head come before that gap, with length 0. Every place is tried as packed or
+    plain by itself, so both kinds may stand in one file.
+    """
+    at, bad, why, broken = 0, None, "", []
     while at < len(data):
-        if packed:
-            opened = _inflate(data, at) if data.startswith(GZIP, at) else "no gzip member"
-            if isinstance(opened, tuple):
-                parsed = _parse(opened[0], 0)
-                found = (parsed[0], opened[1]) if isinstance(parsed, tuple) and parsed[1] == len(opened[0]) else parsed
-                found = found if not isinstance(found, tuple) or found[1] == opened[1] else "bytes after the record"
-            else:
-                found = opened
-        else:
+        records, end, fault = [], at, "no gzip member or version line"
+        if data.startswith(GZIP, at):
+            content, end, fault = _inflate(data, at, len(data))
+            if not fault:
+                records, fault = _records(content, proof=False)
+            elif content:
+                broken.append(at)
+        elif _LINE.match(data, at):
             found = _parse(data, at)
-        if isinstance(found, tuple):
+            records, end, fault = ([found[0]], found[1], "") if isinstance(found, tuple) else ([], at, found)
+        if records:
             if bad is not None:
-                yield "gap", bad, at - bad, why
-                bad = None
-            yield "record", at, found[1] - at, found[0]
-            at = found[1]
+                yield from _quarantine(data, bad, at, why, broken)
+                bad, broken = None, []
+            for fields in records:
+                yield "record", at, end - at, fields
+            if fault:
+                yield "gap", at, end - at, fault
+            at = end
             continue
         if bad is None:
-            bad, why = at, found
-        later = data.find(GZIP if packed else b"WARC/1.", at + 1)
-        at = len(data) if later < 0 else later
+            bad, why = at, fault
+        later = _START.search(data, at + 1)
+        at = later.start() if later else len(data)
     if bad is not None:
-        yield "gap", bad, len(data) - bad, why
+        yield from _quarantine(data, bad, len(data), why, broken)
 
 
 _SCHEMA = (

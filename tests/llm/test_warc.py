@@ -76,6 +76,45 @@ def test_salvage(packed):
     assert kinds(b"") == [] and kinds(b"no archive") == [("gap", 0, 10)]
 
 
+def ids(data):
+    return [what["record_id"] for kind, _, _, what in warc.salvage(data) if kind == "record"]
+
+
+def test_salvage_inside_members():
+    both = gzip.compress(one(1) + one(2)) + gzip.compress(one(3))
+    assert ids(both) == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+    assert [k for k, *_ in warc.salvage(both)] == ["record"] * 3
+    damaged = gzip.compress(one(1) + b"?" * 40 + one(2)) + gzip.compress(one(3))
+    assert [k for k, *_ in warc.salvage(damaged)] == ["record", "record", "gap", "record"]
+    assert ids(damaged) == [f"<urn:page:{i}>" for i in (1, 2, 3)]
+    old = one(1).replace(b"WARC/1.1", b"WARC/0.18")
+    assert ids(old + one(2)) == ids(gzip.compress(old) + one(2)) == ["<urn:page:1>", "<urn:page:2>"]
+
+
+def test_salvage_head_of_a_broken_member():
+    noise = b"".join(hashlib.sha256(bytes([i])).digest() for i in range(200))
+    for level in (0, 6):
+        first, many = gzip.compress(one(1), level), gzip.compress(one(2) + one(3, noise) + one(4, noise[::-1]), level)
+        cut = first + many[: len(many) * 3 // 4] + first
+        assert ids(cut) == [f"<urn:page:{i}>" for i in (1, 2, 3, 1)]
+        (gap, start, *_), (kind, at, *_) = list(warc.salvage(cut))[-2:]
+        assert (gap, kind, at) == ("gap", "record", len(cut) - len(first))
+        assert start == len(first) or level == 0  # unpacked blocks show their records at their place
+    checksum = bytearray(gzip.compress(one(5)))
+    checksum[-6] ^= 1
+    assert ids(bytes(checksum)) == []
+    assert ids((gzip.compress(one(4) + one(5)) + gzip.compress(one(6)))[:-3]) == ["<urn:page:4>", "<urn:page:5>"]
+    unproved = one(5).replace(b"WARC-Block-Digest", b"WARC-Other-Digest")
+    assert ids(gzip.compress(unproved)) == ["<urn:page:5>"] and ids(gzip.compress(unproved + one(6))[:-3]) == []
+    assert ids(gzip.compress(one(5) + one(6))[:-3]) == ["<urn:page:5>"]
+
+
+def test_salvage_of_a_plain_file_with_packed_payloads():
+    plain = b"\0" * 9 + one(1)[9:] + one(2, b"\x1f\x8b\x08 is no member") + one(3)
+    assert ids(plain) == ["<urn:page:2>", "<urn:page:3>"]
+    assert [(k, a) for k, a, *_ in warc.salvage(plain)][0] == ("gap", 0)
+
+
 def test_gaps_are_reported(spark):
     folder = scratch_path(spark, "warc")
     write_file(f"{folder}/a.warc", one(1) + b"?" * 30 + one(2))
