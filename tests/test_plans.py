@@ -306,3 +306,21 @@ def test_wide_relations_are_captured_whole(spark):
         spark.sql("DROP TABLE wide_relation")
     assert "more fields" not in text and all(f"col_{i}#" in text for i in range(40))
     assert spark.conf.get("spark.sql.debug.maxToStringFields") == "25"
+
+
+def test_a_plan_text_is_built_once(spark):
+    """The condition on the section does not repeat the expression that builds the text."""
+    text = F.concat(F.lit("== Optimized Logical Plan ==\nJoin @mark@"), F.col("id").cast("string"), F.lit("\n== Physical Plan ==\n"))
+    files = spark.range(3).select(F.concat(F.lit("tpch_q"), F.col("id"), F.lit("_plan.txt")).alias("file_name"), text.alias("text"))
+    files = files.union(files.withColumn("text", F.lit(None)))
+    lines = P.plan_lines(files)
+    assert sorted((r.plan_key, [l.body for l in r.lines]) for r in lines.collect()) == [(f"tpch_q{i}", [f"Join @mark@{i}"]) for i in range(3)]
+    one = P.plan_lines(spark.range(3).select(F.lit("q_plan.txt").alias("file_name"), text.alias("text")))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("@mark@") == 1
+
+
+def test_the_text_of_an_atom_is_built_once(spark):
+    """Column, operator and values of an atom come from one look at its text."""
+    rows = spark.range(1).select(P.atom(F.concat(F.lit("total#1 > @mark@"), F.col("id").cast("string"))).alias("a"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("@mark@") == 1
+    assert rows.first().a.asDict() == {"col": "total", "op": ">", "values": ["@mark@0"]}

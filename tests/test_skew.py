@@ -7,7 +7,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakewright.operators.ranks import not_in, with_rank
-from lakewright.operators.skew import lookup, salted_join, split_scan
+from lakewright.operators.skew import estimated_bytes, lookup, salted_join, split_scan, task_count
+from lakewright.operators.trees import forest_offsets
+from lakewright.sources.tables import spread
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +118,46 @@ def test_split_scan_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), (None, 3)], "g string, o int")
     got = split_scan(df, ["g"], ["o"], out="start", total="n").collect()
     assert sorted((r.g or "", r.o, r.start, r.n) for r in got) == [("", 1, 0, 3), ("", 2, 1, 3), ("", 3, 2, 3), ("a", 1, 0, 1)]
+
+
+def test_size_of_a_join_is_not_the_product_of_its_sides(spark, tmp_path):
+    """A frame joined to an aggregate of its own is about as large as before, and gets as many tasks."""
+    spark.range(200000).selectExpr("id", "id % 5000 AS k", "md5(cast(id AS string)) AS t").write.parquet(f"{tmp_path}/big")
+    big = spark.read.parquet(f"{tmp_path}/big")
+    big.groupBy("k").agg(F.max("t").alias("m")).write.parquet(f"{tmp_path}/small")
+    small = spark.read.parquet(f"{tmp_path}/small")
+    joined = big.join(F.broadcast(small), "k")
+    assert estimated_bytes(joined) <= 4 * (estimated_bytes(big) + estimated_bytes(small))
+    assert task_count(joined) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_rows_of_one_row_group_are_spread(spark, tmp_path):
+    """A file may have as many splits as there are cores and all its rows in one of them."""
+    spark.range(200000).selectExpr("id", "md5(cast(id AS string)) AS t").coalesce(1).write.parquet(f"{tmp_path}/one")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    try:
+        scan = spark.read.parquet(f"{tmp_path}/one")
+        cores = spark.sparkContext.defaultParallelism
+        assert scan.rdd.getNumPartitions() >= cores
+        rows = spread(scan, "id")
+        split = rows.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert sum(r["count"] for r in split) == 200000
+        assert max(r["count"] for r in split) * cores <= 2 * 200000
+        assert rows.exceptAll(scan).isEmpty() and scan.exceptAll(rows).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_forest_offsets_read_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(n):
+        seen.add(1)
+        return n
+
+    rows = spark.range(100).select(F.format_string("p%03d", "id").alias("plan_key"), size("id").alias("n_nodes"))
+    got = {r.plan_key: r.node_offset for r in forest_offsets(rows).collect()}
+    assert got == {f"p{i:03d}": i * (i - 1) // 2 for i in range(100)}
+    assert seen.value == 100
