@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lakewright.functions import scalars as S
 from lakewright.functions.catalog import ENGINES, FLOOR_MS, LAKES
 from lakewright.operators.skew import lookup, split_scan
+from lakewright.session import materialize
 
 QUERY = ["benchmark", "query_id"]
 COMBO = ["engine_id", "lake_id"]
@@ -20,10 +21,11 @@ _TEXT = ["engine", "datalake", "query_name", "conf", "sf", "latency"]
 def accept(raw: DataFrame, floor: float = FLOOR_MS) -> DataFrame:
     """Trimmed rows with every name present and a numeric latency of at least ``floor``."""
     trimmed = raw.withColumns({c: F.trim(F.coalesce(c, F.lit(""))) for c in _TEXT})
-    named = [F.col(c) != "" for c in ("engine", "datalake", "query_name", "sf")]
-    valid = trimmed.withColumn("latency", S.to_number(F.col("latency")))
-    for test in named:
-        valid = valid.where(test)
+    # Conditions on generated columns stay above them; on plain ones they would build every text again.
+    row = F.struct(*[F.col(c) for c in trimmed.columns if c != "latency"], S.to_number(F.col("latency")).alias("latency"))
+    valid = trimmed.select(F.explode_outer(F.array(row)).alias("_r")).select(*[f"_r.{c}" for c in trimmed.columns])
+    for c in ("engine", "datalake", "query_name", "sf"):
+        valid = valid.where(F.col(c) != "")
     return valid.where(F.col("latency") >= floor)
 
 
@@ -90,6 +92,8 @@ def log_moments(trials: DataFrame, floor: float = FLOOR_MS) -> DataFrame:
         F.stddev_pop(value).alias("sd"),
         F.count_if(F.col("latency") == floor).alias("n_floor"),
     )
+    # Read twice below; written, so that the log behind it is read once.
+    groups = materialize(groups)
     square = F.col("sd") * F.col("sd") + F.col("mu") * F.col("mu")
     combos = (
         groups.where("n > 0")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakewright.operators.ranks import not_in, with_rank
-from lakewright.operators.skew import estimated_bytes, lookup, salted_join, split_scan, task_count
+from lakewright.operators.skew import estimated_bytes, hot_keys, lookup, salted_join, split_scan, task_count
 from lakewright.operators.trees import forest_offsets
 from lakewright.sources.tables import spread
 
@@ -161,3 +161,19 @@ def test_forest_offsets_read_their_input_once(spark):
     got = {r.plan_key: r.node_offset for r in forest_offsets(rows).collect()}
     assert got == {f"p{i:03d}": i * (i - 1) // 2 for i in range(100)}
     assert seen.value == 100
+
+
+def test_a_side_as_large_as_the_other_is_repeated_for_hot_keys_only(spark, tmp_path):
+    key = F.expr("CASE WHEN id < 3000 THEN -1 WHEN id % 100 = 0 THEN NULL ELSE id END")
+    spark.range(20000).select(key.alias("k"), F.col("id").alias("v")).write.parquet(f"{tmp_path}/big")
+    big = spark.read.parquet(f"{tmp_path}/big")
+    big.groupBy("k").agg(F.count("*").alias("n")).write.parquet(f"{tmp_path}/small")
+    small = spark.read.parquet(f"{tmp_path}/small")
+    assert [r.k for r in hot_keys(big, ["k"]).collect()] == [-1]
+    for how in ("left", "inner"):
+        got = salted_join(big, small, ["k"], how)
+        assert got.columns == ["k", "v", "n"]
+        assert got.exceptAll(big.join(small, ["k"], how)).isEmpty()
+        assert got.count() == big.join(small, ["k"], how).count()
+    plan = salted_join(big, small, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_hot") > 0
