@@ -324,3 +324,33 @@ def test_the_text_of_an_atom_is_built_once(spark):
     rows = spark.range(1).select(P.atom(F.concat(F.lit("total#1 > @mark@"), F.col("id").cast("string"))).alias("a"))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("@mark@") == 1
     assert rows.first().a.asDict() == {"col": "total", "op": ">", "values": ["@mark@0"]}
+
+
+def _random_condition(rng, depth, level=0, negated=False):
+    """Text of a random condition and its nodes as (level, kind, column, negated)."""
+    if depth == 0 or rng.random() < 0.25:
+        name = f"c{rng.randrange(99)}"
+        text = rng.choice(["({}#1 = 2)", "{}#1 IN (1,2)", "(({}#1 > 3))", "StartsWith({}#1, x)"]).format(name)
+        return ("NOT " if negated else "") + text, [(level, "Predicate", name, negated)]
+    kind = rng.choice(["AND", "OR"])
+    sides = [_random_condition(rng, depth - 1, level + 1, rng.random() < 0.2) for _ in range(2)]
+    text = f"({sides[0][0]} {kind} {sides[1][0]})"
+    text = f"({text})" if rng.random() < 0.3 else text
+    return ("NOT " if negated else "") + text, [(level, kind, None, negated), *sides[0][1], *sides[1][1]]
+
+
+def test_nested_predicates_of_whole_plans(spark):
+    """Conditions of many plans keep their nodes apart, and no array lambda folds over their tokens."""
+    rng = random.Random(3)
+    made = [[_random_condition(rng, rng.randrange(4)) for _ in range(rng.randrange(4))] for _ in range(60)]
+    plans = [("q%02d" % i, "tpch", [(0, "Project", "Project [x#1]"), *[(1, "Filter", f"Filter {t}") for t, _ in c]]) for i, c in enumerate(made)]
+    lines = spark.createDataFrame(plans, "plan_key string, benchmark string, lines array<struct<depth:int,word:string,body:string>>")
+    df = P.plan_nodes(lines.repartition(7))
+    for row, conditions in zip(df.orderBy("plan_key").collect(), made):
+        got = [(n.depth, n.operator, n.pred and n.pred.col, n.negated) for n in row.nodes]
+        wanted = [(1 + level, *rest) for _, nodes in conditions for level, *rest in nodes]
+        assert got == [(0, "Project", None, False), *wanted]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and plan.count("_nest(") == 1
+    empty = spark.createDataFrame([(None,), ("",), ("()",)], "t string").select(P.predicate_nodes(F.col("t")).alias("n"))
+    assert [r.n for r in empty.collect()] == [[], [], []]
