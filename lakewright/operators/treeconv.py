@@ -25,7 +25,8 @@ def mlp(x: np.ndarray, layers: Sequence[Layer], eps: float = 1e-5) -> np.ndarray
     for i, layer in enumerate(layers):
         x = x @ layer.weight + layer.bias
         if i < len(layers) - 1:
-            x = (x - x.mean(axis=-1, keepdims=True)) / np.sqrt(x.var(axis=-1, keepdims=True) + eps)
+            x = x - x.mean(axis=-1, keepdims=True)
+            x = x / np.sqrt((x * x).mean(axis=-1, keepdims=True) + eps)
             x = np.maximum(x, 0.0)
     return x
 

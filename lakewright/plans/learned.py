@@ -23,7 +23,7 @@ from lakewright.operators import workloads as W
 from lakewright.operators.mapping import fallback_vectors, latency_profiles, map_queries, with_fallback
 from lakewright.operators.mixture import Epoch, train
 from lakewright.operators.regression import dot, fit_ridge, sketch
-from lakewright.operators.routing import Router, gate_choice, score_routed, score_soft
+from lakewright.operators.routing import Router, gate_choice, score_every, score_routed, score_soft
 from lakewright.operators.skew import lookup, split_scan
 from lakewright.operators.treeconv import KERNELS, needed_trees, plan_embeddings, seeded_layers
 from lakewright.plans import sqltext as Q
@@ -404,10 +404,8 @@ def _(spark, folder):
     """Routing every record to a given combo gives, for that combo's records, what routing to their own gives."""
     records, router = whole_log(setup(spark, folder)), fitted(spark, folder)[0]
     scored = score_routed(records, router, "sketch", "knobs", F.col("engine_id"), F.col("lake_id"))
-    for e in range(M.CLASSES):
-        for k in range(M.CLASSES):
-            scored = score_routed(scored, router, "sketch", "knobs", F.lit(e), F.lit(k), out=f"p{e}{k}")
-    given = F.get(F.array(*[F.col(f"p{e}{k}") for e in range(M.CLASSES) for k in range(M.CLASSES)]), F.col("engine_id") * 3 + F.col("lake_id"))
+    scored = score_every(scored, router, "sketch", "knobs")
+    given = F.get("preds", F.col("engine_id") * M.CLASSES + F.col("lake_id"))
     return scored.groupBy(*T.COMBO).agg(F.count("*").alias("n"), F.bool_and(F.abs(given - F.col("pred")) < 1e-9).alias("agree"))
 
 

@@ -11,7 +11,7 @@ from lakewright.operators import histograms as H
 from lakewright.operators import pooling as E
 from lakewright.operators import recommend as R
 from lakewright.operators import training_logs as L
-from lakewright.operators.routing import Router, score_routed, score_soft
+from lakewright.operators.routing import Router, score_every, score_routed, score_soft
 
 
 def test_equal_height_ranges_with_hot_value(spark):
@@ -132,6 +132,26 @@ def test_record_routing_equals_fixed_routing(scored):
             assert pairs and all(math.isclose(a, b, rel_tol=1e-9) for a, b in pairs)
 
 
+def test_every_pair_in_one_pass(scored):
+    """All nine predictions of a record come from one function over each batch, those of the pair routed alone."""
+    rows, df, router = scored
+    every = score_every(df, router, "e", "c")
+    got = np.array([r.preds for r in every.collect()])
+    e, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for pair in range(9):
+        assert np.allclose(got[:, pair], router.hard(e, c, *divmod(pair, 3)), rtol=1e-12)
+    big = np.tile(e, (50, 1)), np.tile(c, (50, 1))
+    assert np.allclose(router.every(*big), np.tile(got, (50, 1)), rtol=1e-12)
+    assert every._jdf.queryExecution().executedPlan().toString().count("predict(") > 0
+    assert score_every(df.limit(0), router, "e", "c").collect() == []
+
+
+def test_ragged_vectors_are_refused(spark):
+    df = spark.createDataFrame([([1.0] * 6, [1.0] * 2, 0, 0), ([1.0] * 6, [1.0] * 4, 0, 0)], "e array<double>, c array<double>, engine_id int, lake_id int")
+    with pytest.raises(Exception, match="lengths"):
+        score_routed(df.coalesce(1), Router.seeded(6, 3), "e", "c", F.col("engine_id"), F.col("lake_id")).collect()
+
+
 def test_soft_routing(scored):
     rows, df, router = scored
     got = score_soft(df, router, "e", "c").collect()
