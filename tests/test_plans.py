@@ -354,3 +354,17 @@ def test_nested_predicates_of_whole_plans(spark):
     assert "aggregate(" not in plan and plan.count("_nest(") == 1
     empty = spark.createDataFrame([(None,), ("",), ("()",)], "t string").select(P.predicate_nodes(F.col("t")).alias("n"))
     assert [r.n for r in empty.collect()] == [[], [], []]
+
+
+def test_lookups_of_a_plan_are_made_once(spark):
+    """The owner of a join side is searched once, only scans list references, and a text is searched for relations once."""
+    body = ["Join Inner, (a#1 = b#2L)", "RelationV2[a#1, c#3] x.tpch_iceberg_10g.t", "Relation z.u[b#2L,a#1] parquet", "Join Inner, (c#3 = d#4)"]
+    lines = [(i, b.split(" ")[0].split("[")[0], b) for i, b in enumerate(body)]
+    rows = spark.createDataFrame([("q", "tpch", lines)], "plan_key string, benchmark string, lines array<struct<depth:int,word:string,body:string>>")
+    plans = P.with_join_keys(P.line_nodes(rows).drop("lines"))
+    assert plans.first().join_keys == [["tpch_t.a", "tpch_u.b"], [], [], ["c", "d"]]
+    assert plans._jdf.queryExecution().analyzed().toString().count("array_contains(") == 2
+    texts = spark.createDataFrame([(" ".join(body),), (None,)], "text string")
+    found = P.relation_columns(texts)
+    assert sorted(map(tuple, found.collect())) == [("tpch_t", "a"), ("tpch_t", "c")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
