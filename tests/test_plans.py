@@ -12,6 +12,8 @@ from lakewright.operators import plan_lines as P
 from lakewright.operators import trees as G
 from lakewright.operators.mapping import map_queries
 from lakewright.operators.treeconv import Layer, binary, convolve, mlp, plan_embeddings, seeded_layers
+from lakewright.plans import plan_log
+from lakewright.plans.registry import QUERIES
 from lakewright.sources.text_files import capture_plan, plan_table, read_logs, read_texts
 from lakewright.sources.tree_cache import cached_trees, load_trees
 
@@ -368,3 +370,13 @@ def test_lookups_of_a_plan_are_made_once(spark):
     found = P.relation_columns(texts)
     assert sorted(map(tuple, found.collect())) == [("tpch_t", "a"), ("tpch_t", "c")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_tables_of_plans_hold_what_is_read(spark, folder, monkeypatch):
+    """Plans written for several readers leave out lines, paths and the texts of their nodes."""
+    written, write = [], plan_log.materialize
+    monkeypatch.setattr(plan_log, "materialize", lambda df: written.append(df.schema) or write(df))
+    for name in ("p21_list_padding", "t13_one_hot_operator"):
+        assert QUERIES[name](spark, folder).count() > 0
+    assert [s.names for s in written] == [["plan_key", "benchmark", "vectors"], ["plan_key", "benchmark", "nodes"]]
+    assert written[1]["nodes"].dataType.elementType.names == ["operator", "table"]
