@@ -276,6 +276,30 @@ def test_every_leaf_reaches_the_root():
         assert not np.allclose(convolve(changed, kids, layers, 2)[0], root), leaf
 
 
+def test_line_trees_read_depths_only_and_distances_compare_no_paths(spark, folder, capsys):
+    from lakewright.plans.plan_log import line_trees
+
+    rows = G.distances(line_trees(spark, folder))
+    rows.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "regexp_extract" not in plan and "array_intersect" not in plan
+
+
+def test_distances_of_a_forest_with_gaps(spark):
+    depths = {"one": [0], "two": [0, 1, 2, 1, 2, 2, 0, 1], "gap": [0, 2, 1, 2, 3, 5], "same": [0, 1, 2, 1, 2, 2, 0, 1]}
+    df = spark.createDataFrame(list(depths.items()), "plan_key string, d array<int>")
+    got = {(r.plan_key, r.node_id): r.hops for r in G.distances(G.with_paths(df, F.col("d"))).collect()}
+    assert len(got) == sum(map(len, depths.values()))
+    for key, levels in depths.items():
+        up = [next((j for j in reversed(range(i)) if levels[j] == d - 1), None) for i, d in enumerate(levels)]
+        near = [[0 if i == j else None for j in range(len(up))] for i in range(len(up))]
+        for i, p in enumerate(up):
+            for j in range(i):
+                if p is not None and near[p][j] is not None:
+                    near[i][j] = near[j][i] = near[p][j] + 1
+        assert [got[key, i] for i in range(len(up))] == near
+
+
 def test_binary_children():
     pairs, level = binary([[1, 2, 3, 4], [], [], [], [5], []])
     assert pairs == [[1, 7], [], [], [], [5], [], [3, 4], [2, 6]]
