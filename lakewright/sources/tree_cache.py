@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewright.session import materialize
+from lakewright.session import materialize, scratch_path
 
 
 def _exists(spark: SparkSession, root: str) -> bool:
@@ -50,26 +50,40 @@ def cached_trees(
     else:
         held = have.select("benchmark", "plan_key", "content").distinct()
         on = ["benchmark", "plan_key", "content"]
-        missing, stale = materialize(wanted.join(held, on, "left_anti")), materialize(held.join(wanted, on, "left_anti"))
-        kept = load_trees(spark, root, wanted)
+        # One join for both differences.
+        both = wanted.withColumn("_w", F.lit(True)).join(held.withColumn("_h", F.lit(True)), on, "full")
+        both = materialize(both.where("_w IS NULL OR _h IS NULL"))
+        missing, stale = both.where("_h IS NULL").select(*on), both.where("_w IS NULL").select(*on)
+        kept = have.join(stale, on, "left_anti")  # a cached tree that is not stale is asked for
     changed = missing.select("benchmark").union(stale.select("benchmark")).distinct()
     touched = [r.benchmark for r in changed.collect()]  # a row per benchmark
     if not touched and have is not None:
         return have
-    todo = keyed.join(missing, ["benchmark", "plan_key", "content"], "left_semi")
+    # Without a cache every text is missing; those without a key find no row of ``missing`` below.
+    todo = keyed if have is None else keyed.join(missing, ["benchmark", "plan_key", "content"], "left_semi")
     built = build(todo.drop("content")).join(missing, ["benchmark", "plan_key"]).withColumn("run", F.lit(run))
     if kept is not None:
         built = built.unionByName(kept.where(F.col("benchmark").isin(touched)))
-    # Written aside first: the rows come from the folder that is about to be replaced.
-    rows = materialize(built)
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("benchmark").parquet(root)
-    _drop_empty(spark, root, touched, rows)
-    return spark.read.schema(rows.schema).parquet(root)
-
-
-def _drop_empty(spark: SparkSession, root: str, touched: list[str], rows: DataFrame) -> None:
-    """A benchmark that has no tree left has no rows to overwrite its folder with."""
-    left = {r.benchmark for r in rows.select("benchmark").distinct().collect()}
-    for benchmark in set(touched) - left:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/benchmark={benchmark}")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if have is None:
+        built.write.partitionBy("benchmark").parquet(root)
+        return spark.read.schema(built.schema).parquet(root)
+    # Written aside first: the rows come from the folders that are about to be replaced.
+    aside = scratch_path(spark, "trees")
+    built.write.partitionBy("benchmark").parquet(aside)
+    rows = spark.read.schema(built.schema).parquet(aside)
+    left = {r.benchmark for r in rows.select("benchmark").distinct().collect()}  # a row per benchmark
+    _replace(spark, aside, root, [f"benchmark={b}" for b in touched if b not in left])
+    return spark.read.schema(built.schema).parquet(root)
+
+
+def _replace(spark: SparkSession, aside: str, root: str, emptied: list[str]) -> None:
+    """Put the folders of ``aside`` in the place of those of their name; the emptied ones go."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in emptied:
+        fs.delete(path(f"{root}/{name}"), True)
+    for folder in [s.getPath() for s in fs.listStatus(path(aside)) if s.isDirectory()]:
+        target = path(path(root), folder.getName())
+        fs.delete(target, True)
+        if not fs.rename(folder, target):
+            raise OSError(f"{folder} could not replace {target}")

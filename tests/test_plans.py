@@ -300,6 +300,25 @@ def test_distances_of_a_forest_with_gaps(spark):
         assert [got[key, i] for i in range(len(up))] == near
 
 
+def test_tree_cache_writes_trees_once_and_compares_keys_in_one_join(spark, tmp_path, monkeypatch):
+    from lakewright.sources import tree_cache
+
+    written = []
+    monkeypatch.setattr(tree_cache, "materialize", lambda df, real=tree_cache.materialize: written.append(df.columns) or real(df))
+
+    def run(texts):
+        files = spark.createDataFrame(texts, "benchmark string, plan_key string, text string")
+        got = cached_trees(files, str(tmp_path / "trees"), lambda m: m.select("benchmark", "plan_key", F.length("text").alias("n")), "s")
+        return sorted((r.benchmark, r.plan_key, r.n) for r in got.collect())
+
+    assert run([("a b", "1", "x"), ("c", "2", "yy"), ("c", "3", "z")]) == [("a b", "1", 1), ("c", "2", 2), ("c", "3", 1)]
+    assert len(written) == 1  # the keys asked for; the trees go to the cache alone
+    written.clear()
+    assert run([("a b", "1", "xxx"), ("c", "2", "yy"), ("d", "4", "w")]) == [("a b", "1", 3), ("c", "2", 2), ("d", "4", 1)]
+    assert len(written) == 2
+    assert run([("c", "2", "yy")]) == [("c", "2", 2)]
+
+
 def test_binary_children():
     pairs, level = binary([[1, 2, 3, 4], [], [], [], [5], []])
     assert pairs == [[1, 7], [], [], [], [5], [], [3, 4], [2, 6]]
