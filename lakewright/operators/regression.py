@@ -23,16 +23,18 @@ STEP = 32  # sums of tasks added together in the first step
 def _products(keys: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[tuple, np.ndarray] = {}
+        targets = 0
         for batch in batches:
             for key, rows in batch.groupby(list(keys), dropna=False, sort=False):
                 x, y = np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy())
-                w = rows["w"].to_numpy(float)[:, None]
+                w, targets = rows["w"].to_numpy(float)[:, None], y.shape[1]
                 both = np.hstack([x, y])
                 total = np.concatenate([[w.sum()], ((both * w).T @ both).ravel()])
                 held[key] = held[key] + total if key in held else total
         part = TaskContext.get().partitionId()
         names = dict(zip(keys, zip(*held))) if held else {k: [] for k in keys}
-        yield pd.DataFrame({**names, "part": [part] * len(held), "sums": [s.tolist() for s in held.values()]})
+        sums = [s.tolist() for s in held.values()]
+        yield pd.DataFrame({**names, "part": [part] * len(held), "targets": [targets] * len(held), "sums": sums})
 
     return run
 
@@ -66,20 +68,18 @@ def fit_ridge(
     w = F.lit(1.0) if weight is None else weight.cast("double")
     used = rows.select(*keys, inputs.alias("x"), targets.alias("y"), w.alias("w")).where("x IS NOT NULL AND y IS NOT NULL")
     kept = [used.schema[k] for k in keys]
-    parts = used.mapInPandas(_products(keys), T.StructType([*kept, T.StructField("part", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
+    parts = used.mapInPandas(_products(keys), T.StructType([*kept, T.StructField("part", T.IntegerType()), T.StructField("targets", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))]))
     group = [F.col(k) for k in keys]
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.sort_values("part").iloc[[0]]
-        return first.assign(sums=[_add(rows).tolist()])[[*keys, "part", "sums"]]
+        return first.assign(sums=[_add(rows).tolist()])[[*keys, "part", "targets", "sums"]]
 
     parts = parts.groupBy(*group, F.floor(F.col("part") / STEP).alias("_step")).applyInPandas(merge, parts.schema)
-    size = used.select(F.size("y")).first()
-    n_targets = size[0] if size else 0
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         total = _add(rows)
-        beta, error = _solve(total, n_targets, penalty)
+        beta, error = _solve(total, int(rows["targets"].iloc[0]), penalty)
         return rows.iloc[[0]][[*keys]].assign(n=total[0], coefficients=[beta.tolist()], mse=[error.tolist()])
 
     schema = T.StructType([*kept, T.StructField("n", T.DoubleType()), T.StructField("coefficients", T.ArrayType(T.ArrayType(T.DoubleType()))), T.StructField("mse", T.ArrayType(T.DoubleType()))])

@@ -185,3 +185,16 @@ def test_plan_texts_decide_the_picks(spark, folder):
         assert {r.query_id for r in rows} <= {r.query_id for r in s.of("test").collect()} and all(r.ratio >= 1 for r in rows)
         picks.append({(r.benchmark, r.query_id): (r.pick_engine_id, r.pick_lake_id, r.pick_conf) for r in rows})
     assert picks[0] != picks[1]
+
+
+def test_ridge_reads_its_rows_only_when_asked(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as Rows
+
+    data = [("a", float(i), 2.0 * i + 1, -float(i)) for i in range(8)] + [(None, 1.0, 5.0, 6.0)]
+    rows = spark.createDataFrame(data, "k string, x double, y double, z double")
+    with monkeypatch.context() as patched:
+        patched.setattr(Rows, "collect", lambda self: pytest.fail("the rows were read while the job was planned"))
+        models = fit_ridge(rows, ["k"], F.array(F.lit(1.0), "x"), F.array("y", "z"), penalty=0.0)
+    got = {r.k: (r.n, r.coefficients) for r in models.collect()}
+    assert got["a"][0] == 8 and got[None][0] == 1
+    assert [[round(v, 6) for v in beta] for beta in got["a"][1]] == [[1.0, 2.0], [0.0, -1.0]]
