@@ -18,10 +18,10 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,14 +33,14 @@ from lakewright.session import materialize, scratch_path
 MAGIC = b"LWWM\x01"
 BLOCK = 512
 PIECE = 1 << 14
+SPAN = 1 << 15
 SHARD_BYTES = 8 << 20
 END = 0
 CACHE = 300_000
-JOINED = 500
+LONG = 100  # bytes of a piece that is remembered when the memory is full
+STEP_BYTES = 4 << 20  # bytes of text encoded at once
 # A space after any other character begins a token of its own, whatever stands around it.
 _RISKY = re.compile(r"[^\w\x21-\x7e]")
-_MARKS = ".,;:!?"
-_VISIBLE = frozenset(map(chr, range(0x21, 0x7F)))
 
 
 def pieces_of(text: str) -> tuple[str, list[str]]:
@@ -67,18 +67,92 @@ def _plain_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return plain
 
 
-class _Numbers(dict):
-    """Number of each key in order of its first request."""
+_OTHER, _LETTER, _DIGIT, _MARK, _QUOTE, _SPACE, _BREAK, _VISIBLE = range(8)
 
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        return n
+
+def _class_of(byte: int) -> int:
+    """Kind of a character by its first byte; characters of ``_OTHER`` may be white space or anything else."""
+    if byte < 0x80:
+        char = chr(byte)
+        if char.isalnum():
+            return _LETTER if char.isalpha() else _DIGIT
+        named = {" ": _SPACE, "\n": _BREAK, "\r": _BREAK, "\t": _BREAK, "'": _QUOTE}
+        return named.get(char, _MARK if 0x20 < byte < 0x7F else _OTHER)
+    if 0xC3 <= byte <= 0xC8 or byte in (0xD0, 0xD1):  # U+00C0 to U+023F, U+0400 to U+047F
+        return _LETTER
+    # No character from U+0240 to U+0FFF or from U+4000 on is white space.
+    return _VISIBLE if 0xC9 <= byte <= 0xE0 or byte >= 0xE4 else _OTHER
+
+
+_CLASSES = np.array(list(map(_class_of, range(256))), np.uint8)
+_SEEN = np.isin(np.arange(8), (_LETTER, _DIGIT, _MARK, _QUOTE, _VISIBLE))
+_RUNS = np.isin(np.arange(8), (_LETTER, _DIGIT, _MARK))
+
+
+def _cut_between(a: int, b: int) -> bool:
+    """Whether a token always ends between characters of these kinds.
+
+    A token is a run of letters, of digits or of signs, with at most one space before it, or white space, or a
+    quote and letters (``'ll``).
+    """
+    if b in (_SPACE, _BREAK):
+        return bool(_SEEN[a])
+    return a != b and bool(_RUNS[a]) and (bool(_RUNS[b]) or (b == _QUOTE and a != _MARK))
+
+
+_CUTS = np.array([_cut_between(a, b) for a in range(8) for b in range(8)])
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of the character of each byte."""
+    kinds = _CLASSES[data]
+    if len(data) and data.max() >= 0x80:
+        signs = np.flatnonzero(data[:-1] == 0xC3)
+        kinds[signs[np.isin(data[signs + 1], (0x97, 0xB7))]] = _VISIBLE  # multiplication, division
+        for size, lead in enumerate((0xC0, 0xE0, 0xF0), 1):
+            at = np.flatnonzero(data[:-size] >= lead)
+            kinds[at + size] = kinds[at]
+    return kinds
+
+
+def _cuts(data: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin: at each text, and where a token ends whatever follows, but in no ``whole`` text.
+
+    A single line break between visible characters is a token of its own; the tokens of longer white space depend
+    on what follows it, so its piece goes on.
+    """
+    begins = np.zeros(len(data) + 1, bool)
+    if len(data):
+        kinds = _kinds(data)
+        begins[1:-1] = _CUTS[kinds[:-1] << 3 | kinds[1:]]
+        at = np.flatnonzero(kinds[1:-1] == _BREAK) + 1
+        begins[at[_SEEN[kinds[at - 1]] & _SEEN[kinds[at + 1]]] + 1] = True
+    for row in np.flatnonzero(whole):
+        begins[offsets[row] : offsets[row + 1]] = False
+    begins[offsets[:-1]] = True
+    begins[len(data)] = False  # empty texts at the end have no piece
+    return np.flatnonzero(begins)
+
+
+def _strings(data: np.ndarray, begins: np.ndarray) -> pa.Array:
+    """The pieces of bytes that begin at these places."""
+    offsets = np.append(begins, len(data)).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def _letters() -> np.ndarray:
+    """Character that stands for each byte in a byte-level vocabulary: itself if printable, others from U+0100 on."""
+    plain = np.isin(np.arange(256), [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)])
+    return np.where(plain, np.arange(256), 0xFF + np.cumsum(~plain)).astype("<u2")
 
 
 class Encoder:
     """Encodes texts piece by piece and remembers the ids of up to ``CACHE`` pieces.
 
-    When it is full it keeps the pieces that came more than once, the most frequent half at most.
+    When it is full, in pieces or in bytes, it keeps the short pieces that came more than once, the most frequent
+    half at most. Pieces of one kind of characters are single tokens of the tokenizer's pattern, so its model merges them directly; all others
+    go through the whole tokenizer. Texts that hold an added token (``<|endoftext|>``) are one piece, and so are all
+    texts if the tokenizer is not the plain byte-level kind.
     """
 
     def __init__(self, path: str):
@@ -86,131 +160,100 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        words = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.n_bytes = np.zeros(max(words.values()) + 1, np.int64)
-        for word, i in words.items():
-            self.n_bytes[i] = len(word)  # one character per byte
-        self.dtype = np.uint16 if len(self.n_bytes) <= 1 << 16 else np.uint32
-        self.known = _Numbers()
-        self.marks: dict[str, np.ndarray] = {}
-        self.flat = np.zeros(1 << 16, self.dtype)
-        self.used = 0
-        self.begin, self.size, self.seen = (np.zeros(0, np.int64) for _ in range(3))
-        model = self.tokenizer.model
-        if hasattr(model, "_resize_cache"):
-            model._resize_cache(0)  # every piece is asked for once, a cache of words is never hit
+        made = json.loads(self.tokenizer.to_str())
+        cutter = made["pre_tokenizer"] or {}
+        self.plain = (
+            made["normalizer"] is None
+            and made["model"]["type"] == "BPE"
+            and (cutter.get("type"), cutter.get("use_regex"), cutter.get("add_prefix_space")) == ("ByteLevel", True, False)
+        )
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.dtype = np.uint16 if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else np.uint32
+        self.model = self.tokenizer.model
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # every piece is asked for once, a cache of words is never hit
+        self.letters = _letters()
+        self.marks = 0  # runs of marks learned as pieces of their own
+        self.known = pa.array([], pa.large_string())
+        self.seen = np.zeros(0, np.int64)
+        # The ids of known piece i follow those of the piece before; the end id is piece 0 there.
+        self.ids, self.ends = np.array([END], self.dtype), np.array([0, 1], np.int64)
 
     def _forget(self) -> None:
-        keep = self.seen >= 2
+        keep = (self.seen >= 2) & (pc.binary_length(self.known).to_numpy() <= LONG)
         if keep.sum() > CACHE // 2:
             keep &= self.seen > np.partition(self.seen, -(CACHE // 2))[-(CACHE // 2)]
-        self.seen, begin, self.size = self.seen[keep], self.begin[keep], self.size[keep]
-        self.begin = np.cumsum(self.size) - self.size
-        self.used = int(self.size.sum())
-        self.flat = self.flat[np.arange(self.used) + np.repeat(begin - self.begin, self.size)]
-        self.known = _Numbers((k, i) for i, k in enumerate(k for k, kept in zip(self.known, keep.tolist()) if kept))
-
-    def _code(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts in one array, and their number per text."""
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = coded[0] if len(coded) == 1 else [i for ids in coded for i in ids]
-        return np.array(ids, self.dtype), np.array(list(map(len, coded)), np.int64)
-
-    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_code`` of pieces after a space, encoded as one text and cut at the bytes where pieces end."""
-        text = " " + " ".join(pieces)
-        ids, _ = self._code([text])
-        ends = np.cumsum(self.n_bytes[ids])
-        sizes = list(map(len, pieces if text.isascii() else map(str.encode, pieces)))
-        wanted = np.cumsum(sizes) + np.arange(1, len(sizes) + 1)  # a space before each
-        cut = np.minimum(np.searchsorted(ends, wanted), max(len(ends) - 1, 0))
-        if len(ends) == 0 or (ends[cut] != wanted).any():
-            return self._code([" " + p for p in pieces])
-        return ids, np.diff(cut, prepend=-1)
-
-    def _marks(self, marks: str) -> np.ndarray:
-        """Ids of a run of punctuation marks after a word."""
-        if marks not in self.marks:
-            if len(self.marks) > JOINED:
-                self.marks.clear()
-            self.marks[marks] = self._code([marks])[0]
-        return self.marks[marks]
-
-    def _joined(self, words: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, each followed by its marks, and their number."""
-        size, more = self.size[words], np.array(list(map(len, marks)), np.int64)
-        counts = size + more
-        first = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), self.dtype)
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(first, size) + step] = self.flat[np.repeat(self.begin[words], size) + step]
-        step = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more)
-        out[np.repeat(first + size, more) + step] = np.concatenate(marks)
-        return out, counts
-
-    def _add(self, keys: list[str | tuple[str]]) -> None:
-        old = len(self.size)
-        # A word and the marks after it are separate tokens, so a known word need not be encoded again.
-        marked = []
-        for i, k in enumerate(keys):
-            if k and k[-1] in _MARKS and isinstance(k, str):
-                word = k.rstrip(_MARKS)
-                if self.known.get(word, old) < old and word.isascii() and word.isalpha():
-                    marked.append((i, self.known[word], k[len(word) :]))
-        fresh = np.ones(len(keys), bool)
-        fresh[[i for i, _, _ in marked]] = False
-        single = [
-            isinstance(k, tuple) or not k or (k[-1] not in _VISIBLE and _RISKY.match(k[-1]) is not None) for k in keys
-        ]
-        single = np.array(single, bool)
-        alone, rest = np.flatnonzero(fresh & single), np.flatnonzero(fresh & ~single)
-        runs = [(alone, self._code([k[0] if isinstance(k, tuple) else " " + k for k in map(keys.__getitem__, alone)]))]
-        for a in range(0, len(rest), JOINED):
-            part = rest[a : a + JOINED]
-            runs.append((part, self._together([keys[i] for i in part.tolist()])))
-        if marked:
-            at, words, marks = zip(*marked)
-            runs.append((np.array(at), self._joined(np.array(words), [self._marks(m) for m in marks])))
-        order = np.concatenate([at for at, _ in runs])
-        ids, counts = np.concatenate([r[1][0] for r in runs]), np.concatenate([r[1][1] for r in runs])
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(ids), self.dtype)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        begin, size = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        begin[order], size[order] = self.used + np.cumsum(counts) - counts, counts
-        self.used += len(ids)
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        self.known, self.seen = self.known.filter(pa.array(keep)), self.seen[keep]
+        keep, sizes = np.append(True, keep), np.diff(self.ends)
+        self.ids = self.ids[np.repeat(keep, sizes)]
+        self.ends = np.append(0, np.cumsum(sizes[keep]))
+
+    def _holds_added(self, texts: pa.Array) -> np.ndarray:
+        held = np.zeros(len(texts), bool)
+        for token in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        return held
+
+    def _code(self, texts: pa.Array) -> tuple[list[int], list[int]]:
+        """Ids of texts in one list, and their number per text."""
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return [i for ids in coded for i in ids], list(map(len, coded))
+
+    def _merge(self, pieces: pa.Array) -> tuple[list[int], list[int]]:
+        """As ``_code`` of pieces that are each one token of the tokenizer's pattern."""
+        data, offsets = text_bytes(pieces)
+        text = self.letters[data].tobytes().decode("utf-16-le")  # a character per byte
+        tokenize, places = self.model.tokenize, offsets.tolist()
+        coded = [tokenize(text[a:b]) for a, b in zip(places, places[1:])]
+        return [token.id for tokens in coded for token in tokens], list(map(len, coded))
+
+    def _add(self, pieces: pa.Array) -> None:
+        """Remember pieces, none of them empty or known, with their ids."""
+        data, offsets = text_bytes(pieces)
+        kinds = _kinds(data)
+        first = offsets[:-1]
+        led = first[(kinds[first] == _SPACE) & (np.diff(offsets) > 1)]
+        kinds[led] = kinds[led + 1]
+        kind = np.minimum.reduceat(kinds, first)
+        single = (kind == np.maximum.reduceat(kinds, first)) & _RUNS[kind] & self.plain & ~self._holds_added(pieces)
+        self.marks += int((single & (kind == _MARK)).sum())
+        sizes = np.empty(len(pieces), np.int64)
+        ids: list[np.ndarray] = []
+        for some, code in ((single, self._merge), (~single, self._code)):
+            found, counts = code(pieces.filter(pa.array(some)))
+            ids.append(np.array(found, self.dtype))
+            sizes[some] = counts
+        order = np.repeat(~single, sizes)  # the others' ids, among all in the order of the pieces
+        both = np.empty(len(order), self.dtype)
+        both[~order], both[order] = ids
+        self.ids = np.concatenate([self.ids, both])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and the number of ids of each text."""
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.known.nbytes > CACHE * LONG:
             self._forget()
-        plain = _plain_rows(*text_bytes(column))
-        keys: list[str | tuple[str]] = []
-        counts = np.empty(len(column), np.int64)
-        for i, text in enumerate(column.to_pylist()):
-            if plain[i]:
-                head, *rest = (text or "").split(" ")
-            else:
-                head, rest = pieces_of(text)
-            keys.append((head,))  # no space before it
-            keys += rest
-            counts[i] = 1 + len(rest)
-        old = len(self.known)
-        number = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        if len(self.known) > old:
-            self._add(list(islice(reversed(self.known), len(self.known) - old))[::-1])
-            self.seen = np.concatenate([self.seen, np.zeros(len(self.known) - old, np.int64)])
-        self.seen += np.bincount(number, minlength=len(self.seen))
-        sizes = self.size[number]
-        n_ids = np.add.reduceat(sizes, np.r_[0, np.cumsum(counts)[:-1]]) + 1
-        # Where each piece's ids go: after all earlier ids and one end id per earlier text.
-        before = np.cumsum(sizes) - sizes
-        out = np.full(int(n_ids.sum()), END, self.dtype)
-        steps = np.arange(int(sizes.sum()))
-        target = steps + np.repeat(np.repeat(np.arange(len(counts)), counts), sizes)
-        out[target] = self.flat[steps + np.repeat(self.begin[number] - before, sizes)]
-        return out, n_ids
+        column = column.cast(pa.large_string())
+        data, offsets = text_bytes(column)
+        begins = _cuts(data, offsets, self._holds_added(column) | (not self.plain))
+        coded = _strings(data, begins).dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.known)
+        if place.null_count:
+            old, new = len(self.known), place.is_null().to_numpy(zero_copy_only=False)
+            self._add(coded.dictionary.filter(place.is_null()))
+            place = pc.fill_null(place, 0).to_numpy().copy()
+            place[new] = np.arange(old, old + new.sum())
+        else:
+            place = place.to_numpy()
+        pieces = coded.indices.to_numpy()
+        self.seen[place] += np.bincount(pieces, minlength=len(place))
+        row_ends = np.searchsorted(begins, offsets[1:])
+        number = np.insert(place[pieces] + 1, row_ends, 0)
+        lists = pa.LargeListArray.from_arrays(pa.array(self.ends), pa.array(self.ids)).take(pa.array(number))
+        before = np.append(0, np.cumsum(np.diff(self.ends)[number]))
+        return lists.flatten().to_numpy(), np.diff(before[row_ends + np.arange(1, len(column) + 1)], prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -354,8 +397,13 @@ class WaveletMatrix:
             whole = np.concatenate(packed) if packed else np.zeros(0, np.uint8)
             bit = np.unpackbits(whole, bitorder="little", count=self.n).astype(bool)
             before = np.empty_like(now)
-            before[~bit] = now[: self.zeros[level]]
-            before[bit] = now[self.zeros[level] :] | now.dtype.type(1 << (self.levels - 1 - level))
+            zero, one = 0, self.zeros[level]
+            for a in range(0, self.n, SPAN):  # places of a span stay in the processor's cache
+                span, part = bit[a : a + SPAN], before[a : a + SPAN]
+                places = np.flatnonzero(~span), np.flatnonzero(span)
+                part[places[0]] = now[zero : zero + len(places[0])]
+                part[places[1]] = now[one : one + len(places[1])] | now.dtype.type(1 << (self.levels - 1 - level))
+                zero, one = zero + len(places[0]), one + len(places[1])
             now = before
         return now
 
@@ -370,19 +418,29 @@ def _give_back() -> None:
         pass
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches, about ``STEP_BYTES`` at a time, and at most a batch more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.nbytes for b in held) >= STEP_BYTES:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _write(folder: str, tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _give_back()
         doc_ids, ids, sizes, shard = [], [], [], 0
-        for batch in batches:
-            encoder = encoder_of(tokenizer)
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                shard = part.column("shard")[0].as_py()
-                coded, counts = encoder.encode(part.column("text"))
-                doc_ids += part.column("doc_id").to_pylist()
-                ids.append(coded)
-                sizes.append(counts)
+        for part in _steps(batches):
+            shard = part.column("shard")[0].as_py()
+            coded, counts = encoder_of(tokenizer).encode(part.column("text").cast(pa.large_string()).combine_chunks())
+            doc_ids += part.column("doc_id").to_pylist()
+            ids.append(coded)
+            sizes.append(counts)
         if doc_ids:
             counts = np.concatenate(sizes)
             write_file(f"{folder}/{shard:08d}.wm", WaveletMatrix.build(np.concatenate(ids), doc_ids, counts, shard))

@@ -101,3 +101,58 @@ def test_rows_without_id_fill_many_shards(spark, tokenizer):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     got = sorted((tuple(r) for r in wavelet.read_shards(spark, folder).collect()), key=lambda r: r[1])
     assert got == expected_rows(tokenizer, order)
+
+
+def check_texts(encoder, tokenizer, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    whole = [[*e.ids, 0] for e in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert sizes.tolist() == list(map(len, whole))
+    assert ids.tolist() == [i for part in whole for i in part]
+
+
+def test_every_character_between_others(tokenizer):
+    encoder = Encoder(tokenizer_path())
+    points = [*range(0x3100), *range(0xA000, 0xA100), *range(0xF900, 0x10000), *range(0x1F300, 0x1F700), 0x1D400, 0xE0001]
+    for a in range(0, len(points), 4000):
+        chars = list(map(chr, points[a : a + 4000]))
+        check_texts(encoder, tokenizer, [f"w{c} a{c}{c}.{c}1{c}\n{c}'s{c}b {c}é{c}я" for c in chars])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abst é×я中́ \n\t\r\x0b\x1f\x7f'’.,(0²<", max_size=40), min_size=1, max_size=6))
+def test_cuts_are_ends_of_tokens(texts):
+    encoder = test_cuts_are_ends_of_tokens.__dict__.setdefault("encoder", Encoder(tokenizer_path()))
+    check_texts(encoder, encoder.tokenizer, texts)
+
+
+def test_known_words_beside_any_signs_are_not_encoded_again(tokenizer, monkeypatch):
+    encoder = Encoder(tokenizer_path())
+    check_texts(encoder, tokenizer, ["Onté. Word (1) a\n other's"])
+    asked = []
+    add = encoder._add
+    monkeypatch.setattr(encoder, "_add", lambda pieces: (asked.extend(pieces.to_pylist()), add(pieces)))
+    check_texts(encoder, tokenizer, ["Onté.\nOnté(1 Word. Word) Onté Word\n\n", None, ""])
+    assert sorted(asked) == ["\n", "\n\n", " Onté", "("]
+
+
+def test_added_tokens_and_long_texts_are_not_kept(tokenizer, monkeypatch):
+    monkeypatch.setattr(wavelet, "CACHE", 50)
+    encoder = Encoder(tokenizer_path())
+    for i in range(4):
+        check_texts(encoder, tokenizer, [f"a{i} <|endoftext|> " + "b c" * 4000] * 2 + ["x" * 9000, "<|endoftext|>", None, " <|endoftext|"])
+    encoder.encode(pa.array([None], pa.string()))
+    assert encoder.known.nbytes < 10_000
+    check_texts(encoder, tokenizer, [None, ""])
+
+
+def test_an_added_token_of_letters_and_another_cutter(tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    made = Tokenizer.from_file(tokenizer_path())
+    made.add_tokens(["stop"])
+    made.save(str(tmp_path / "added.json"))
+    texts = ["a stop", "stop", "nonstop. other words", "stops", "words other"]
+    check_texts(Encoder(str(tmp_path / "added.json")), made, texts)
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    made.save(str(tmp_path / "other.json"))
+    check_texts(Encoder(str(tmp_path / "other.json")), made, texts)
