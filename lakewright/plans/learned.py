@@ -85,7 +85,7 @@ def setup(spark, folder: str, files: DataFrame | None = None) -> Setup:
         return _setups[key]
     used = materialize(query_plan_files(spark, folder)) if files is None else files
     log = materialize(repaired(spark, folder))
-    vectors = query_embeddings(log, used, plan_features(spark, folder, used))
+    vectors = query_embeddings(log, used, materialize(plan_features(spark, folder, used)))
     vectors = materialize(sketch(vectors, "embedding", SKETCH, "sketch"))
     trials = materialize(log.where(~is_probe()))
     stats = materialize(W.combo_stats(trials))

@@ -222,7 +222,7 @@ def _(spark, folder):
 
 
 def _tree_embeddings(spark, folder):
-    trees = materialize(X.common_width(plan_features(spark, folder)))
+    trees = materialize(X.common_width(materialize(plan_features(spark, folder))))
     width = trees.agg(F.max(F.size(F.get("features", F.lit(0))))).first()[0] or 0
     layers = seeded_layers([3 * width, 256, 128, KERNELS * width])
     return trees, layers
@@ -231,16 +231,10 @@ def _tree_embeddings(spark, folder):
 @query("m1_tree_convolution")
 def _(spark, folder):
     trees, layers = _tree_embeddings(spark, folder)
-    augmented = G.augment(trees.withColumn("parents", _parents(F.col("children"))), copies=1)
+    augmented = G.augment(trees.withColumn("parents", G.parents_of("children")), copies=1)
     named = augmented.select(F.col("tree_key").alias("plan_key"), "features", "children")
-    return plan_embeddings(named, layers).select("plan_key", S.fixed_point(F.col("embedding")).alias("embedding"))
-
-
-def _parents(children):
-    ids = F.sequence(F.lit(0), F.size(children) - 1)
-    return F.transform(
-        ids, lambda i: F.get(F.filter(ids, lambda j: F.array_contains(F.get(children, j), i)), F.lit(0))
-    )
+    embedded = plan_embeddings(named, layers)
+    return embedded.select("plan_key", F.get(X.fixed_points(F.array("embedding")), F.lit(0)).alias("embedding"))
 
 
 def config_width(trials):
